@@ -7,6 +7,9 @@ from importlib import import_module
 #: query -> module
 MODULES = {
     "op2_line_dedup": "linededup",
+    "op5_decontamination": "decontam",
+    "op9_simhash_dedup": "simhash",
+    "op10_bpe": "bpe",
 }
 
 
