@@ -6,8 +6,12 @@ from importlib import import_module
 
 #: query -> module
 MODULES = {
+    "op1_pii": "pii",
     "op2_line_dedup": "linededup",
+    "op3_url_filter": "urlfilter",
+    "op4_toxicity": "toxicity",
     "op5_decontamination": "decontam",
+    "op6_fingerprints": "fingerprint",
     "op9_simhash_dedup": "simhash",
     "op10_bpe": "bpe",
 }
