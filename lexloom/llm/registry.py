@@ -12,6 +12,7 @@ MODULES = {
     "op4_toxicity": "toxicity",
     "op5_decontamination": "decontam",
     "op6_fingerprints": "fingerprint",
+    "op7_substring_dedup": "substring",
     "op9_simhash_dedup": "simhash",
     "op10_bpe": "bpe",
 }
