@@ -61,9 +61,9 @@ class Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, FLUSH + (1 << 16))
-            with np.errstate(over="ignore"):
-                self.up = np.multiply.accumulate(np.concatenate(([1], np.full(n, _B, U))).astype(U))
-                self.down = np.multiply.accumulate(np.concatenate(([1], np.full(n, _B_INVERSE, U))).astype(U))
+            self.up, self.down = np.full(n, _B, U), np.full(n, _B_INVERSE, U)
+            self.up[0] = self.down[0] = 1
+            self.up, self.down = np.multiply.accumulate(self.up), np.multiply.accumulate(self.down)
         return self.up, self.down
 
 
