@@ -13,6 +13,7 @@ MODULES = {
     "op5_decontamination": "decontam",
     "op6_fingerprints": "fingerprint",
     "op7_substring_dedup": "substring",
+    "op8_suffix_dedup": "suffixdedup",
     "op9_simhash_dedup": "simhash",
     "op10_bpe": "bpe",
 }
