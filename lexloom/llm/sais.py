@@ -5,11 +5,12 @@ their runs (LMS) are sorted by their substrings, named, and the string of names
 is sorted recursively where names repeat; the order of all suffixes is induced
 from theirs, first L from left to right, then S from right to left.
 
-The byte level works on whole waves: inside the bucket of a letter, the suffixes
+Both work on whole arrays. The string of names is sorted recursively by halves: runs
+of 2^k names are ranked by the ranks of their halves, as long as any repeat.
+Inducing works on waves: inside the bucket of a letter, the suffixes
 known so far form a wave, their predecessors of the same letter form the next
 wave, and those of other letters are dealt to their buckets in order. The order
-is that of a scan one by one, the work is in array operations. Levels of names,
-whose letters are as many as their positions, scan lists.
+is that of a scan one by one, the work is in array operations.
 """
 
 from __future__ import annotations
@@ -115,68 +116,40 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     if count == len(lms):
         order = np.argsort(names)
     else:
-        order = np.array(_by_scan(names.tolist(), count))
+        order = _by_halves(names)
     return induce(text, is_s, lms[order], size)
 
 
-def _by_scan(text: list[int], size: int) -> list[int]:
-    """The suffix array of a string of names that ends in the only 0."""
-    n = len(text)
-    if n == size:
-        out = [0] * n
-        for i, c in enumerate(text):
-            out[c] = i
-        return out
-    is_s = bytearray(n)
-    is_s[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        x, y = text[i], text[i + 1]
-        is_s[i] = x < y or (x == y and is_s[i + 1])
-    lms = [i for i in range(1, n) if is_s[i] and not is_s[i - 1]]
-    total = [0] * (size + 1)
-    for c in text:
-        total[c + 1] += 1
-    for c in range(size):
-        total[c + 1] += total[c]
-
-    def from_seeds(seeds: list[int]) -> list[int]:
-        out = [-1] * n
-        tail = total[1:]
-        for i in reversed(seeds):
-            c = text[i]
-            tail[c] -= 1
-            out[tail[c]] = i
-        head = total[:-1]
-        for k in range(n):
-            i = out[k] - 1
-            if i >= 0 and not is_s[i]:
-                c = text[i]
-                out[head[c]] = i
-                head[c] += 1
-        tail = total[1:]
-        for k in range(n - 1, -1, -1):
-            i = out[k] - 1
-            if i >= 0 and is_s[i]:
-                c = text[i]
-                tail[c] -= 1
-                out[tail[c]] = i
-        return out
-
-    found = from_seeds(sorted(lms, key=text.__getitem__))
-    found[0] = n - 1
-    end = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    name, names, before = -1, {}, None
-    for i in found:
-        if i in end:
-            piece = text[i : end[i] + 1]
-            if piece != before:
-                name += 1
-                before = piece
-            names[i] = name
-    order = _by_scan([names[i] for i in lms], name + 1)
-    out = from_seeds([lms[k] for k in order])
-    out[0] = n - 1
-    return out
+def _by_halves(rank: np.ndarray) -> np.ndarray:
+    """The suffix array of a string of names that ends in the only 0. Runs of
+    2^k names are ranked by the ranks of their halves; only names that still
+    repeat are sorted again."""
+    n, half = len(rank), 1
+    order = np.argsort(rank, kind="stable")
+    while True:
+        sorted_rank = rank[order]
+        repeat = np.zeros(n, bool)
+        repeat[1:] = sorted_rank[1:] == sorted_rank[:-1]
+        open_ = repeat.copy()
+        open_[:-1] |= repeat[1:]
+        at = np.flatnonzero(open_)
+        if half == 1:
+            # A rank is the place of the first of its name in the order.
+            first = np.where(repeat, 0, np.arange(n))
+            rank = np.empty(n, np.int64)
+            rank[order] = np.maximum.accumulate(first)
+        if not len(at):
+            return order
+        live = order[at]
+        # Names that repeat never reach past the end: its 0 is the only one.
+        key = rank[live] * n + rank[np.minimum(live + half, n - 1)]
+        live = live[np.argsort(key, kind="stable")]
+        key = rank[live] * n + rank[np.minimum(live + half, n - 1)]
+        order[at] = live
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        rank[live] = np.maximum.accumulate(np.where(new, at, 0))
+        half *= 2
 
 
 def common_prefixes(raw: np.ndarray, order: np.ndarray, starts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
