@@ -30,7 +30,7 @@ from lexloom.llm.substring import keyed, marked, spans
 
 WINDOW, GRAM, PARTS = 200, 24, 16
 SEGMENT = 2 << 20
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Bytes that UTF-8 never holds: between strings, and at the end of a shard.
 GAP, END = 0xFF, 0xFE
 

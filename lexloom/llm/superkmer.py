@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLUSH = 4 << 20
-BUCKET_BYTES = 24 << 20
+FLUSH = 2 << 20
+BUCKET_BYTES = 16 << 20
 HOT, HOT_STRINGS = 10_000, 64
 SCHEMA = "bucket int, blob binary, id long, th long, start long, n long"
 U = np.uint64
@@ -110,14 +110,16 @@ def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot:
     else:
         starts, ends, first, counts = None, None, begins, sizes
         gram = (sums[m:] - sums[:-m]) * down[: len(buffer) - m + 1]
+    del sums
     gram = mix(gram)
-    spots = len(gram)
-    place = (gram & ~U((1 << 28) - 1)) | np.arange(spots, dtype=U)
-    at = (sliding_min(place, k - m + 1) & U((1 << 28) - 1)).astype(np.int64)
+    place = (gram & ~U((1 << 28) - 1)) | np.arange(len(gram), dtype=U)
+    at = (sliding_min(place, k - m + 1) & U((1 << 28) - 1)).astype(np.int32)
+    del place
     # A window counts where it lies inside its segment.
-    owner = np.repeat(np.arange(len(held)), np.maximum(counts - k + 1, 0))
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(counts - k + 1, 0)) - np.maximum(counts - k + 1, 0), np.maximum(counts - k + 1, 0))
-    window = first[owner] + offset
+    windows = np.maximum(counts - k + 1, 0)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), windows)
+    offset = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(windows) - windows).astype(np.int32), windows)
+    window = first.astype(np.int32)[owner] + offset
     minimiser = at[window]
     key = gram[minimiser]
     new = np.ones(len(window), bool)
