@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE = 400_000
+CACHE = 300_000
 SLICE = 1024
 #: Letters of the fast path's texts after lower-casing, and marks it may hold.
 LETTERS, MARKS = "a-zß-öø-ɏ", "\u2010-\u2027\u2030-\u203b\u20ac"
@@ -83,8 +83,9 @@ class Encoder:
         self.symbols = byte_symbols()
         self.rank = {pair: k for k, pair in enumerate(data["merges"])}
         self.numbers: dict = {}
-        self.tokens: dict = {}
         self.states: dict[str, tuple[int, int]] = {}
+        self._shared: dict[tuple[int, int], tuple[int, int]] = {}
+        self.name_of = {str(i): t for i, t in self.token_of.items()}
         self.forget()
         self._pairs: dict[tuple[int, int], bool] = {}
         # A token that merges cannot make of its own symbols never comes out.
@@ -101,9 +102,8 @@ class Encoder:
         """Empty the kept words and prefixes; special tokens stand as their ids."""
         self.states.clear()
         self.numbers.clear()
-        self.tokens.clear()
-        for text, i in self.special.items():
-            self.numbers[i], self.tokens[i] = str(i), text
+        for i in self.special.values():
+            self.numbers[i] = str(i)
 
     def _split(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -138,6 +138,8 @@ class Encoder:
         before, then down the word's own path. ``states`` are the trie's nodes by
         prefix and stay for later batches."""
         names, suffix, states = self.symbols, self.suffix, self.states
+        if len(states) > CACHE:
+            states.clear()
         spelled = sorted(("".join([names[b] for b in w.encode("utf-8")]), w) for w in new)
         stack: list[tuple[int, int]] = []
         before = ""
@@ -164,7 +166,8 @@ class Encoder:
         for at in range(max(0, n - self.longest), n):
             token = get(prefix[at:])
             if token is not None and (not at or self._fits(stack[at - 1][0], token)):
-                return token, n - at
+                state = (token, n - at)
+                return self._shared.setdefault(state, state)
         raise ValueError(f"no token ends {prefix!r}")
 
     def _read_off(self, word: str, stack: list[tuple[int, int]], last: tuple[int, int]) -> None:
@@ -176,7 +179,6 @@ class Encoder:
             at -= size
         out.reverse()
         self.numbers[word] = " ".join(map(str, out))
-        self.tokens[word] = " ".join([self.token_of[i] for i in out])
 
     def pieces(self, text: str) -> list[str]:
         """Words of the text; a special token stands as its id."""
@@ -215,7 +217,10 @@ class Encoder:
 
     def _join(self, ws: list) -> tuple[int, str, str]:
         ids = " ".join(map(self.numbers.__getitem__, ws))
-        return (ids.count(" ") + 1 if ids else 0), ids, " ".join(map(self.tokens.__getitem__, ws))
+        if not ids:
+            return 0, "", ""
+        parts = ids.split(" ")
+        return len(parts), ids, " ".join(map(self.name_of.__getitem__, parts))
 
 
 def decode(ids: list[int], encoder: Encoder) -> str:
