@@ -10,11 +10,12 @@ the bins that either text fills, the rate of equal samples estimates the
 generalised Jaccard similarity of the weighted terms (one sampling for all bins
 instead of one a bin; both-empty bins are left out of the rate).
 
-All of it runs inside a row: arrays are sorted, never exploded, so a text costs
-no shuffle but the one that brings it beside its neighbour. For that, ids are
-cut into ranges by approximate quantiles (``RANGE_BYTES`` of text each) and a
-window orders each range; the first document of the next range joins it as an
-extra row, so the window needs no other range.
+A text costs no shuffle but the one that brings it beside its neighbour. For that,
+ids are cut into ranges by approximate quantiles (``RANGE_BYTES`` of text each)
+and a window orders each range; the first document of the next range joins it as
+an extra row, so the window needs no other range. Terms are counted inside the
+row and exploded; the sums that follow are by range and document, so they stay
+in the task that holds the range and hold 64 bins a document.
 
 Defined cases: null texts are empty; empty texts have empty fingerprints, whose
 likeness is 1 to each other and 0 to others. Rows of one id are ordered by text.
@@ -41,58 +42,44 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _unit(bits: Column) -> Column:
-    """A uniform number from 32 bits."""
-    return (bits + F.lit(0.5)) * F.lit(2.0**-32)
+def _draws(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
+    """r and c from Gamma(2, 1), b uniform, and the bin, from two hashes."""
 
+    def unit(bits: Column, n: int) -> Column:
+        return (bits + F.lit(0.5)) * F.lit(2.0**-n)
 
-def _sample(term: Column, weight: Column) -> Column:
-    """bin * 2^57 + the sample's rank a / (1 + a) in 57 bits."""
+    def field(at: int, n: int) -> Column:
+        return F.shiftrightunsigned(y, at).bitwiseAND(F.lit((1 << n) - 1))
 
-    def body(x):
-        low = F.lit((1 << 32) - 1)
-        r = -F.log(_unit(F.shiftrightunsigned(x[0], 32)) * _unit(x[0].bitwiseAND(low)))
-        c = -F.log(_unit(F.shiftrightunsigned(x[1], 32)) * _unit(x[1].bitwiseAND(low)))
-        b = _unit(F.shiftrightunsigned(x[2], 32))
+    r = -F.log(unit(F.shiftrightunsigned(x, 32), 32) * unit(x.bitwiseAND(F.lit((1 << 32) - 1)), 32))
+    c = -F.log(unit(field(43, 21), 21) * unit(field(22, 21), 21))
+    return r, c, unit(field(6, 16), 16), y.bitwiseAND(F.lit(BINS - 1))
 
-        def rank(rb):
-            t = F.floor(F.log(weight) / rb[0] + rb[1])
-            a = rb[2] * F.exp(rb[0] * (rb[1] - t - F.lit(1.0)))
-            return F.floor(a / (a + F.lit(1.0)) * F.lit(float(1 << 57))).cast("long")
 
-        place = F.shiftleft(x[2].bitwiseAND(F.lit(BINS - 1)), 57)
-        return place.bitwiseOR(F.least(let(F.array(r, b, c), rank), F.lit((1 << 57) - 1)))
-
-    return let(F.array(F.xxhash64(term, F.lit(1)), F.xxhash64(term, F.lit(2)), F.xxhash64(term, F.lit(3))), body)
-
-
-def samples(text: Column) -> Column:
-    """array<int>: for each filled bin, bin * 2^16 + 16 bits of its sample."""
+def terms(text: Column) -> Column:
+    """array<struct<term, weight>>: the text's shingles by hash, and their counts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))
+    words = F.split(trimmed, r"[ \t\n\x0B\f\r]+")
 
-    def terms(ws):
-        at = F.sequence(F.lit(1), F.greatest(F.size(ws) - F.lit(SHINGLE - 1), F.lit(1)))
-        return F.sort_array(F.transform(at, lambda i: F.xxhash64(F.slice(ws, i, SHINGLE))))
+    def hashes(ws):
+        last = F.greatest(F.size(ws) - F.lit(SHINGLE), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(ws, i + k if k else i) for k in range(SHINGLE)]))
 
-    def weighted(ts):
+    def pair(term, weight):
+        return F.struct(term.alias("term"), weight.alias("weight"))
+
+    def counted(ts):
         starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-        return let(
-            starts,
-            lambda s: F.transform(
-                s, lambda at, k: _sample(F.get(ts, at), (F.coalesce(F.get(s, k + 1), F.size(ts)) - at).cast("double"))
-            ),
-        )
+        count = lambda s: F.transform(s, lambda at, k: pair(F.get(ts, at), F.coalesce(F.get(s, k + 1), F.size(ts)) - at))
+        return let(starts, count)
 
-    def least(xs):
-        first = F.filter(xs, lambda x, i: (i == 0) | (F.shiftrightunsigned(x, 57) != F.shiftrightunsigned(F.get(xs, i - 1), 57)))
-        return F.transform(
-            first,
-            lambda x: (F.shiftrightunsigned(x, 57) * 65536 + F.xxhash64(x).bitwiseAND(F.lit(65535))).cast("int"),
-        )
+    def found(ts):
+        # Most texts repeat no shingle: their terms need no counting.
+        once = F.size(F.array_distinct(ts)) == F.size(ts)
+        return F.when(once, F.transform(ts, lambda t: pair(t, F.lit(1)))).otherwise(let(F.sort_array(ts), counted))
 
-    found = let(let(let(words, terms), weighted), lambda xs: let(F.sort_array(xs), least))
-    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(found)
+    empty = F.array().cast("array<struct<term:bigint,weight:int>>")
+    return F.when(trimmed == "", empty).otherwise(let(let(words, hashes), found))
 
 
 def as_string(found: Column) -> Column:
@@ -149,23 +136,39 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_chars, edited_sha256, own, edited, next`` (samples as arrays)."""
+    """``id, n_chars, edited_sha256, own, edited, next``: the samples of the text,
+    of the edited text and of the next document as array<int>, one entry a filled
+    bin: bin * 2^16 + 16 bits of the sample."""
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
-    by = Window.partitionBy("place").orderBy("seq")
-    return (
+    # The digest rides along as numbers, which a hash aggregation can hold.
+    digest = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"sha{k}") for k in range(4)]
+    facts = ["id", "extra", "n_chars", "sha0", "sha1", "sha2", "sha3"]
+    rows = (
         with_next(docs, id_col, text_col)
         .withColumn("edited_text", edited)
+        .select("place", "seq", "id", F.col("extra").cast("int").alias("extra"), F.length("text").alias("n_chars"), F.sha2("edited_text", 256).alias("sha"), "text", "edited_text")
+        .select("place", "seq", "id", "extra", "n_chars", *digest, F.posexplode(F.array("text", "edited_text")).alias("kind", "body"))
+        .select("place", "seq", *facts, "kind", F.inline_outer(terms(F.col("body"))))
+    )
+    r, c, b, place = _draws(F.xxhash64("term", F.lit(1)), F.xxhash64("term", F.lit(2)))
+    drawn = rows.select("place", "seq", *facts, "kind", F.col("weight").cast("double").alias("weight"), r.alias("r"), c.alias("c"), b.alias("b"), place.alias("bin"))
+    t = F.floor(F.log("weight") / F.col("r") + F.col("b"))
+    ranked = drawn.select("place", "seq", *facts, "kind", "bin", (F.col("c") * F.exp(F.col("r") * (F.col("b") - t - 1.0))).alias("a"))
+    best = [F.min(F.when(F.col("kind") == k, F.col("a"))).alias(f"a{k}") for k in (0, 1)]
+    binned = ranked.groupBy("place", "seq", "bin").agg(*best, *[F.max(f).alias(f) for f in facts])
+    entry = lambda a: F.when(F.col(a).isNotNull(), (F.col("bin") * 65536 + F.xxhash64(a).bitwiseAND(F.lit(65535))).cast("int"))
+    signed = binned.select("place", "seq", *facts, entry("a0").alias("e0"), entry("a1").alias("e1"))
+    whole = signed.groupBy("place", "seq").agg(
+        *[F.max(f).alias(f) for f in facts], F.sort_array(F.collect_list("e0")).alias("own"), F.sort_array(F.collect_list("e1")).alias("edited")
+    )
+    by = Window.partitionBy("place").orderBy("seq")
+    sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4)]))
+    return (
+        whole.withColumn("next", F.lead("own").over(by)).where("extra = 0")
         .select(
-            "place", "seq", "id", "extra",
-            F.length("text").cast("long").alias("n_chars"),
-            F.sha2("edited_text", 256).alias("edited_sha256"),
-            samples(F.col("text")).alias("own"),
-            samples(F.col("edited_text")).alias("edited"),
+            "id", F.col("n_chars").cast("long").alias("n_chars"), sha.alias("edited_sha256"), "own", "edited",
+            F.when(F.col("id").isNull(), F.col("own")).otherwise(F.coalesce("next", "own")).alias("next"),
         )
-        .withColumn("next", F.lead("own").over(by))
-        .where("not extra")
-        .withColumn("next", F.when(F.col("id").isNull(), F.col("own")).otherwise(F.coalesce("next", "own")))
-        .drop("place", "seq", "extra")
     )
 
 
