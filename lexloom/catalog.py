@@ -592,7 +592,7 @@ def span_coalesce(spark, sf_dir):
 
 
 @query("""
-with e as (select distinct user_id, cast(epoch(ts) as bigint) as t from events),
+with e as (select distinct user_id, cast(floor(epoch(ts)) as bigint) as t from events),
 m as (select *, case when t - lag(t) over (partition by user_id order by t) > 25000 then 1 else 0 end as new from e),
 g as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as g from m),
 c as (select user_id, g, min(t) as first, max(t) as last, count(*) as n from g group by 1, 2)
@@ -625,17 +625,17 @@ def up_to_linked(spark, sf_dir):
 
 
 @query("""
-with t as (select p_brand as doc, p_partkey as at, case when p_size % 3 = 0 then p_partkey * 2 + 5 end as v from part),
-k as (select *, max(case when v is not null then at end) over (partition by doc order by at) as a0,
-                min(case when v is not null then at end) over (partition by doc order by at rows between current row and unbounded following) as a1 from t)
-select doc, at, v as value, case when v is not null then cast(v as double) when a0 is not null and a1 is not null then cast(at * 2 + 5 as double) end as filled,
-       case when v is not null then 1.0 when a0 is not null and a1 is not null then 0.55 end::double as confidence from k
+with t as (select p_brand as doc, p_partkey as pos, case when p_size % 3 = 0 then p_partkey * 2 + 5 end as v from part),
+k as (select *, max(case when v is not null then pos end) over (partition by doc order by pos) as a0,
+                min(case when v is not null then pos end) over (partition by doc order by pos rows between current row and unbounded following) as a1 from t)
+select doc, pos, v as value, case when v is not null then cast(v as double) when a0 is not null and a1 is not null then cast(pos * 2 + 5 as double) end as filled,
+       cast(case when v is not null then 1.0 when a0 is not null and a1 is not null then 0.55 end as double) as confidence from k
 """)
 def interpolate_boundaries(spark, sf_dir):
     """Missing page boundaries on the line between their neighbours."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("at"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") * 2 + 5).alias("value"))
-    out = windows.interpolate(p, ["doc"], "at", "value")
-    return out.select("doc", "at", "value", F.round("filled", 6).alias("filled"), "confidence")
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc"), F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey") * 2 + 5).alias("value"))
+    out = windows.interpolate(p, ["doc"], "pos", "value")
+    return out.select("doc", "pos", "value", F.round("filled", 6).alias("filled"), "confidence")
 
 
 @query()
@@ -664,7 +664,7 @@ def newest_first_page(spark, sf_dir):
     """A ranked list, ten rows a page, two pages."""
     o = table(spark, sf_dir, "orders")
     rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))
-    return o.withColumn("rn", rn).where("rn <= 20").select(F.col("o_orderkey").alias("id"), "rn", F.expr("(rn - 1) div 10").alias("page"))
+    return o.withColumn("rn", rn).where("rn <= 20").select(F.col("o_orderkey").alias("id"), F.col("rn").cast("long").alias("rn"), F.expr("(rn - 1) div 10").alias("page"))
 
 
 # ---- scalars ----------------------------------------------------------------

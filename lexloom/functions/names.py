@@ -12,7 +12,7 @@ ENTITY_WORDS = ("inc", "corp", "co", "company", "corporation", "ltd", "llc", "lp
 
 def parties(name: Column) -> Column:
     """The sides of "A v. B", trimmed; one side where there is no "v."."""
-    return F.filter(F.transform(F.split(name, r"\s+[vV][sS]?\.\s+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(name, r"\s+[vV][sS]?\.\s+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def tokens(text: Column) -> Column:

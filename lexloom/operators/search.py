@@ -16,7 +16,7 @@ def by_citation(opinions: DataFrame, citations: DataFrame, wanted: DataFrame) ->
     found = keyed.join(asked, ["vol", "key", "page"]).select("request", "scholar_id").distinct()
     out = found.join(opinions.select("scholar_id", "name", "year"), "scholar_id")
     order = Window.partitionBy("request").orderBy("year", "name", "scholar_id")
-    return out.withColumn("rank", F.row_number().over(order)).select("request", "scholar_id", "name", "year", "rank")
+    return out.withColumn("rank", F.row_number().over(order).cast("long")).select("request", "scholar_id", "name", "year", "rank")
 
 
 def party_index(opinions: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def any_token(index: DataFrame, opinions: DataFrame, wanted: DataFrame, limit: i
     """The ``limit`` best opinions of each query: most hits, year, name, id."""
     found = matches(index, wanted).join(opinions.select("scholar_id", "name", "year"), "scholar_id")
     order = Window.partitionBy("request").orderBy(F.desc("hits"), "year", "name", "scholar_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
 
 
 def shape(query):
