@@ -19,6 +19,18 @@ def ship_package() -> None:
     cloudpickle.register_pickle_by_value(lexloom)
 
 
+def share(spark: SparkSession, value):
+    """Broadcast a value of one of our classes; workers call :func:`shared`.
+
+    It travels as cloudpickle bytes: Spark's own pickling names classes by module.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held):
+    return cloudpickle.loads(held.value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
