@@ -23,7 +23,6 @@ the stage and ignored otherwise.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import share, shared
+
 BLOCK_WORDS = 1_000_000
 WINDOW = 10
 
@@ -214,13 +215,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     schema = out.schema
     found = list(automata(items, window=window, block_words=block_words)) or [Automaton([], window)]
     for automaton in found:
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(automaton), text_col), schema)
+        out = out.mapInArrow(_pass(share(spark, automaton), text_col), schema)
     return out
 
 
-def _pass(shared, text_col: str):
+def _pass(held, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
+        automaton = shared(held)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             old_runs = batch.column(batch.schema.get_field_index("_runs"))

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.session import share, shared
+
 SAMPLE = 40_000
 STEMS = 20_000
 STEM = 4
@@ -182,12 +184,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The grammar with its lexicon and weights, learned off the held-out rows."""
     rows = labelled(docs, labels, id_col, text_col, sample)
     grammar = Grammar(learn_stems(rows))
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    held = share(docs.sparkSession, grammar)
     width = len(PATTERNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = shared(held)
         for batch in batches:
-            x = [shared.value.features(t) for t in batch.column(0).to_pylist()]
+            x = [g.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     seen = (
@@ -220,11 +223,11 @@ def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1, steps:
 
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    held = share(docs.sparkSession, grammar)
     schema = docs.withColumn("_score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = shared.value
+        g = shared(held)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             x = np.array([g.features(t.as_py()) for t in texts]).reshape(-1, len(PATTERNS))
