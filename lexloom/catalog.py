@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import cites, dates, names, text
-from lexloom.operators import lookup, resolve, search, votes, windows
+from lexloom.operators import documents, lookup, resolve, search, votes, windows
 from lexloom.plans import extract, synth
 from lexloom.plans.synth import CITATIONS, OPINIONS, table
 from lexloom.sources import store
@@ -724,3 +724,96 @@ def page_blocks(spark, sf_dir):
         "page_id", count("<p[ >]").alias("paragraphs"), count("<a [^>]*href=").alias("links"),
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
     )
+
+
+# ---- documents --------------------------------------------------------------
+
+
+@query(r"""
+with b as (
+  select l_orderkey as doc, l_partkey * 10 + l_linenumber as n, case l_linenumber when 1 then 'Justice X delivered the opinion of the Court.'
+    when 4 then 'Justice Y, dissenting.' when 6 then 'Justice Z, concurring.' else 'Text ' || l_suppkey end as block,
+    case l_linenumber when 1 then 'majority' when 4 then 'dissent' when 6 then 'concurrence' end as r
+  from (select distinct l_orderkey, l_partkey, l_linenumber, min(l_suppkey) as l_suppkey from lineitem group by all)
+), o as (
+  select *, r is not null and lead(n) over w is not null and lead(r) over w is null as opens from b window w as (partition by doc order by n)
+)
+select doc, n, sum(opens::int) over w as part,
+       coalesce(last_value(case when opens then r end ignore nulls) over (partition by doc order by n rows unbounded preceding), 'header') as role
+from o window w as (partition by doc order by n rows unbounded preceding)
+""")
+def segment_opinions(spark, sf_dir):
+    """Header, majority and separate writings of an opinion's blocks."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    k = F.col("l_linenumber")
+    block = (
+        F.when(k == 1, "Justice X delivered the opinion of the Court.").when(k == 4, "Justice Y, dissenting.")
+        .when(k == 6, "Justice Z, concurring.").otherwise(F.concat(F.lit("Text "), F.col("s").cast("string")))
+    )
+    blocks = line.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") * 10 + k).alias("n"), block.alias("block"))
+    return documents.segment(blocks, "doc", "n", "block").select("doc", "n", F.col("part").cast("decimal(38,0)").alias("part"), "role")
+
+
+@query(r"""
+select o_orderkey as id, case when o_orderkey % 3 = 0 then strftime(o_orderdate, '%Y-%m-%d') when o_orderkey % 3 = 1 then strftime(o_orderdate + interval 1 day, '%Y-%m-%d')
+       else strftime(o_orderdate, '%Y-%m-%d') end as decided from orders
+""")
+def decision_dates(spark, sf_dir):
+    """The decision date among the dates of a front matter."""
+    day = lambda d: F.date_format(d, "MMMM d, yyyy")
+    d, k = F.col("o_orderdate"), F.col("o_orderkey") % 3
+    front = (
+        F.when(k == 0, F.concat(F.lit("Argued "), day(F.date_add(d, -30)), F.lit("\nDecided "), day(d)))
+        .when(k == 1, F.concat(F.lit("Filed "), day(d), F.lit("\nRefiled "), day(F.date_add(d, 1))))
+        .otherwise(F.concat(F.lit("No. 7. "), day(F.date_add(d, -9)), F.lit("\n"), day(d)))
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), documents.decision_date(front).alias("decided"))
+
+
+@query("""
+select p_partkey as id, ['petition', 'reply', 'merits', 'amicus', 'skip', 'transcript', 'other'][p_partkey % 7 + 1] as kind,
+       case when p_size between 1 and 23 then p_size + 67 end as official, p_partkey % 2 = 0 as bears from part
+""")
+def docket_papers(spark, sf_dir):
+    """Kinds of docket papers, early volumes, and whether a title bears a cite."""
+    said = [
+        "Petition for a writ of certiorari", "Reply of petitioner", "Brief of respondent", "Brief of amicus curiae States",
+        "Waiver of right of respondent to respond", "Transcript of hearing", "Letter",
+    ]
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    text_of = F.get(F.array(*map(F.lit, said)), (k % 7).cast("int"))
+    title = F.format_string("Roe v. Wade, %d U. S. %d (1973)", F.col("p_size"), k + 1)
+    asked = F.format_string("%d US %d", F.col("p_size"), k + 1 + k % 2)
+    return p.select(
+        k.alias("id"), documents.paper_kind(text_of).alias("kind"),
+        documents.official_volume(F.lit("Wall."), F.col("p_size")).alias("official"), documents.bears(title, asked).alias("bears"),
+    )
+
+
+@query("""
+select p_partkey as id, '410 U.S. ' || p_partkey as head, '(' || p_size || ')|(citing A (B))' as notes, '“a ' || p_size || '” ‘b’ it’s' as curly from part
+""")
+def citation_tails(spark, sf_dir):
+    """Trailing parentheticals split off, straight quotes made curly."""
+    p = table(spark, sf_dir, "part")
+    tail = documents.trailing_parentheticals(F.format_string("410 U.S. %d (%d) (citing A (B))", "p_partkey", "p_size"))
+    curly = documents.curl_quotes(F.format_string("\"a %d\" 'b' it's", "p_size"))
+    return p.select(F.col("p_partkey").alias("id"), tail["head"].alias("head"), F.array_join(tail["notes"], "|").alias("notes"), curly.alias("curly"))
+
+
+@query("""
+with s as (select p_brand as section, count(*) as n from part group by 1)
+select section, '0,1,2,2,1,0,1,1,0' as levels, n from s
+""")
+def statute_indent(spark, sf_dir):
+    """Levels of statute paragraphs from their enumerators."""
+    marks = ["(a) x", "(1) x", "(A) x", "(B) x", "(2) x", "(b) x", "(1) x", "plain", "(c) x"]
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("section")).agg(F.count("*").alias("n"))
+    rows = p.select("section", F.posexplode(F.array(*map(F.lit, marks))).alias("o", "text"))
+    return documents.statute_levels(rows, "section", "o", "text").join(p, "section").select("section", F.array_join("levels", ",").alias("levels"), "n")
+
+
+@query()
+def page_text(spark, sf_dir):
+    """Blocks of marked-up pages in order, with their links."""
+    return documents.page_blocks(table(spark, sf_dir, "pages")).withColumn("links", F.array_join("links", " "))
