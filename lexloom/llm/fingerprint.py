@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 BINS = 64
 SHINGLE = 5
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 2 << 20
 MAX_RANGES = 50_000
 BLANKS = " \t\n\x0b\x0c\r"
 
