@@ -28,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,11 +62,15 @@ def byte_symbols() -> list[str]:
 
 def read_vocabulary(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
-        found = json.load(f)
+        return parse_vocabulary(f.read())
+
+
+def parse_vocabulary(text: str) -> dict:
+    found = json.loads(text)
     model = found["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     return {
-        "file": json.dumps(found),
+        "file": text,
         "vocab": model["vocab"],
         "merges": merges,
         "suffix": model.get("end_of_word_suffix") or "",
@@ -229,17 +235,19 @@ def decode(ids: list[int], encoder: Encoder) -> str:
 
 
 def _encoder(shared) -> Encoder:
-    """One encoder a Python worker, kept on the broadcast value."""
-    data = shared.value
-    if "encoder" not in data:
-        data["encoder"] = Encoder(data)
-    return data["encoder"]
+    """The Python worker's one encoder, kept between tasks and jobs: later jobs
+    with the same vocabulary find its words, and none holds a second one."""
+    kept = sys.modules.setdefault("_lexloom_bpe", types.ModuleType("_lexloom_bpe"))
+    if getattr(kept, "text", None) != shared.value:
+        kept.encoder, kept.text = Encoder(parse_vocabulary(shared.value)), shared.value
+    return kept.encoder
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
     """``id, n_tokens, ids_sha256, decoded_sha256`` and, with ``full``, ``ids``
     (array of int) and ``decoded``."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    with open(vocabulary, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
