@@ -1,25 +1,23 @@
-"""Near-duplicates for the pipeline: several SimHash tries, then shingles.
+"""Near-duplicates for the pipeline: an exact join of shingle sets.
 
 Near copies share five-word shingles with a Jaccard similarity of 0.8 or more.
-One 64-bit fingerprint can't tell 0.8 within a budget that a trie join can
-afford, so each text has ``TABLES`` independent fingerprints, over its distinct
-words (an edited word moves one feature there, not five), and the binary trie
-self-join of ``simhash`` runs over each of them with ``BUDGET`` bits. Texts with
-a link in any table enter the tries again with a sketch of their five-word
-shingles (``SLOTS`` minima), and only pairs whose sketches agree in a share of
-``SIMILARITY`` or more are links. Groups are the components of these links; the
-document with the smallest id of a group stays.
-
-Recall by design: a pair at similarity 0.8 has 2 % of its words changed, differs
-in 4.3 bits of a table on average, and is found by one of eight tables with
-probability 0.97; at 0.9 with 0.9999. The sketch's standard error is 0.035.
+Shingles are 64-bit hashes, in one order for all texts: those that a sample of
+texts often holds come last, the others by hash. Of two sets that are similar
+enough, the larger has a common shingle among its first fifth in that order, and
+the smaller among its first ninth, so texts meet in buckets by these shingles. In
+a bucket, pairs go that their sizes or the places of the common shingle rule out;
+none of these rules loses a pair. Every pair that is left is decided on the whole
+sets. Groups are the components of the links; the document with the smallest id
+of a group stays.
 
 Equal texts (equal lower-cased words) are one class before any join, so a large
-group of copies enters once. Pairs inside a bucket are walked in blocks and only
-a spanning star of a bucket's components leaves it.
+group of copies enters once. Pairs of neighbours by size are decided first; then
+only pairs whose texts are in different components so far are, so a large group
+of near copies gives few pairs and not the square of its size.
 
-Defined cases: texts without words are copies of each other. Rows without an id
-stay. Rows that repeat an id and a text are one document and stay or go together.
+Defined cases: texts without words are copies of each other; a text of fewer than
+five words is one shingle. Rows without an id stay. Rows that repeat an id and a
+text are one document and stay or go together.
 """
 
 from __future__ import annotations
@@ -32,145 +30,224 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.simhash import LOWER, UPPER, _rotate, components, merge_labels, trie_pairs
+from lexloom.llm.simhash import LOWER, UPPER, components
 from lexloom.llm.superkmer import mix
-from lexloom.session import stage, unstage
+from lexloom.session import share, shared, stage, unstage
 
-TABLES, BUDGET, SLOTS, WIDTH = 8, 3, 128, 5
-#: Share of equal slots that counts as a similarity of 0.8 (less one standard error).
-SIMILARITY = 0.77
+WIDTH = 5
+#: Texts whose shingles are counted for the order, and how many are kept as frequent.
+SAMPLE, FREQUENT = 8_000, 1 << 16
+#: Pairs of sets that are in a Python worker at once.
+BATCH = 256
 U = np.uint64
 
 
-def profile(text: str | None) -> tuple[int, int, list[int], bytes]:
-    """Two content hashes, the fingerprints, and the sketch of the shingles."""
-    words = (text or "").encode("utf-8", "replace").translate(bytes.maketrans(UPPER, LOWER)).split()
-    joined = b" ".join(words)
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(bytes.maketrans(UPPER, LOWER)).split()
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles by hash, in the order of the hashes."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, U)
     digest = xxhash.xxh64_intdigest
-    whole = xxhash.xxh3_128_intdigest(joined)
-    sketch = np.full(SLOTS, 0xFFFF, np.uint16)
-    prints = [0] * TABLES
-    if words:
-        hashes = np.array([digest(w) for w in words], U)
-        distinct = np.unique(hashes)
-        for t in range(TABLES):
-            own = mix(distinct ^ U((t + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            counts = np.zeros(64, np.int64)
-            for at in range(0, len(own), 1 << 14):
-                part = own[at : at + (1 << 14)]
-                counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            prints[t] = int(np.packbits(counts * 2 > len(own), bitorder="little").view(np.int64)[0])
-        n = max(1, len(hashes) - WIDTH + 1)
-        grams = np.zeros(n, U)
-        for k in range(min(WIDTH, len(hashes))):
-            grams = mix(grams + hashes[k : k + n] + U(k + 1))
-        least = np.full(SLOTS, np.iinfo(np.uint64).max, U)
-        np.minimum.at(least, (grams & U(SLOTS - 1)).astype(np.int64), grams >> U(8))
-        sketch = np.where(least == np.iinfo(np.uint64).max, U(0xFFFF), mix(least) % U(0xFFFF)).astype(np.uint16)
-    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), prints, sketch.tobytes()
-
-
-def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, th, c1, c2, prints, sketch``; th is a hash of the raw text."""
+    hashes = np.array([digest(w) for w in words], U)
+    n = max(1, len(hashes) - WIDTH + 1)
+    grams = np.zeros(n, U)
+    for k in range(min(WIDTH, len(hashes))):
+        grams = mix(grams + hashes[k : k + n] + U(k + 1))
+    return np.unique(grams)
+
+
+def profiles(docs: DataFrame) -> DataFrame:
+    """``id, th, c1, c2`` of ``id, th, text``: two hashes of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [profile(t.as_py()) for t in batch.column(2)]
-            c1, c2, prints, sketch = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["id", "th", "c1", "c2", "prints", "sketch"],
-            )
+            whole = [xxhash.xxh3_128_intdigest(b" ".join(_words(t.as_py()))) for t in batch.column(2)]
+            c1, c2 = ([(x >> by & (1 << 64) - 1) - (1 << 63) for x in whole] for by in (64, 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], names=["id", "th", "c1", "c2"])
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "id long, th long, c1 long, c2 long, prints array<long>, sketch binary")
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Do the sketches agree in enough of the slots that either fills?"""
-    filled = (a != 0xFFFF) | (b != 0xFFFF)
-    return ((a == b) & filled).sum(axis=1) >= SIMILARITY * filled.sum(axis=1)
-
-
-def stars(fp: np.ndarray, rep: np.ndarray, sketch: np.ndarray | None, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest rep, rep) of each component inside the buckets of ``fp``."""
-    order = np.argsort(fp, kind="stable")
-    fp, rep = fp[order], rep[order]
-    sketch = sketch[order] if sketch is not None else None
-    # Texts with one fingerprint are one leaf of the trie: linked in a row to
-    # their leaf's neighbours, and compared with every text that a pair names.
-    keys, first, count = np.unique(fp, return_index=True, return_counts=True)
-    labels = np.arange(len(fp))
-
-    def link(a: np.ndarray, b: np.ndarray) -> None:
-        if sketch is not None and len(a):
-            ok = np.concatenate([alike(sketch[a[k : k + 65536]], sketch[b[k : k + 65536]]) for k in range(0, len(a), 65536)])
-            a, b = a[ok], b[ok]
-        merge_labels(labels, a, b)
-
-    def members(i: np.ndarray, j: np.ndarray) -> None:
-        """All texts of leaf i against all of leaf j, in blocks."""
-        plain = (count[i] == 1) & (count[j] == 1)
-        link(first[i[plain]], first[j[plain]])
-        for x, y in zip(i[~plain].tolist(), j[~plain].tolist(), strict=True):
-            b = np.arange(first[y], first[y] + count[y])
-            for a in range(first[x], first[x] + count[x]):
-                link(np.full(len(b), a), b)
-
-    many = np.flatnonzero(count > 1)
-    members(many, many)
-    for i, j in trie_pairs(keys, BUDGET, top):
-        members(i, j)
-    least = np.full(len(fp), np.iinfo(np.int64).max)
-    np.minimum.at(least, labels, rep)
-    centre = least[labels]
-    out = centre != rep
-    return centre[out], rep[out]
-
-
-def links(classes: DataFrame, verified: bool) -> DataFrame:
-    """Edges ``a, b`` over classes (``rep, prints, sketch``)."""
-    width = 64 // (BUDGET + 1)
-    entered = classes.select("rep", "sketch" if verified else F.lit(None).cast("binary").alias("sketch"), F.posexplode("prints").alias("t", "fp"))
-    entered = entered.select("*", F.explode(F.array([F.lit(b) for b in range(BUDGET + 1)])).alias("turn")).withColumn(
-        "top", F.expr(f"shiftrightunsigned(shiftleft(fp, turn * {width}) | shiftrightunsigned(fp, 64 - turn * {width}), {64 - width})")
-    )
+    return docs.mapInArrow(run, "id long, th long, c1 long, c2 long")
+
+
+def sets(texts: DataFrame) -> DataFrame:
+    """``rep, grams`` of ``rep, text``, without texts that have no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "grams"])
+            yield out.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
+
+    return texts.mapInArrow(run, "rep long, grams binary")
+
+
+def frequent(held: DataFrame) -> np.ndarray:
+    """Shingles that a sample of the texts holds often, the rarer first. Only the
+    order of shingles depends on it, and so the work, but no result."""
+    every = max(1, held.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["gram"])
+
+    part = held.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("grams").mapInArrow(run, "gram long")
+    top = part.groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram")
+    return top.toArrow().column(0).to_numpy().view(U)[::-1]
+
+
+def probe_length(n):
+    """How many first shingles of the larger set meet one of the smaller's."""
+    return n - (4 * n + 4) // 5 + 1
+
+
+def index_length(n):
+    """How many first shingles of the smaller set are enough for that."""
+    return n - (8 * n + 8) // 9 + 1
+
+
+def entries(held: DataFrame, often) -> DataFrame:
+    """``gram, rep, n, place``: each set's first shingles, its size, their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        last = shared(often)
+        by = np.argsort(last, kind="stable")
+        known = last[by]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                grams, reps, sizes, places = [], [], [], []
+                for rep, raw in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist(), strict=True):
+                    g = np.frombuffer(raw, U)
+                    n = len(g)
+                    k = probe_length(n)
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                        common = known[where] == g
+                        if common.any():
+                            g = np.concatenate((g[~common], g[common][np.argsort(by[where[common]], kind="stable")]))
+                    grams.append(g[:k])
+                    reps.append(np.full(k, rep, np.int64))
+                    sizes.append(np.full(k, n, np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
+                columns = [np.concatenate(x) for x in (grams, reps, sizes, places)]
+                columns[0] = columns[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "rep", "n", "place"])
+
+    return held.select("rep", "grams").mapInArrow(run, "gram long, rep long, n int, place int")
+
+
+def _sorted(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
+    """The columns of a partition, by gram, size and rep."""
+    rows = [b for b in batches if b.num_rows]
+    if not rows:
+        return None
+    table = pa.Table.from_batches(rows)
+    found = {c: table.column(c).to_numpy() for c in table.column_names}
+    order = np.lexsort((found["rep"], found["n"], found["gram"]))
+    return {c: x[order] for c, x in found.items()}
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """Of ``entries`` those whose gram more than one text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _sorted(batches)
+        if found is None:
+            return
+        same = found["gram"][1:] == found["gram"][:-1]
+        many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        names = ["gram", "rep", "n", "place"]
+        yield pa.RecordBatch.from_arrays([pa.array(found[c][many]) for c in names], names=names)
+
+    return rows.repartition("gram").mapInArrow(run, "gram long, rep long, n int, place int")
+
+
+def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
+    """Pairs ``a, b`` of a bucket that may be similar: neighbours by size, or all
+    whose components (column ``own``) differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _sorted(batches)
+        if found is None:
             return
-        table = pa.Table.from_batches(held)
-        rep, fp, t, turn = (table.column(c).to_numpy() for c in ("rep", "fp", "t", "turn"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS) if verified else None
-        kind = t * (BUDGET + 1) + turn
-        for k in np.unique(kind):
-            own = np.flatnonzero(kind == k)
-            by = int(k) % (BUDGET + 1) * width
-            a, b = stars(_rotate(fp[own].view(U), by), rep[own], sketch[own] if verified else None, width)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        gram, rep, n, place = (found[c] for c in ("gram", "rep", "n", "place"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        # The smaller of a pair comes first, and meets with its first ninth.
+        small = np.flatnonzero(place < index_length(n))
+        step = 1
+        while len(small):
+            small = small[small + step < len(gram)]
+            other = small + step
+            # Sizes only grow from here, so a text too large ends the search.
+            ok = (gram[small] == gram[other]) & (5 * n[small] >= 4 * n[other])
+            small, other = small[ok], other[ok]
+            most = np.minimum(place[small], place[other]) + 1 + np.minimum(n[small] - place[small], n[other] - place[other]) - 1
+            good = 9 * most >= 4 * (n[small] + n[other])
+            if all_pairs:
+                good &= found["own"][small] != found["own"][other]
+            a, b = rep[small[good]], rep[other[good]]
+            if len(a):
+                pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            step += 1
+            if not all_pairs and step > 2:
+                break
+
+    return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have a similarity of 0.8 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                ga, gb = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                both = len(np.intersect1d(ga, gb, assume_unique=True))
+                keep.append(9 * both >= 4 * (len(ga) + len(gb)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = held.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), held.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb")
+    conf, key = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(BATCH))
+    try:
+        return stage(both.mapInArrow(run, "a long, b long"), "similar")
+    finally:
+        conf.set(key, before)
 
-    return entered.repartition("t", "turn", "top").select("rep", "sketch", "fp", "t", "turn").mapInArrow(run, "a long, b long")
+
+def links(held: DataFrame) -> DataFrame:
+    """Edges ``a, b`` of similar texts, of the same components as all of them."""
+    often = share(held.sparkSession, frequent(held))
+    met = stage(buckets(entries(held, often)), "met")
+    few = stage(held.join(met.select("rep").distinct(), "rep", "left_semi"), "few")
+    first = similar(candidates(met, False), few)
+    joined = components(first)
+    own = met.join(joined, met.rep == joined.node, "left").select("gram", "rep", "n", "place", F.coalesce("component", "rep").alias("own"))
+    rest = similar(candidates(own, True), few)
+    unstage(met)
+    unstage(few)
+    return first.unionByName(rest)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, th, component``: the smallest id of each document's group."""
-    found = stage(profiles(docs, id_col, text_col), "profiles")
-    reps = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("r")).select("c1", "c2", F.col("r.id").alias("rep"), F.col("r.th").alias("rep_th"))
-    reps = stage(reps, "reps")
-    classes = (
-        found.join(reps, (found.c1 == reps.c1) & (found.c2 == reps.c2) & (found.id == reps.rep) & (found.th == reps.rep_th))
-        .select("rep", "prints", "sketch").dropDuplicates(["rep"])
-    )
-    classes = stage(classes, "classes")
-    near = stage(links(classes, False), "near")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    edges = links(classes.join(nodes, "rep", "left_semi"), True)
-    joined = components(edges)
-    unstage(near)
-    whole = reps.join(joined, reps.rep == joined.node, "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    return found.join(whole, ["c1", "c2"]).select("id", "th", "component")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    found = stage(profiles(rows), "profiles")
+    reps = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("r")).select(F.col("c1").alias("rep"), "r.id", "r.th")
+    texts = rows.join(reps, ["id", "th"]).dropDuplicates(["id", "th"]).select("rep", "text")
+    held = stage(sets(texts), "sets")
+    joined = components(links(held))
+    unstage(held)
+    labelled = found.join(joined, found.c1 == joined.node, "left").select("id", "th", F.coalesce("component", "c1").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("id").alias("component"))
+    return labelled.join(least, "label").select("id", "th", "component")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what it should do to planted rows."""
 
+import numpy as np
+
 import corpus_pipeline
 from lexloom.llm import nearstage
 
@@ -30,3 +32,50 @@ def test_stages_and_columns(spark, tmp_path):
     left = {r.doc_id: r.text for r in now.collect()}
     assert set(left) == set(range(30)) - {1} and left[7].startswith("d7w12 ") and left[8] == rows[8][1]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 29
+
+
+def near_fixture():
+    """Texts with copies that have a block appended, cut or replaced, or words
+    changed here and there, around a similarity of 0.8 on both sides."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for size, vocabulary in ((60, 40), (300, 200), (300, 10_000), (900, 60)):
+        for _ in range(6):
+            ws = [f"w{x}" for x in rng.integers(0, vocabulary, size)]
+            fresh = [f"z{x}" for x in rng.integers(0, 1 << 30, size)]
+            texts.append(ws)
+            for share in (0.05, 0.1, 0.15, 0.2, 0.24, 0.26, 0.3):
+                k = int(size * share)
+                texts += [ws + fresh[:k], ws[k:], ws[: size // 2] + fresh[: k // 2] + ws[size // 2 + k // 2 :]]
+            for k in (1, 2, 4, 7, 9):
+                at = set(rng.choice(size, k * size // 300 + 1, replace=False).tolist())
+                texts.append([fresh[j] if j in at else w for j, w in enumerate(ws)])
+    return [" ".join(ws) for ws in texts]
+
+
+def near_brute(texts):
+    grams = [{tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} for ws in map(str.split, texts)]
+    return {(i, j) for i in range(len(grams)) for j in range(i + 1, len(grams)) if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j])}
+
+
+def test_near_pairs_against_all_pairs(spark):
+    texts = near_fixture()
+    want = near_brute(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
+    held = nearstage.sets(docs).cache()
+    often = nearstage.share(spark, nearstage.frequent(held))
+    met = nearstage.buckets(nearstage.entries(held, often))
+    own = met.withColumn("own", met.rep)
+    got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, True), held).collect()}
+    assert len(want) > 400 and got == want
+
+
+def test_near_groups_against_all_pairs(spark):
+    texts = near_fixture()
+    label = list(range(len(texts)))
+    pairs = near_brute(texts)
+    for _ in texts:
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.id: r.component for r in nearstage.groups(docs).collect()} == dict(enumerate(label))
