@@ -1,14 +1,16 @@
 """Document fingerprints by consistent weighted sampling, on DataFrame functions.
 
 A text's terms are its shingles of five words, weighted by how often they occur
-(a text of fewer words is one term). Each term is hashed into one of ``BINS``
-bins, and each bin keeps its consistent weighted sample: with r and c drawn from
-Gamma(2, 1) and b uniform, all fixed by the term's hash, t = floor(ln w / r + b)
-and the term with the smallest a = c exp(r (b - t - 1)) wins. A sample is a term
-and a t, and a bin's a is the same for two texts just where the samples are. Over
-the bins that either text fills, the rate of equal samples estimates the
-generalised Jaccard similarity of the weighted terms (one sampling for all bins
-instead of one a bin; both-empty bins are left out of the rate).
+(a text of fewer words is one term). Each occurrence of a term, by its number, is
+hashed into one of ``BINS`` bins, so a term's weight is split over the bins, and a
+smaller weight of it has a part of the same occurrences. Each bin keeps its
+consistent weighted sample of the weights w in it: with r and c drawn from
+Gamma(2, 1) and b uniform, all fixed by the hash of term and bin,
+t = floor(ln w / r + b) and the term with the smallest a = c exp(r (b - t - 1))
+wins. A sample is a term and a t, and a bin's a is the same for two texts just
+where the samples are. Over the bins that either text fills, the rate of equal
+samples estimates the generalised Jaccard similarity of the weighted terms without
+bias, as all occurrences are equally likely to be in a bin.
 
 A text costs no shuffle but the one that brings it beside its neighbour. For that,
 ids are cut into ranges by approximate quantiles (``RANGE_BYTES`` of text each)
@@ -42,8 +44,8 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _draws(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
-    """r and c from Gamma(2, 1), b uniform, and the bin, from two hashes."""
+def _draws(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """r and c from Gamma(2, 1) and b uniform, from two hashes."""
 
     def unit(bits: Column, n: int) -> Column:
         return (bits + F.lit(0.5)) * F.lit(2.0**-n)
@@ -53,7 +55,30 @@ def _draws(x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
 
     r = -F.log(unit(F.shiftrightunsigned(x, 32), 32) * unit(x.bitwiseAND(F.lit((1 << 32) - 1)), 32))
     c = -F.log(unit(field(43, 21), 21) * unit(field(22, 21), 21))
-    return r, c, unit(field(6, 16), 16), y.bitwiseAND(F.lit(BINS - 1))
+    return r, c, unit(field(6, 16), 16)
+
+
+def _counted(names: tuple[str, str]):
+    """Of a sorted array: its values and how often each occurs, as structs."""
+
+    def body(xs):
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs) - 1), lambda i: (i == 0) | (F.get(xs, i) != F.get(xs, i - 1)))
+        count = lambda at, s, k: F.coalesce(F.get(s, k + 1), F.size(xs)) - at
+        return let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(xs, at).alias(names[0]), count(at, s, k).alias(names[1]))))
+
+    return body
+
+
+def dealt(term: Column, weight: Column) -> Column:
+    """array<struct<bin, part>>: the weight split over the bins, one occurrence at
+    a time."""
+
+    def bin_of(k):
+        return F.xxhash64(term, k).bitwiseAND(F.lit(BINS - 1)).cast("int")
+
+    once = F.array(F.struct(bin_of(F.lit(0)).alias("bin"), F.lit(1).alias("part")))
+    often = let(F.sort_array(F.transform(F.sequence(F.lit(0), weight - 1), bin_of)), _counted(("bin", "part")))
+    return F.when(weight == 1, once).otherwise(often)
 
 
 def terms(text: Column) -> Column:
@@ -68,15 +93,10 @@ def terms(text: Column) -> Column:
     def pair(term, weight):
         return F.struct(term.alias("term"), weight.alias("weight"))
 
-    def counted(ts):
-        starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-        count = lambda s: F.transform(s, lambda at, k: pair(F.get(ts, at), F.coalesce(F.get(s, k + 1), F.size(ts)) - at))
-        return let(starts, count)
-
     def found(ts):
         # Most texts repeat no shingle: their terms need no counting.
         once = F.size(F.array_distinct(ts)) == F.size(ts)
-        return F.when(once, F.transform(ts, lambda t: pair(t, F.lit(1)))).otherwise(let(F.sort_array(ts), counted))
+        return F.when(once, F.transform(ts, lambda t: pair(t, F.lit(1)))).otherwise(let(F.sort_array(ts), _counted(("term", "weight"))))
 
     empty = F.array().cast("array<struct<term:bigint,weight:int>>")
     return F.when(trimmed == "", empty).otherwise(let(let(words, hashes), found))
@@ -149,9 +169,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("place", "seq", "id", F.col("extra").cast("int").alias("extra"), F.length("text").alias("n_chars"), F.sha2("edited_text", 256).alias("sha"), "text", "edited_text")
         .select("place", "seq", "id", "extra", "n_chars", *digest, F.posexplode(F.array("text", "edited_text")).alias("kind", "body"))
         .select("place", "seq", *facts, "kind", F.inline_outer(terms(F.col("body"))))
+        .select("place", "seq", *facts, "kind", "term", F.inline_outer(dealt(F.col("term"), F.col("weight"))))
     )
-    r, c, b, place = _draws(F.xxhash64("term", F.lit(1)), F.xxhash64("term", F.lit(2)))
-    drawn = rows.select("place", "seq", *facts, "kind", F.col("weight").cast("double").alias("weight"), r.alias("r"), c.alias("c"), b.alias("b"), place.alias("bin"))
+    r, c, b = _draws(F.xxhash64("term", "bin", F.lit(1)), F.xxhash64("term", "bin", F.lit(2)))
+    drawn = rows.select("place", "seq", *facts, "kind", "bin", F.col("part").cast("double").alias("weight"), r.alias("r"), c.alias("c"), b.alias("b"))
     t = F.floor(F.log("weight") / F.col("r") + F.col("b"))
     ranked = drawn.select("place", "seq", *facts, "kind", "bin", (F.col("c") * F.exp(F.col("r") * (F.col("b") - t - 1.0))).alias("a"))
     best = [F.min(F.when(F.col("kind") == k, F.col("a"))).alias(f"a{k}") for k in (0, 1)]

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, decontam, fingerprint, linededup, pii, sais, simhash, substring, suffixdedup, toxicity, urlfilter
 
@@ -239,3 +240,21 @@ def test_repeated_and_null_ids(spark, tmp_path):
         assert module.query(spark, str(tmp_path)).count() == 5, module.__name__
     kept = {(r.doc_id, r.n_removed) for r in substring.query(spark, str(tmp_path)).collect()}
     assert kept == {(1, 0), (None, 0), (2, 120)}
+
+
+def test_fingerprints_of_heavy_terms(spark):
+    """The mean rate against the exact generalised Jaccard similarity."""
+    heavy = [(300, 1000, 0, 0), (300, 1000, 0, 300), (40, 100, 0, 40), (200, 30, 15, 0), (0, 400, 100, 20)]
+    for case in heavy:
+        texts = []
+        for k in range(40):
+            shared = [f"s{k}x{j}" for j in range(case[0])]
+            phrase = [f"p{k}", f"q{k}"]
+            texts += [shared + phrase * case[1], shared + phrase * case[2] + [f"o{k}x{j}" for j in range(case[3])]]
+        exact = []
+        for a, b in zip(texts[::2], texts[1::2], strict=True):
+            x, y = (collections.Counter(tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))) for t in (a, b))
+            exact.append((x & y).total() / (x | y).total())
+        docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+        found = fingerprint.fingerprints(docs).where("id % 2 = 0").select(fingerprint.likeness(F.col("own"), F.col("next")).alias("rate"))
+        assert abs(np.mean([r.rate for r in found.collect()]) - np.mean(exact)) < 0.04, case
