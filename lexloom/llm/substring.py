@@ -41,13 +41,16 @@ SCHEME = superkmer.Scheme(k=WINDOW, m=GRAM, parts=WINDOW - GRAM + 1, words=True,
 
 
 def settle(pieces, ids, hashes):
-    """Of equal strings in a flush the earliest travels; the others go whole."""
+    """Of equal strings in a flush the earliest travels; the others go whole,
+    but those of rows equal in id and text, which are one document."""
     best: dict[bytes, int] = {}
     order = np.lexsort((pieces.start, hashes[pieces.row], ids[pieces.row])) if len(pieces.row) else np.zeros(0, int)
     lost = []
     strings = pieces.strings
+    rows, starts = pieces.row.tolist(), pieces.start.tolist()
     for x in order.tolist():
-        if best.setdefault(strings[x], x) != x:
+        y = best.setdefault(strings[x], x)
+        if y != x and (starts[x] != starts[y] or ids[rows[x]] != ids[rows[y]] or hashes[rows[x]] != hashes[rows[y]]):
             lost.append(x)
     chosen = np.fromiter(best.values(), np.int64, len(best))
     lost = np.array(lost, np.int64)

@@ -242,6 +242,13 @@ def test_repeated_and_null_ids(spark, tmp_path):
     assert kept == {(1, 0), (None, 0), (2, 120)}
 
 
+def test_substring_repeated_rows_in_one_flush(spark, tmp_path):
+    rows = [(1, BASE), (1, BASE), (None, BASE), (2, BASE), (1, BASE), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(((r.doc_id or 0, r.n_removed) for r in substring.query(spark, str(tmp_path)).collect()))
+    assert found == [(0, 0), (0, 0), (1, 0), (1, 0), (1, 0), (2, 120)]
+
+
 def test_fingerprints_of_heavy_terms(spark):
     """The mean rate against the exact generalised Jaccard similarity."""
     heavy = [(300, 1000, 0, 0), (300, 1000, 0, 300), (40, 100, 0, 40), (200, 30, 15, 0), (0, 400, 100, 20)]
