@@ -17,7 +17,8 @@ grows with the item table; a document's hits are the union over blocks.
 
 Defined cases: null and empty texts and items have no words. Rows without an id
 are judged like others. Repeated rows are judged one by one. Repeated items all
-count. With no items no word is hit. Columns other than id and text are kept by
+count. An item without an id hits words like any other; all such items together
+count as one item, which has no name in the list. With no items no word is hit. Columns other than id and text are kept by
 the stage and ignored otherwise.
 """
 
@@ -55,7 +56,7 @@ def words(text: str | None) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of word-number sequences."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -186,7 +187,7 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
     """One automaton a block of items, in the order of their ids. Items reach
     the driver one partition at a time and leave it as automata."""
     held, size = [], 0
-    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     for row in rows.toLocalIterator():
         seq = words(row["text"])
         if not seq:
@@ -256,7 +257,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             "doc_id",
             F.col("_n_words").alias("n_words"),
             "n_hit",
-            F.size("_items").cast("long").alias("n_items"),
+            (F.size(F.array_compact("_items")) + F.exists("_items", F.isnull).cast("int")).cast("long").alias("n_items"),
             F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
         )

@@ -265,3 +265,20 @@ def test_fingerprints_of_heavy_terms(spark):
         docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
         found = fingerprint.fingerprints(docs).where("id % 2 = 0").select(fingerprint.likeness(F.col("own"), F.col("next")).alias("rate"))
         assert abs(np.mean([r.rate for r in found.collect()]) - np.mean(exact)) < 0.04, case
+
+
+def test_decontamination_items_without_id(spark, tmp_path):
+    import duckdb
+
+    passage = [" ".join(f"n{j}x{k}" for k in range(14)) for j in range(3)]
+    docs = [(1, f"a b {passage[0]} c"), (2, f"{passage[1]} {passage[2]} {passage[0]}"), (3, "n0x1 n0x2"), (4, f"{passage[2]} d"), (5, None)]
+    items = [(None, passage[0]), (None, passage[1]), (7, passage[2]), (None, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in decontam.query(spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(decontam.SQL).fetchall()) and [r[2] for r in got] == [14, 42, 0, 14, 0]
+    left = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
+    assert {r.doc_id: r.text for r in left.collect()} == {3: "n0x1 n0x2", 5: None}
