@@ -441,6 +441,34 @@ def shingle_containment(spark, sf_dir):
     return resolve.shared_shingles(docs, "doc_id", "g", 0.55)
 
 
+_SHINGLES = r"""
+w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as ws from documents),
+g as (select doc_id, list_distinct([array_to_string(ws[i:i + 3], ' ') for i in generate_series(1, len(ws) - 3)]) as g from w where len(ws) >= 4)"""
+
+
+@query(f"""
+with {_SHINGLES},
+c as (select min(doc_id) as id, list_sort(g) as g from g group by list_sort(g)),
+x as (select id, unnest(g) as gram, len(g) as n from c),
+p as (select a.id as a, b.id as b, count(*) as shared, min(least(a.n, b.n)) as m from x a join x b on a.gram = b.gram and a.id < b.id group by 1, 2)
+select a, b, cast(shared as int) as shared, shared / m as similarity from p where shared / m >= 0.55
+""")
+def shingle_containment_all(spark, sf_dir):
+    """``shingle_containment`` over documents of every language and of none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.word_shingles(F.col("text"), 4).alias("g"))
+    return resolve.shared_shingles(docs, "doc_id", "g", 0.55)
+
+
+@query(f"""
+with {_SHINGLES}
+select doc_id, min(doc_id) over (partition by list_sort(g)) as class_id from g
+""")
+def shingle_classes(spark, sf_dir):
+    """The class of each document, whose least id names it in the pairs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.word_shingles(F.col("text"), 4).alias("g"))
+    return resolve.gram_classes(docs, "doc_id", "g")
+
+
 _REVISION = r"""
 r as (
   select doc_id, n_chars % 97 as filed, doc_id % 2 = 0 as reported, doc_id % 7 as dk,

@@ -24,7 +24,8 @@ def shared_shingles(table: DataFrame, key: str, grams: str, floor: float) -> Dat
         classes.select("id", F.size("g").alias("size"), F.explode("g").alias("gram")).join(freq, "gram")
         .withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("n", "gram")))
     )
-    probe = ranked.where(F.col("r") <= F.floor((1 - floor) * F.col("size")) + 1).where("n > 1").select("gram", F.col("id").alias("a"), F.col("size").alias("a_size"))
+    # A product that rounding left below a whole number counts as that number.
+    probe = ranked.where(F.col("r") <= F.floor((1 - floor) * F.col("size") + 1e-6) + 1).where("n > 1").select("gram", F.col("id").alias("a"), F.col("size").alias("a_size"))
     build = ranked.where("n > 1").select("gram", F.col("id").alias("b"), F.col("size").alias("b_size"))
     pairs = probe.join(build, "gram").where("a <> b and (a_size < b_size or (a_size = b_size and a < b))").select("a", "b").distinct()
     x, y = classes.select(F.col("id").alias("a"), F.col("g").alias("ga")), classes.select(F.col("id").alias("b"), F.col("g").alias("gb"))
@@ -33,6 +34,13 @@ def shared_shingles(table: DataFrame, key: str, grams: str, floor: float) -> Dat
     return scored.where(F.col("similarity") >= floor).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared", "similarity")
 
 
+def gram_classes(table: DataFrame, key: str, grams: str) -> DataFrame:
+    """``key, class_id``: the least key of the rows with the same gram set, which
+    stands for them all in the pairs of ``shared_shingles``."""
+    sets = table.select(key, F.array_sort(F.array_distinct(grams)).alias("g")).where("size(g) > 0")
+    return sets.select(key, F.min(key).over(Window.partitionBy("g")).alias("class_id"))
+
+
 def revisions(records: DataFrame, floor: float = 0.55) -> DataFrame:
     """``old_id, new_id, similarity``: unreported records that a reported one of
     the same date supersedes. Dockets may not both be known and disjoint; texts
