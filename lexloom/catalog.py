@@ -505,6 +505,17 @@ def name_scores(spark, sf_dir):
     return o.select("scholar_id", names.overlap_score(F.col("name"), other).alias("score"), names.related(F.col("name"), other).alias("related"))
 
 
+@query(f"""
+with {OPINIONS}
+select scholar_id, cast(case when party % 2 = 0 then 1.0 else 0.0 end as double) as score, party % 2 = 0 as related from opinions
+""")
+def name_scores_all(spark, sf_dir):
+    """``name_scores`` of every opinion; the parity of the party picks the other caption."""
+    o = synth.opinions(spark, sf_dir)
+    other = F.when(F.col("party") % 2 == 0, F.concat(F.lit("the "), F.col("name"), F.lit(", Inc."))).otherwise("Zebra Ltd. v. Yak")
+    return o.select("scholar_id", names.overlap_score(F.col("name"), other).alias("score"), names.related(F.col("name"), other).alias("related"))
+
+
 @query("""
 with t as (select p_brand as request, p_partkey as found, p_size as score from part),
 top as (select request, max(score) as m from t group by 1)
