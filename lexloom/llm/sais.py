@@ -1,12 +1,14 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are of type S (smaller than the next) or L. The leftmost S suffixes of
-their runs (LMS) are sorted by their substrings, named, and the string of names
-is sorted recursively where names repeat; the order of all suffixes is induced
-from theirs, first L from left to right, then S from right to left.
-
-Both work on whole arrays. The string of names is sorted recursively by halves: runs
-of 2^k names are ranked by the ranks of their halves, as long as any repeat.
+their runs (LMS) are sorted by their substrings and named; the order of all
+suffixes is induced from theirs, first L from left to right, then S from right to
+left.
+
+Both work on whole arrays. Where names repeat, the string of names is sorted by
+prefix doubling and not by a recursion of induced sorting: runs of 2^k names are
+ranked by the ranks of their halves, as long as any repeat. That step sorts up to
+log n times, so the whole isn't linear.
 Inducing works on waves: inside the bucket of a letter, the suffixes
 known so far form a wave, their predecessors of the same letter form the next
 wave, and those of other letters are dealt to their buckets in order. The order
