@@ -15,8 +15,11 @@ contractions, runs of letters, single digits and runs of other marks. The
 special tokens are cut out of the raw text first. Without a decoder in the file
 decoding joins the token strings by blanks.
 
-Encodings of words are kept between batches, at most ``CACHE`` of them. The
-vocabulary (fixed size, under 2 MB) is read on the driver and broadcast.
+Words and prefixes are kept between the batches of a task while they take less
+than ``CACHE_BYTES``; prefixes longer than ``KEEP`` symbols only live on the path
+being walked, so a word of a million letters costs memory in proportion. The
+encoder goes with its task. The vocabulary (fixed size, under 2 MB) is read on
+the driver and broadcast.
 
 Defined cases: a null text is empty and has no tokens. Rows are encoded one by
 one whatever their id; repeated rows give repeated results; columns other than
@@ -28,8 +31,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,8 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CACHE = 300_000
-SLICE = 1024
+#: Bound on what the kept words and prefixes of a worker take, each by estimate.
+CACHE_BYTES = 48 << 20
+#: Symbols of the longest prefix that is kept, pairs of tokens that are kept.
+KEEP, PAIRS = 24, 400_000
+#: Texts of a slice go together up to so many rows and characters.
+SLICE, SLICE_CHARS = 1024, 2 << 20
 #: Letters of the fast path's texts after lower-casing, and marks it may hold.
 LETTERS, MARKS = "a-zß-öø-ɏ", "\u2010-\u2027\u2030-\u203b\u20ac"
 #: Texts whose cut doesn't depend on the version of the Unicode tables: ASCII,
@@ -108,6 +113,7 @@ class Encoder:
         """Empty the kept words and prefixes; special tokens stand as their ids."""
         self.states.clear()
         self.numbers.clear()
+        self.held = 0
         for i in self.special.values():
             self.numbers[i] = str(i)
 
@@ -133,7 +139,7 @@ class Encoder:
         if found is None:
             a, b = self.token_of[left], self.token_of[right]
             found = self._merge(self._split(a) + self._split(b)) == [a, b]
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             self._pairs[left, right] = found
         return found
@@ -144,8 +150,6 @@ class Encoder:
         before, then down the word's own path. ``states`` are the trie's nodes by
         prefix and stay for later batches."""
         names, suffix, states = self.symbols, self.suffix, self.states
-        if len(states) > CACHE:
-            states.clear()
         spelled = sorted(("".join([names[b] for b in w.encode("utf-8")]), w) for w in new)
         stack: list[tuple[int, int]] = []
         before = ""
@@ -158,23 +162,27 @@ class Encoder:
                 shared += 1
             del stack[shared:]
             for n in range(shared + 1, len(inner) + 1):
+                if n > KEEP:
+                    stack.append(self._last(inner, n, stack, ""))
+                    continue
                 prefix = inner[:n]
                 state = states.get(prefix)
                 if state is None:
-                    state = states[prefix] = self._last(prefix, n, stack)
+                    state = states[prefix] = self._last(inner, n, stack, "")
+                    self.held += 150 + n
                 stack.append(state)
             before = inner
-            self._read_off(word, stack, self._last(path + suffix, len(path), stack))
+            self._read_off(word, stack, self._last(path, len(path), stack, suffix))
 
-    def _last(self, prefix: str, n: int, stack: list[tuple[int, int]]) -> tuple[int, int]:
-        """(last token, its symbols) of a prefix of ``n`` symbols."""
+    def _last(self, path: str, n: int, stack: list[tuple[int, int]], tail: str) -> tuple[int, int]:
+        """(last token, its symbols) of the first ``n`` symbols and a tail."""
         get = self.ids.get
         for at in range(max(0, n - self.longest), n):
-            token = get(prefix[at:])
+            token = get(path[at:n] + tail)
             if token is not None and (not at or self._fits(stack[at - 1][0], token)):
                 state = (token, n - at)
                 return self._shared.setdefault(state, state)
-        raise ValueError(f"no token ends {prefix!r}")
+        raise ValueError(f"no token ends {path[:n]!r}")
 
     def _read_off(self, word: str, stack: list[tuple[int, int]], last: tuple[int, int]) -> None:
         token, size = last
@@ -184,7 +192,8 @@ class Encoder:
             out.append(token)
             at -= size
         out.reverse()
-        self.numbers[word] = " ".join(map(str, out))
+        found = self.numbers[word] = " ".join(map(str, out))
+        self.held += 250 + 2 * len(word) + len(found)
 
     def pieces(self, text: str) -> list[str]:
         """Words of the text; a special token stands as its id."""
@@ -210,16 +219,19 @@ class Encoder:
         return list(map(self._join, self._known([self.pieces(t or "") for t in texts])))
 
     def _known(self, cut: list[list]) -> Iterator[list]:
-        """The texts' pieces, one text at a time, each with its words learned."""
+        """The texts' pieces, one text at a time, each with its words learned.
+        Words that would outgrow the cache are learned a text at a time."""
         new = {w for ws in cut for w in ws if w not in self.numbers}
-        if len(self.numbers) + len(new) <= CACHE:
+        if self.held + 20 * sum(map(len, new)) <= 2 * CACHE_BYTES:
             self.learn(list(new))
             yield from cut
-            return
-        for ws in cut:
+        else:
+            for ws in cut:
+                self.forget()
+                self.learn([w for w in set(ws) if w not in self.numbers])
+                yield ws
+        if self.held > CACHE_BYTES:
             self.forget()
-            self.learn([w for w in set(ws) if w not in self.numbers])
-            yield ws
 
     def _join(self, ws: list) -> tuple[int, str, str]:
         ids = " ".join(map(self.numbers.__getitem__, ws))
@@ -234,13 +246,18 @@ def decode(ids: list[int], encoder: Encoder) -> str:
     return " ".join(encoder.token_of[i] for i in ids)
 
 
-def _encoder(shared) -> Encoder:
-    """The Python worker's one encoder, kept between tasks and jobs: later jobs
-    with the same vocabulary find its words, and none holds a second one."""
-    kept = sys.modules.setdefault("_lexloom_bpe", types.ModuleType("_lexloom_bpe"))
-    if getattr(kept, "text", None) != shared.value:
-        kept.encoder, kept.text = Encoder(parse_vocabulary(shared.value)), shared.value
-    return kept.encoder
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts in slices: (place of the first, texts)."""
+    held, size, at = [], 0, 0
+    for k, text in enumerate(texts):
+        value = text.as_py()
+        if held and (len(held) >= SLICE or size + len(value or "") > SLICE_CHARS):
+            yield at, held
+            held, size, at = [], 0, k
+        held.append(value)
+        size += len(value or "")
+    if held:
+        yield at, held
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
@@ -253,19 +270,19 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(parse_vocabulary(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                n, ids, decoded = [], [], []
-                for count, numbers, text in encoder.encode(batch.column(1).to_pylist()):
+            for at, texts in slices(whole.column(1)):
+                n, digests, wholes = [], ([], []), ([], [])
+                for count, *found in encoder.encode(texts):
                     n.append(count)
-                    ids.append(numbers)
-                    decoded.append(text)
-                out = [batch.column(0), pa.array(n, pa.int64())]
-                out += [pa.array([hashlib.sha256(x.encode("utf-8")).hexdigest() for x in xs]) for xs in (ids, decoded)]
+                    for k in range(2):
+                        digests[k].append(hashlib.sha256(found[k].encode("utf-8")).hexdigest())
+                        if full:
+                            wholes[k].append(found[k])
+                out = [whole.column(0).slice(at, len(n)), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
                 if full:
-                    out += [pa.array([[*map(int, x.split())] for x in ids], pa.list_(pa.int32())), pa.array(decoded)]
+                    out += [pa.array([[*map(int, x.split())] for x in wholes[0]], pa.list_(pa.int32())), pa.array(wholes[1], pa.string())]
                 yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
 
     return docs.mapInArrow(run, schema)
