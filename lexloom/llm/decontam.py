@@ -11,27 +11,31 @@ Stretches in which no window can lie are not walked: every two neighbours of a
 window of two words or more are neighbours in some item, so a stretch ends
 where the automaton knows no such pair.
 
-The automaton is broadcast. Items are taken in blocks of at most
-``BLOCK_WORDS`` words, each with its own automaton and pass, so no broadcast
-grows with the item table; a document's hits are the union over blocks.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words. One automaton at a
+time stands on the driver and in a broadcast; with several blocks, each block's
+hits are written as rows of the texts that have any, by a 128-bit hash of the
+text, and its broadcast goes before the next block is read. A last pass joins
+the hits by that hash. With one block, one pass does all.
 
 Defined cases: null and empty texts and items have no words. Rows without an id
-are judged like others. Repeated rows are judged one by one. Repeated items all
-count. An item without an id hits words like any other; all such items together
-count as one item, which has no name in the list. With no items no word is hit. Columns other than id and text are kept by
-the stage and ignored otherwise.
+are judged like others. Repeated rows are judged one by one. Repeated items count
+once for an id. An item without an id hits words like any other; all such items
+together count as one item, which has no name in the list. With no items no word
+is hit. Columns other than id and text are kept by the stage, whatever their
+names, and ignored otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.session import share, shared
+from lexloom.session import share, shared, stage
 
 BLOCK_WORDS = 1_000_000
 WINDOW = 10
@@ -117,13 +121,17 @@ class Automaton:
         """Per state: the items whose windows end there, and the short items
         whose whole sequence is a suffix there, as (length, item)."""
         order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
-        holders: list[set[int]] = [set() for _ in self.next]
+        # A window ends in one chain of states; its items stand at the chain's
+        # shortest state that is as long as a window, and nowhere else.
+        top = [0] * len(self.next)
+        for s in reversed(order):
+            if self.length[s] >= self.window:
+                top[s] = top[self.link[s]] or s
+        self.top = top
+        self.holders: dict[int, set[int]] = {}
         for s, ks in ends.items():
-            holders[s] |= ks
-        for s in order:
-            if self.link[s] > 0:
-                holders[self.link[s]] |= holders[s]
-        self.holders = {s: frozenset(h) for s, h in enumerate(holders) if s and self.length[s] >= self.window}
+            if top[s]:
+                self.holders.setdefault(top[s], set()).update(ks)
         self.short: dict[int, tuple[tuple[int, int], ...]] = {}
         for s in reversed(order):
             above = self.short.get(self.link[s], ())
@@ -171,10 +179,7 @@ class Automaton:
                 if matched >= window:
                     flags[i + 1 - matched] += 1
                     flags[i + 1] -= 1
-                    s = state
-                    while length[link[s]] >= window:
-                        s = link[s]
-                    found |= self.holders[s]
+                    found |= self.holders[self.top[state]]
                 for n, k in self.short.get(state, ()):
                     if n <= matched:
                         flags[i + 1 - n] += 1
@@ -206,88 +211,149 @@ def _runs(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (all columns) with ``_n_words``, ``_runs`` (begin and end word of
-    each hit run, flat) and ``_items`` (ids with an occurring window)."""
-    spark = docs.sparkSession
-    out = docs.withColumns(
-        {"_n_words": F.lit(0).cast("long"), "_runs": F.expr("cast(array() as array<int>)"), "_items": F.expr("cast(array() as array<string>)")}
-    )
-    schema = out.schema
-    found = list(automata(items, window=window, block_words=block_words)) or [Automaton([], window)]
-    for automaton in found:
-        out = out.mapInArrow(_pass(share(spark, automaton), text_col), schema)
-    return out
+Judged = tuple[list[int], list[np.ndarray], list[set]]
+
+
+def _judge(automaton: Automaton, texts: list[str | None]) -> Judged:
+    """Number of words, flags and names of the items of each text."""
+    counts, flags, names = [], [], []
+    for text in texts:
+        seq = words(text)
+        own, ks = automaton.hits(seq)
+        counts.append(len(seq))
+        flags.append(own)
+        names.append({automaton.items[k] for k in ks})
+    return counts, flags, names
+
 
+def _block_hits(texts: DataFrame, automaton: Automaton) -> DataFrame:
+    """``h1, h2, runs, items`` of the texts that a block's items hit, staged."""
+    held = share(texts.sparkSession, automaton)
 
-def _pass(held, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared(held)
+        own = shared(held)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            old_runs = batch.column(batch.schema.get_field_index("_runs"))
-            old_items = batch.column(batch.schema.get_field_index("_items"))
-            n_words, runs, items = [], [], []
-            for i in range(batch.num_rows):
-                seq = words(texts[i].as_py())
-                flags, ks = automaton.hits(seq)
-                before = old_runs[i].as_py()
-                for a, b in zip(before[::2], before[1::2], strict=True):
-                    flags[a:b] = True
-                n_words.append(len(seq))
-                runs.append(_runs(flags))
-                items.append(old_items[i].as_py() + [automaton.items[k] for k in ks])
-            new = {"_n_words": pa.array(n_words, pa.int64()), "_runs": pa.array(runs, pa.list_(pa.int32())), "_items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays(
-                [new.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names)], names=batch.schema.names
-            )
-
-    return run
+            _, flags, names = _judge(own, batch.column(2).to_pylist())
+            hit = [k for k, f in enumerate(flags) if f.any()]
+            runs = pa.array([_runs(flags[k]) for k in hit], pa.list_(pa.int32()))
+            items = pa.array([list(names[k]) for k in hit], pa.list_(pa.string()))
+            at = pa.array(hit, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), runs, items], names=["h1", "h2", "runs", "items"])
+
+    found = texts.mapInArrow(run, "h1 long, h2 long, runs array<int>, items array<string>")
+    out = stage(found.groupBy("h1", "h2").agg(F.first("runs").alias("runs"), F.first("items").alias("items")), "block-hits")
+    held.unpersist()
+    return out
+
+
+def _through(docs: DataFrame, text_col: str, blocks: Iterator[Automaton], window: int, finish: Callable, schema) -> DataFrame:
+    """``finish(batch of docs, texts, judged)`` over all rows of ``docs``."""
+    one = next(blocks, None) or Automaton([], window)
+    other = next(blocks, None)
+    at = docs.columns.index(text_col)
+    if other is None:
+        held = share(docs.sparkSession, one)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared(held)
+            for batch in batches:
+                texts = batch.column(at).to_pylist()
+                yield finish(batch, texts, _judge(own, texts))
+
+        return docs.mapInArrow(run, schema)
+    text = F.col(f"`{text_col}`")
+    hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    texts = docs.select(*hashes, text.alias("text"))
+    found = [_block_hits(texts, one)]
+    del one
+    while other is not None:
+        found.append(_block_hits(texts, other))
+        other = next(blocks, None)
+    every = reduce(DataFrame.unionByName, found).groupBy("h1", "h2").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    rows = docs.select(F.struct("*").alias("row"), *hashes).join(every, ["h1", "h2"], "left").select("row", "runs", "items")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = pa.RecordBatch.from_struct_array(batch.column(0))
+            texts = row.column(at).to_pylist()
+            counts = [len(words(t)) for t in texts]
+            flags = []
+            for n, runs in zip(counts, batch.column(1).to_pylist(), strict=True):
+                flags.append(np.zeros(n, bool))
+                for a, b in zip((runs or ())[::2], (runs or ())[1::2], strict=True):
+                    flags[-1][a:b] = True
+            yield finish(row, texts, (counts, flags, [set(x or ()) for x in batch.column(2).to_pylist()]))
+
+    return rows.mapInArrow(joined, schema)
+
+
+def _runs(flags: np.ndarray) -> list[int]:
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], flags, [False])).astype(np.int8)))
+    return edge.tolist()
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``id, n_words, runs`` (begin and end word of each hit run, flat) and
+    ``items`` (ids with an occurring window; null stands for those without one)."""
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def finish(batch: pa.RecordBatch, _, judged: Judged) -> pa.RecordBatch:
+        counts, flags, names = judged
+        runs = pa.array([_runs(f) for f in flags], pa.list_(pa.int32()))
+        listed = pa.array([list(x) for x in names], pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), runs, listed], names=["id", "n_words", "runs", "items"])
+
+    blocks = automata(items, window=window, block_words=block_words)
+    return _through(docs, "text", blocks, window, finish, f"id {kind}, n_words long, runs array<int>, items array<string>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: contamination of the whole of ``documents`` by ``benchmark``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    n_hit = F.expr("aggregate(transform(_runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (n, x) -> n + x)")
+    n_hit = F.expr("aggregate(transform(runs, (x, i) -> if(i % 2 = 1, x, -x)), 0L, (n, x) -> n + x)")
     return (
         contamination(docs, items)
         .withColumn("n_hit", n_hit)
         .select(
-            "doc_id",
-            F.col("_n_words").alias("n_words"),
+            F.col("id").alias("doc_id"),
+            "n_words",
             "n_hit",
-            (F.size(F.array_compact("_items")) + F.exists("_items", F.isnull).cast("int")).cast("long").alias("n_items"),
-            F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
             (F.col("n_hit") > 0).alias("contaminated"),
         )
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, max_share: float = 0.8, text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, min_words: int = WINDOW, max_share: float = 0.8, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the spans of ``min_words`` hit words or more (a run made
     of short whole items counts too), and without documents of which more than
     ``max_share`` is hit. A span goes with the blanks that follow it."""
-    hit = contamination(docs, items, text_col=text_col, window=min_words)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = batch.column(batch.schema.get_field_index("_runs")).to_pylist()
-            total = batch.column(batch.schema.get_field_index("_n_words")).to_pylist()
-            column = batch.column(batch.schema.get_field_index(text_col))
-            texts, keep = [], []
-            for i, r in enumerate(runs):
-                keep.append(not r or sum(r[1::2]) - sum(r[::2]) <= max_share * total[i])
-                texts.append(_without(column[i].as_py(), r) if r else column[i].as_py())
-            new = {text_col: pa.array(texts, pa.string())}
-            if "n_chars" in schema.names:
-                k = batch.schema.get_field_index("n_chars")
-                new["n_chars"] = pa.array([len(t) if r else n for t, r, n in zip(texts, runs, batch.column(k).to_pylist(), strict=True)], pa.int64())
-            out = [new.get(f.name, batch.column(batch.schema.get_field_index(f.name))) for f in schema]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names).filter(pa.array(keep, pa.bool_()))
-
-    return hit.mapInArrow(run, schema)
+    at = docs.columns.index(text_col)
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def finish(batch: pa.RecordBatch, before: list[str | None], judged: Judged) -> pa.RecordBatch:
+        texts, keep = list(before), []
+        columns = list(batch.columns)
+        sizes = columns[size].to_pylist() if size is not None else None
+        for i, (n, flags) in enumerate(zip(*judged[:2], strict=True)):
+            hit = int(flags.sum())
+            keep.append(hit <= max_share * n)
+            if hit and keep[-1]:
+                texts[i] = _without(before[i], _runs(flags))
+                if sizes:
+                    sizes[i] = len(texts[i])
+        columns[at] = pa.array(texts, pa.string())
+        if sizes is not None:
+            columns[size] = pa.array(sizes, columns[size].type)
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    blocks = automata(items, window=min_words, block_words=block_words)
+    return _through(docs, text_col, blocks, min_words, finish, docs.schema)
 
 
 def _without(text: str, runs: list[int]) -> str:

@@ -282,3 +282,19 @@ def test_decontamination_items_without_id(spark, tmp_path):
     assert got == sorted(con.sql(decontam.SQL).fetchall()) and [r[2] for r in got] == [14, 42, 0, 14, 0]
     left = decontam.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.read.parquet(f"{tmp_path}/benchmark.parquet"))
     assert {r.doc_id: r.text for r in left.collect()} == {3: "n0x1 n0x2", 5: None}
+
+
+def test_decontamination_in_blocks(spark):
+    """Items in many blocks, repeated and missing ids, against one block."""
+    rng = np.random.default_rng(8)
+    items = [(None if k % 7 == 0 else k // 2, " ".join(f"b{x}" for x in rng.integers(0, 30, rng.integers(1, 25)))) for k in range(40)]
+    docs = [(k, " ".join(f"b{x}" for x in rng.integers(0, 30, 60)) + " " + items[k % 40][1]) for k in range(60)] + [(None, "b1 b2"), (3, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for words in (1_000_000, 60):
+        rows = decontam.contamination(docs, items, window=4, block_words=words).collect()
+        found[words] = sorted((r.id or -1, r.n_words, tuple(r.runs), tuple(sorted(x or "" for x in set(r["items"])))) for r in rows)
+        left = decontam.decontaminate(docs.withColumn("h1", F.lit("clash")), items, min_words=4, block_words=words)
+        assert left.columns == ["doc_id", "text", "h1"]
+        found[words].append(sorted((r.doc_id or -1, r.text or "") for r in left.collect()))
+    assert found[60] == found[1_000_000]
