@@ -14,7 +14,8 @@ ways are exact, whatever the sketch names.
 Defined cases: a null text is one empty line. A row without an id is kept whole
 and hides no other line. Rows that repeat an id count as one document, each is
 judged on its own lines. An empty table gives an empty result. Columns other
-than id and text are ignored.
+than id and text are kept by the stage, whatever their names, and ignored
+otherwise.
 """
 
 from __future__ import annotations
@@ -79,54 +80,41 @@ def line_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """All columns of ``docs`` with ``_lines``, ``_n_dropped`` and ``_kept`` (text)."""
-    drops = line_drops(docs, id_col, text_col, min_chars).select(
-        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.map_from_entries("drops").alias("_drops")
-    )
+    """``row`` (struct of all columns of ``docs``), ``n_lines, n_dropped`` and
+    ``kept`` (text)."""
+    drops = line_drops(docs, id_col, text_col, min_chars).select("id", "text_hash", F.map_from_entries("drops").alias("drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.withColumn("_hash0", F.xxhash64(text)).join(
-        drops, (F.col(id_col) == F.col("_id")) & (F.col("_hash0") == F.col("_hash")), "left"
-    )
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"))
+    joined = rows.join(drops, ["id", "text_hash"], "left")
+    own = F.col(f"row.`{text_col}`")
 
     def stays(_, i):
-        mask = F.coalesce(F.element_at("_drops", (i / F.lit(WORD)).cast("int")), F.lit(0).cast("long"))
+        mask = F.coalesce(F.element_at("drops", (i / F.lit(WORD)).cast("int")), F.lit(0).cast("long"))
         return F.call_function("getbit", mask, i % F.lit(WORD)) == 0
 
-    kept = F.when(F.col("_drops").isNull(), text).otherwise(F.array_join(F.filter(_lines(F.col(text_col)), stays), "\n"))
-    lost = F.aggregate(F.map_values("_drops"), F.lit(0).cast("long"), lambda n, m: n + F.bit_count(m))
-    return joined.withColumns(
-        {
-            "_n_lines": F.size(_lines(F.col(text_col))).cast("long"),
-            "_n_dropped": F.coalesce(lost, F.lit(0).cast("long")),
-            "_kept": kept,
-        }
-    ).drop("_id", "_hash", "_hash0")
+    kept = F.when(F.col("drops").isNull(), F.coalesce(own, F.lit(""))).otherwise(F.array_join(F.filter(_lines(own), stays), "\n"))
+    lost = F.aggregate(F.map_values("drops"), F.lit(0).cast("long"), lambda n, m: n + F.bit_count(m))
+    return joined.select(
+        "row",
+        F.size(_lines(own)).cast("long").alias("n_lines"),
+        F.coalesce(lost, F.lit(0).cast("long")).alias("n_dropped"),
+        kept.alias("kept"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: line dedup over the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select(
-        "doc_id",
-        F.col("_n_lines").alias("n_lines"),
-        F.col("_n_dropped").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"),
-    )
+    return dedup_lines(docs).select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays, with its repeated lines gone."""
-    out = dedup_lines(docs)
-    changed = F.col("_n_dropped") > 0
-    return out.select(
-        *[
-            F.when(changed, F.col("_kept")).otherwise(F.col("text")).alias("text")
-            if c == "text"
-            else F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-            if c == "n_chars"
-            else F.col(f"`{c}`")
-            for c in docs.columns
-        ]
+    changed = F.col("n_dropped") > 0
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    return dedup_lines(docs).select(
+        *[(F.when(changed, new[c]).otherwise(x) if c in new else x).alias(c) for c, x in old.items()]
     )
 
 

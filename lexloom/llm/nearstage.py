@@ -252,6 +252,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group the document with the smallest id stays."""
-    gone = groups(docs).where("id <> component").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    gone = groups(docs).where("id <> component").select("id", "th").distinct()
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, (F.col("doc_id") == F.col("_id")) & (th == F.col("_th")), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th"))
+    return rows.join(gone, ["id", "th"], "left_anti").select("row.*")
