@@ -1,23 +1,32 @@
-"""Near-duplicates for the pipeline: an exact join of shingle sets.
+"""Near-duplicates for the pipeline: SimHash tries, completed by an exact join.
 
 Near copies share five-word shingles with a Jaccard similarity of 0.8 or more.
-Shingles are 64-bit hashes, in one order for all texts: those that a sample of
-texts often holds come last, the others by hash. Of two sets that are similar
-enough, the larger has a common shingle among its first fifth in that order, and
-the smaller among its first ninth, so texts meet in buckets by these shingles. In
-a bucket, pairs go that their sizes or the places of the common shingle rule out;
-none of these rules loses a pair. Every pair that is left is decided on the whole
-sets. Groups are the components of the links; the document with the smallest id
-of a group stays.
-
-Equal texts (equal lower-cased words) are one class before any join, so a large
-group of copies enters once. Pairs of neighbours by size are decided first; then
-only pairs whose texts are in different components so far are, so a large group
-of near copies gives few pairs and not the square of its size.
+Links come from two sources, and each is decided on the whole sets of shingles:
+
+* SimHash over the five-word shingles and the binary trie self-join of ``simhash``
+  within ``BUDGET`` bits, which finds most near copies with one small row a text.
+* What lies beyond that budget. Shingles are 64-bit hashes, in one order for all
+  texts: those that a sample of texts often holds come last, the others by hash.
+  Of two sets that are similar enough, the larger has a common shingle among its
+  first fifth in that order, and the smaller among its first ninth, so texts meet
+  in buckets by these shingles. In a bucket, pairs go that their sizes or the
+  places of the common shingle rule out; none of these rules loses a pair.
+
+Groups are the components of the links; the document with the smallest id of a
+group stays. Equal texts (equal lower-cased words) are one class before any join,
+so a large group of copies enters once. The trie's links and neighbours by size in
+a bucket are decided first; then only pairs whose texts are in different
+components so far are, so a large group of near copies gives few pairs and not the
+square of its size.
+
+The texts of the classes are written once; shingle sets only of those that meet
+another text, and the texts go before the sets are joined.
 
 Defined cases: texts without words are copies of each other; a text of fewer than
 five words is one shingle. Rows without an id stay. Rows that repeat an id and a
-text are one document and stay or go together.
+text are one document and stay or go together; rows of one id with different texts
+are different documents. Columns other than doc_id and text are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -30,11 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm import simhash
 from lexloom.llm.simhash import LOWER, UPPER, components
 from lexloom.llm.superkmer import mix
 from lexloom.session import share, shared, stage, unstage
 
-WIDTH = 5
+WIDTH, BUDGET = 5, 3
 #: Texts whose shingles are counted for the order, and how many are kept as frequent.
 SAMPLE, FREQUENT = 8_000, 1 << 16
 #: Pairs of sets that are in a Python worker at once.
@@ -46,9 +56,8 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(bytes.maketrans(UPPER, LOWER)).split()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct shingles by hash, in the order of the hashes."""
-    words = _words(text)
+def _grams(words: list[bytes]) -> np.ndarray:
+    """The shingles by hash, repeats included, in the order of the text."""
     if not words:
         return np.zeros(0, U)
     digest = xxhash.xxh64_intdigest
@@ -57,19 +66,30 @@ def shingles(text: str | None) -> np.ndarray:
     grams = np.zeros(n, U)
     for k in range(min(WIDTH, len(hashes))):
         grams = mix(grams + hashes[k : k + n] + U(k + 1))
-    return np.unique(grams)
+    return grams
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct shingles by hash, in the order of the hashes."""
+    return np.unique(_grams(_words(text)))
 
 
 def profiles(docs: DataFrame) -> DataFrame:
-    """``id, th, c1, c2`` of ``id, th, text``: two hashes of the words."""
+    """``id, th, c1, c2, fp`` of ``id, th, text``: two hashes of the words, and the
+    SimHash of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = [xxhash.xxh3_128_intdigest(b" ".join(_words(t.as_py()))) for t in batch.column(2)]
+            whole, prints = [], []
+            for text in batch.column(2):
+                words = _words(text.as_py())
+                whole.append(xxhash.xxh3_128_intdigest(b" ".join(words)))
+                prints.append(simhash.majority(_grams(words)))
             c1, c2 = ([(x >> by & (1 << 64) - 1) - (1 << 63) for x in whole] for by in (64, 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], names=["id", "th", "c1", "c2"])
+            fp = np.array(prints, U).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(fp)], names=["id", "th", "c1", "c2", "fp"])
 
-    return docs.mapInArrow(run, "id long, th long, c1 long, c2 long")
+    return docs.mapInArrow(run, "id long, th long, c1 long, c2 long, fp long")
 
 
 def sets(texts: DataFrame) -> DataFrame:
@@ -84,16 +104,17 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "rep long, grams binary")
 
 
-def frequent(held: DataFrame) -> np.ndarray:
+def frequent(texts: DataFrame) -> np.ndarray:
     """Shingles that a sample of the texts holds often, the rarer first. Only the
     order of shingles depends on it, and so the work, but no result."""
-    every = max(1, held.count() // SAMPLE)
+    every = max(1, texts.count() // SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["gram"])
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["gram"])
 
-    part = held.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("grams").mapInArrow(run, "gram long")
+    part = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("text").mapInArrow(run, "gram long")
     top = part.groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram")
     return top.toArrow().column(0).to_numpy().view(U)[::-1]
 
@@ -108,7 +129,7 @@ def index_length(n):
     return n - (8 * n + 8) // 9 + 1
 
 
-def entries(held: DataFrame, often) -> DataFrame:
+def entries(texts: DataFrame, often) -> DataFrame:
     """``gram, rep, n, place``: each set's first shingles, its size, their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +139,11 @@ def entries(held: DataFrame, often) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 grams, reps, sizes, places = [], [], [], []
-                for rep, raw in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512].to_pylist(), strict=True):
-                    g = np.frombuffer(raw, U)
+                for rep, text in zip(batch.column(0)[at : at + 512].to_pylist(), batch.column(1)[at : at + 512], strict=True):
+                    g = shingles(text.as_py())
                     n = len(g)
+                    if not n:
+                        continue
                     k = probe_length(n)
                     if len(known):
                         where = np.minimum(np.searchsorted(known, g), len(known) - 1)
@@ -131,11 +154,13 @@ def entries(held: DataFrame, often) -> DataFrame:
                     reps.append(np.full(k, rep, np.int64))
                     sizes.append(np.full(k, n, np.int32))
                     places.append(np.arange(k, dtype=np.int32))
+                if not reps:
+                    continue
                 columns = [np.concatenate(x) for x in (grams, reps, sizes, places)]
                 columns[0] = columns[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "rep", "n", "place"])
 
-    return held.select("rep", "grams").mapInArrow(run, "gram long, rep long, n int, place int")
+    return texts.select("rep", "text").mapInArrow(run, "gram long, rep long, n int, place int")
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -192,7 +217,7 @@ def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
                 pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             step += 1
-            if not all_pairs and step > 2:
+            if not all_pairs:
                 break
 
     return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
@@ -221,17 +246,25 @@ def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
-def links(held: DataFrame) -> DataFrame:
-    """Edges ``a, b`` of similar texts, of the same components as all of them."""
-    often = share(held.sparkSession, frequent(held))
-    met = stage(buckets(entries(held, often)), "met")
-    few = stage(held.join(met.select("rep").distinct(), "rep", "left_semi"), "few")
-    first = similar(candidates(met, False), few)
+def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Edges ``a, b`` of similar texts, of the same components as all of them.
+    ``texts`` (``rep, text``) is a staged table, which goes; ``prints`` holds
+    ``rep, fp``."""
+    classes = prints.groupBy("fp").agg(F.min("rep").alias("rep"))
+    same = prints.join(classes.withColumnRenamed("rep", "b"), "fp").select(F.col("rep").alias("a"), "b").where("a <> b")
+    near = simhash.links(classes, BUDGET).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = stage(near.distinct(), "near")
+    often = share(texts.sparkSession, frequent(texts))
+    met = stage(buckets(entries(texts, often)), "met")
+    meeting = met.select("rep").union(near.select("a")).union(near.select("b")).distinct()
+    few = stage(sets(texts.join(meeting, "rep", "left_semi").select("rep", "text")), "few")
+    unstage(texts)
+    first = similar(candidates(met, False).unionByName(near).distinct(), few)
     joined = components(first)
     own = met.join(joined, met.rep == joined.node, "left").select("gram", "rep", "n", "place", F.coalesce("component", "rep").alias("own"))
     rest = similar(candidates(own, True), few)
-    unstage(met)
-    unstage(few)
+    for done in (near, met, few, joined):
+        unstage(done)
     return first.unionByName(rest)
 
 
@@ -240,11 +273,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = stage(profiles(rows), "profiles")
-    reps = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "th")).alias("r")).select(F.col("c1").alias("rep"), "r.id", "r.th")
-    texts = rows.join(reps, ["id", "th"]).dropDuplicates(["id", "th"]).select("rep", "text")
-    held = stage(sets(texts), "sets")
-    joined = components(links(held))
-    unstage(held)
+    reps = found.groupBy("c1", "c2").agg(F.min(F.struct("id", "th", "fp")).alias("r")).select(F.col("c1").alias("rep"), "r.id", "r.th", "r.fp")
+    reps = stage(reps, "reps")
+    texts = stage(rows.join(reps.select("rep", "id", "th"), ["id", "th"]).dropDuplicates(["id", "th"]).select("rep", "text"), "texts")
+    joined = components(links(texts, reps.select("rep", "fp")))
     labelled = found.join(joined, found.c1 == joined.node, "left").select("id", "th", F.coalesce("component", "c1").alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
     return labelled.join(least, "label").select("id", "th", "component")

@@ -44,12 +44,8 @@ def shingles(text: str | None, width: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    grams = shingles(text, width)
-    if not grams:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -57,6 +53,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(g, seed) for g in shingles(text, width)], dtype="<u8"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """``id, fp`` (the unsigned fingerprint's bits as a signed long)."""
 

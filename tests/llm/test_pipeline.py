@@ -63,8 +63,8 @@ def test_near_pairs_against_all_pairs(spark):
     want = near_brute(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
     held = nearstage.sets(docs).cache()
-    often = nearstage.share(spark, nearstage.frequent(held))
-    met = nearstage.buckets(nearstage.entries(held, often))
+    often = nearstage.share(spark, nearstage.frequent(docs))
+    met = nearstage.buckets(nearstage.entries(docs, often))
     own = met.withColumn("own", met.rep)
     got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, True), held).collect()}
     assert len(want) > 400 and got == want
@@ -79,3 +79,14 @@ def test_near_groups_against_all_pairs(spark):
             label[i] = label[j] = min(label[i], label[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.id: r.component for r in nearstage.groups(docs).collect()} == dict(enumerate(label))
+
+
+def test_near_dedup_of_a_repeated_id(spark):
+    """Rows of one id with different texts are different documents."""
+    one, two = ([f"{c}{k}" for k in range(200)] for c in "ab")
+    near = lambda ws: " ".join(w if k != 90 else "other" for k, w in enumerate(ws))
+    rows = [(1, " ".join(one), "x"), (1, " ".join(two), "x"), (2, near(one), "x"), (3, near(two), "x"), (4, "c d", "x"), (None, " ".join(one), "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
+    assert sorted((r.id, r.component) for r in nearstage.groups(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = nearstage.near_dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 4]
