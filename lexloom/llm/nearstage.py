@@ -19,8 +19,10 @@ a bucket are decided first; then only pairs whose texts are in different
 components so far are, so a large group of near copies gives few pairs and not the
 square of its size.
 
-The texts of the classes are written once; shingle sets only of those that meet
-another text, and the texts go before the sets are joined.
+The texts of the classes are written once. Pairs first meet with histograms of
+their shingles (counts by the hash's first byte): the smaller counts add up to at
+least what two sets share, so pairs that fall short go without a loss. Shingle sets
+are made only for the texts of the pairs that are left.
 
 Defined cases: texts without words are copies of each other; a text of fewer than
 five words is one shingle. Rows without an id stay. Rows that repeat an id and a
@@ -49,6 +51,10 @@ WIDTH, BUDGET = 5, 3
 SAMPLE, FREQUENT = 8_000, 1 << 16
 #: Pairs of sets that are in a Python worker at once.
 BATCH = 256
+#: A list of texts to look up is broadcast up to so many rows (16 bytes each).
+LOOKUP = 1_000_000
+#: A count that may be larger than it says; such a pair is not ruled out.
+FULL = 65535
 U = np.uint64
 
 
@@ -223,8 +229,47 @@ def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
     return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 0.8 or more."""
+def histograms(texts: DataFrame) -> DataFrame:
+    """``rep, counts``: how many shingles begin with each byte, as 256 16-bit
+    numbers, of texts that have words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                counts = np.bincount((shingles(text.as_py()) >> U(56)).astype(np.int64), minlength=256)
+                found.append(np.minimum(counts, FULL).astype(np.uint16).tobytes() if counts.any() else None)
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "counts"])
+            yield out.filter(out.column(1).is_valid())
+
+    return texts.mapInArrow(run, "rep long, counts binary")
+
+
+def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs that the histograms don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, 256).astype(np.int64) for k in (2, 3))
+                most = np.minimum(x, y).sum(axis=1)
+                keep = (9 * most >= 4 * (x.sum(axis=1) + y.sum(axis=1))) | (x == FULL).any(axis=1) | (y == FULL).any(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    x, y = (counts.select(F.col("rep").alias(c), F.col("counts").alias(f"c{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+
+
+def chosen(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """The texts of the listed reps."""
+    reps = stage(reps.distinct(), "reps")
+    small = reps.count() <= LOOKUP
+    return texts.join(F.broadcast(reps) if small else reps, "rep", "left_semi").select("rep", "text")
+
+
+def similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have a similarity of 0.8 or more, staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,6 +280,8 @@ def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 keep.append(9 * both >= 4 * (len(ga) + len(gb)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = stage(possible(pairs, counts), "possible")
+    held = stage(sets(chosen(texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")))), "sets")
     x, y = held.select(F.col("rep").alias("a"), F.col("grams").alias("ga")), held.select(F.col("rep").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "ga", "gb")
     conf, key = pairs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -244,6 +291,8 @@ def similar(pairs: DataFrame, held: DataFrame) -> DataFrame:
         return stage(both.mapInArrow(run, "a long, b long"), "similar")
     finally:
         conf.set(key, before)
+        unstage(held)
+        unstage(pairs)
 
 
 def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
@@ -256,14 +305,13 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     near = stage(near.distinct(), "near")
     often = share(texts.sparkSession, frequent(texts))
     met = stage(buckets(entries(texts, often)), "met")
-    meeting = met.select("rep").union(near.select("a")).union(near.select("b")).distinct()
-    few = stage(sets(texts.join(meeting, "rep", "left_semi").select("rep", "text")), "few")
-    unstage(texts)
-    first = similar(candidates(met, False).unionByName(near).distinct(), few)
+    meeting = met.select("rep").union(near.select("a")).union(near.select("b"))
+    counts = stage(histograms(chosen(texts, meeting)), "histograms")
+    first = similar(candidates(met, False).unionByName(near).distinct(), counts, texts)
     joined = components(first)
     own = met.join(joined, met.rep == joined.node, "left").select("gram", "rep", "n", "place", F.coalesce("component", "rep").alias("own"))
-    rest = similar(candidates(own, True), few)
-    for done in (near, met, few, joined):
+    rest = similar(candidates(own, True), counts, texts)
+    for done in (near, met, counts, texts, joined):
         unstage(done)
     return first.unionByName(rest)
 

@@ -62,11 +62,11 @@ def test_near_pairs_against_all_pairs(spark):
     texts = near_fixture()
     want = near_brute(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
-    held = nearstage.sets(docs).cache()
+    counts = nearstage.histograms(docs).cache()
     often = nearstage.share(spark, nearstage.frequent(docs))
     met = nearstage.buckets(nearstage.entries(docs, often))
     own = met.withColumn("own", met.rep)
-    got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, True), held).collect()}
+    got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, True), counts, docs).collect()}
     assert len(want) > 400 and got == want
 
 
