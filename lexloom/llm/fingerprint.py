@@ -1,23 +1,30 @@
 """Document fingerprints by consistent weighted sampling, on DataFrame functions.
 
 A text's terms are its shingles of five words, weighted by how often they occur
-(a text of fewer words is one term). Each occurrence of a term, by its number, is
-hashed into one of ``BINS`` bins, so a term's weight is split over the bins, and a
-smaller weight of it has a part of the same occurrences. Each bin keeps its
-consistent weighted sample of the weights w in it: with r and c drawn from
-Gamma(2, 1) and b uniform, all fixed by the hash of term and bin,
-t = floor(ln w / r + b) and the term with the smallest a = c exp(r (b - t - 1))
-wins. A sample is a term and a t, and a bin's a is the same for two texts just
-where the samples are. Over the bins that either text fills, the rate of equal
-samples estimates the generalised Jaccard similarity of the weighted terms without
-bias, as all occurrences are equally likely to be in a bin.
+(a text of fewer words is one term). Each of the ``ENTRIES`` entries of a
+fingerprint draws for every term its own r and c from Gamma(2, 1) and b uniform,
+fixed by the hash of term and entry. With t = floor(ln w / r + b) the term with
+the smallest a = c exp(r (b - t - 1)) is the entry's sample, and two texts have the
+same sample with the probability of their generalised Jaccard similarity.
+
+The draws come from three exponential numbers, so that the frequent weight 1 is
+cheap: c = e3 + e4, r = e1 + e2 and b = e2 / r, where e1 = -ln(e3 / c). These r, c
+and b are independent and distributed as said (the share of one of two exponential
+numbers in their sum is uniform and independent of the sum). They give
+t = floor((ln w + e2) / r) and a = e3 exp(-t r); for w = 1, t is 0 and a is e3.
+Compared is x = 1 - exp(-a), which grows with a: for w = 1 it is the uniform number
+that e3 is made of, a hash of term and entry.
+
+A sample is kept as its x, which is the same for two texts just where term and t
+are. An entry's sample is the least x over a document's terms, so ``ENTRIES``
+minima in one aggregation, whose buffers hold one number an entry.
 
 A text costs no shuffle but the one that brings it beside its neighbour. For that,
-ids are cut into ranges by approximate quantiles (``RANGE_BYTES`` of text each)
-and a window orders each range; the first document of the next range joins it as
-an extra row, so the window needs no other range. Terms are counted inside the
-row and exploded; the sums that follow are by range and document, so they stay
-in the task that holds the range and hold 64 bins a document.
+ids are cut into ranges by approximate quantiles (``RANGE_BYTES`` of text each, at
+most ``MAX_RANGES`` ranges, which then grow) and a window orders each range; the
+first document of the next range joins it as an extra row, so the window needs no
+other range. Terms are counted inside the row and exploded; the minima that follow
+are by range and document, so they stay in the task that holds the range.
 
 Defined cases: null texts are empty; empty texts have empty fingerprints, whose
 likeness is 1 to each other and 0 to others. Rows of one id are ordered by text.
@@ -32,11 +39,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BINS = 64
+ENTRIES = 64
 SHINGLE = 5
 RANGE_BYTES = 2 << 20
-MAX_RANGES = 50_000
+#: Ranges, and points of the quantiles that they are cut by.
+MAX_RANGES = 10_000
 BLANKS = " \t\n\x0b\x0c\r"
+#: An x is kept as a whole number below 2^62.
+SCALE = 2.0**62
 
 
 def let(value: Column, body) -> Column:
@@ -44,18 +54,24 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _draws(x: Column, y: Column) -> tuple[Column, Column, Column]:
-    """r and c from Gamma(2, 1) and b uniform, from two hashes."""
+def _uniform(term: Column, entry: Column, turn: int) -> Column:
+    """A uniform number of 62 bits, by term, entry and turn."""
+    return F.shiftrightunsigned(F.xxhash64(term, entry, F.lit(turn)), 2)
 
-    def unit(bits: Column, n: int) -> Column:
-        return (bits + F.lit(0.5)) * F.lit(2.0**-n)
 
-    def field(at: int, n: int) -> Column:
-        return F.shiftrightunsigned(y, at).bitwiseAND(F.lit((1 << n) - 1))
+def _heavy(term: Column, entry: Column, weight: Column) -> Column:
+    """x of a term of any weight."""
 
-    r = -F.log(unit(F.shiftrightunsigned(x, 32), 32) * unit(x.bitwiseAND(F.lit((1 << 32) - 1)), 32))
-    c = -F.log(unit(field(43, 21), 21) * unit(field(22, 21), 21))
-    return r, c, unit(field(6, 16), 16)
+    def exponential(turn: int) -> Column:
+        return -F.log1p(-(_uniform(term, entry, turn) + F.lit(0.5)) / F.lit(SCALE))
+
+    def sample(e):
+        e2, e3, e4 = (F.get(e, F.lit(k)) for k in range(3))
+        r = e2 - F.log(e3 / (e3 + e4))
+        return let(r, lambda r: -F.expm1(-e3 * F.exp(-F.floor((F.log(weight) + e2) / r) * r)))
+
+    drawn = F.array(exponential(2), exponential(0), exponential(1))
+    return (let(drawn, sample) * F.lit(SCALE)).cast("long")
 
 
 def _counted(names: tuple[str, str]):
@@ -69,18 +85,6 @@ def _counted(names: tuple[str, str]):
     return body
 
 
-def dealt(term: Column, weight: Column) -> Column:
-    """array<struct<bin, part>>: the weight split over the bins, one occurrence at
-    a time."""
-
-    def bin_of(k):
-        return F.xxhash64(term, k).bitwiseAND(F.lit(BINS - 1)).cast("int")
-
-    once = F.array(F.struct(bin_of(F.lit(0)).alias("bin"), F.lit(1).alias("part")))
-    often = let(F.sort_array(F.transform(F.sequence(F.lit(0), weight - 1), bin_of)), _counted(("bin", "part")))
-    return F.when(weight == 1, once).otherwise(often)
-
-
 def terms(text: Column) -> Column:
     """array<struct<term, weight>>: the text's shingles by hash, and their counts."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
@@ -103,14 +107,14 @@ def terms(text: Column) -> Column:
 
 
 def as_string(found: Column) -> Column:
-    """Six hexadecimal digits a filled bin: two for the bin, four for its sample."""
-    return F.lower(F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), 6, "0")), ""))
+    """Eight hexadecimal digits an entry."""
+    return F.lower(F.array_join(F.transform(found, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    bins = lambda x: F.transform(x, lambda v: F.shiftright(v, 16))
-    either = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """The rate of equal entries; 1 for two empty fingerprints."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(same / F.lit(ENTRIES))
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
@@ -132,11 +136,10 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, text, next_text, extra, place, seq`` partitioned by ``place``; rows
     with ``extra`` only stand in for the next range's first document."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = min(MAX_RANGES, max(1, -(-size // RANGE_BYTES)))
-    points = [k / n for k in range(1, n)]
-    bounds = rows.agg(F.percentile_approx("id", points, max(10_000, 20 * n))).first()[0] if points else []
-    bounds = sorted(set(bounds or []))
+    points = [k / MAX_RANGES for k in range(1, MAX_RANGES)]
+    facts = rows.agg(F.sum(F.length("text")).alias("size"), F.percentile_approx("id", points, 10 * MAX_RANGES).alias("at")).first()
+    n = min(MAX_RANGES, max(1, -(-(facts["size"] or 0) // RANGE_BYTES)))
+    bounds = sorted({facts["at"][k * MAX_RANGES // n - 1] for k in range(1, n)}) if facts["at"] else []
     rows = rows.withColumn("place", _range_of(F.col("id"), bounds))
     firsts = {r["place"]: r["id"] for r in rows.where("id is not null").groupBy("place").agg(F.min("id").alias("id")).collect()}
     order = sorted(firsts)
@@ -157,35 +160,38 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, n_chars, edited_sha256, own, edited, next``: the samples of the text,
-    of the edited text and of the next document as array<int>, one entry a filled
-    bin: bin * 2^16 + 16 bits of the sample."""
+    of the edited text and of the next document, 32 bits an entry, as array<long>
+    (empty for a text without words)."""
     edited = F.concat(F.expr("left(text, length(text) - length(text) div 2)"), F.expr("left(next_text, cast(length(text) div 2 as int))"))
     # The digest rides along as numbers, which a hash aggregation can hold.
     digest = [F.conv(F.substring("sha", 16 * k + 1, 16), 16, -10).cast("bigint").alias(f"sha{k}") for k in range(4)]
-    facts = ["id", "extra", "n_chars", "sha0", "sha1", "sha2", "sha3"]
+    keys = ["place", "seq", "kind", "id", "extra", "n_chars", *[f"sha{k}" for k in range(4)]]
+    weight, every = F.col("weight"), F.array(*[F.lit(k) for k in range(ENTRIES)])
+    # A term of weight 1 is one row for all entries (-1), another one a row an entry.
+    entries = F.when(weight == 1, F.array(F.lit(-1))).when(weight > 1, every)
     rows = (
         with_next(docs, id_col, text_col)
         .withColumn("edited_text", edited)
-        .select("place", "seq", "id", F.col("extra").cast("int").alias("extra"), F.length("text").alias("n_chars"), F.sha2("edited_text", 256).alias("sha"), "text", "edited_text")
+        .select("place", "seq", "id", "extra", F.length("text").alias("n_chars"), F.sha2("edited_text", 256).alias("sha"), "text", "edited_text")
         .select("place", "seq", "id", "extra", "n_chars", *digest, F.posexplode(F.array("text", "edited_text")).alias("kind", "body"))
-        .select("place", "seq", *facts, "kind", F.inline_outer(terms(F.col("body"))))
-        .select("place", "seq", *facts, "kind", "term", F.inline_outer(dealt(F.col("term"), F.col("weight"))))
-    )
-    r, c, b = _draws(F.xxhash64("term", "bin", F.lit(1)), F.xxhash64("term", "bin", F.lit(2)))
-    drawn = rows.select("place", "seq", *facts, "kind", "bin", F.col("part").cast("double").alias("weight"), r.alias("r"), c.alias("c"), b.alias("b"))
-    t = F.floor(F.log("weight") / F.col("r") + F.col("b"))
-    ranked = drawn.select("place", "seq", *facts, "kind", "bin", (F.col("c") * F.exp(F.col("r") * (F.col("b") - t - 1.0))).alias("a"))
-    best = [F.min(F.when(F.col("kind") == k, F.col("a"))).alias(f"a{k}") for k in (0, 1)]
-    binned = ranked.groupBy("place", "seq", "bin").agg(*best, *[F.max(f).alias(f) for f in facts])
-    entry = lambda a: F.when(F.col(a).isNotNull(), (F.col("bin") * 65536 + F.xxhash64(a).bitwiseAND(F.lit(65535))).cast("int"))
-    signed = binned.select("place", "seq", *facts, entry("a0").alias("e0"), entry("a1").alias("e1"))
-    whole = signed.groupBy("place", "seq").agg(
-        *[F.max(f).alias(f) for f in facts], F.sort_array(F.collect_list("e0")).alias("own"), F.sort_array(F.collect_list("e1")).alias("edited")
+        .select(*keys, F.inline_outer(terms(F.col("body"))))
+        .select(*keys, "term", "weight", F.explode_outer(entries).alias("entry"))
+        .select(*keys, "term", "entry", F.when(F.col("entry") >= 0, _heavy(F.col("term"), F.col("entry"), F.col("weight").cast("double"))).alias("x"))
     )
-    by = Window.partitionBy("place").orderBy("seq")
+
+    def least(k: int) -> Column:
+        light = _uniform(F.col("term"), F.lit(k), 0)
+        return F.min(F.when(F.col("entry") < 0, light).when(F.col("entry") == k, F.col("x"))).alias(f"x{k}")
+
+    drawn = rows.groupBy(*keys).agg(*[least(k) for k in range(ENTRIES)])
+    bits = F.array(*[F.xxhash64(f"x{k}").bitwiseAND(F.lit((1 << 32) - 1)) for k in range(ENTRIES)])
+    sign = F.when(F.col("x0").isNull(), F.array().cast("array<bigint>")).otherwise(bits).alias("own")
+    by = Window.partitionBy("place").orderBy("seq", "kind")
     sha = F.lower(F.concat(*[F.lpad(F.hex(f"sha{k}"), 16, "0") for k in range(4)]))
     return (
-        whole.withColumn("next", F.lead("own").over(by)).where("extra = 0")
+        drawn.select(*keys, sign)
+        .withColumns({"edited": F.lead("own", 1).over(by), "next": F.lead("own", 2).over(by)})
+        .where("kind = 0 and not extra")
         .select(
             "id", F.col("n_chars").cast("long").alias("n_chars"), sha.alias("edited_sha256"), "own", "edited",
             F.when(F.col("id").isNull(), F.col("own")).otherwise(F.coalesce("next", "own")).alias("next"),
