@@ -101,7 +101,7 @@ def _party_queries(spark, sf_dir):
 
 _TOKENS = """
 t as (select distinct scholar_id, unnest(regexp_extract_all(lower(name), '[a-z0-9]+')) as token from opinions),
-tok as (select * from t where length(token) >= 2 and token not in ('the','of','and','in','re','ex','rel','et','al','for','vs')),
+tok as (select * from t where length(token) >= 2 and token not in ('the','of','and','in','re','v','vs','et','al','a','an','for','on','ex','parte','matter','state','people')),
 q as (
   select request, token from (
     select cast(n_nationkey as varchar) as request, unnest(['customer', lpad(cast(n_nationkey * 7 as varchar), 9, '0'), 'nation', cast(n_nationkey as varchar)]) as token from nation
@@ -304,7 +304,7 @@ def greedy_nonoverlap(spark, sf_dir):
 select p_partkey as id, cast(p_size as varchar) || case p_partkey % 3 when 0 then '' when 1 then 'n4' else 'n4,5' end as pin,
        cast(p_size as varchar) || case p_partkey % 3 when 0 then '' when 1 then ' n.4' else ' nn.4–5' end as shown,
        cast(p_size as varchar) as page, cast(p_partkey % 3 as int) as n_notes,
-       p_size || ':' || p_partkey || case when p_partkey % 2 = 0 then ':a,1' else '' end as spec,
+       p_size || ':' || p_partkey || case when p_partkey % 2 = 0 then ':a,1' else ':' end as spec,
        p_size || ' U.S.C. § ' || p_partkey || case when p_partkey % 2 = 0 then '(a)(1)' else '' end as label
 from part
 """)
@@ -394,10 +394,10 @@ with s as (
          ['name', 'date', 'docket', 'text', 'cites', 'court', 'judge'][l_linenumber] as signal
   from (select *, l_linestatus as l_shipmode from lineitem)
 )
-select case_id, 'c' || rel as rel_key, min_by(relation, (seq, relation)) as relation, string_agg(distinct signal, ',' order by signal) as signals,
+select case_id, 'c' || rel as rel_key, arg_min(relation, seq * 4 + ascii(relation) % 4) as relation, string_agg(distinct signal, ',' order by signal) as signals,
        case when bool_or(signal in ('docket', 'cites')) or count(distinct signal) >= 2 then 'confirmed' else 'possible' end as confidence
 from s group by case_id, rel
-""".replace("min_by(relation, (seq, relation))", "arg_min(relation, seq * 4 + ascii(relation) % 4)"))
+""")
 def signal_merge(spark, sf_dir):
     """Related cases with the evidence of all signals."""
     line = table(spark, sf_dir, "lineitem")
@@ -695,10 +695,10 @@ def unique_names(spark, sf_dir):
 
 
 @query("""
-select o_orderkey as id, rn, page from (
+select o_orderkey as id, rn, (rn - 1) // 10 as page from (
   select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as rn from orders
-) s, lateral (select (rn - 1) // 10 as page) where rn <= 20
-""".replace(", lateral (select (rn - 1) // 10 as page)", "").replace("rn, page", "rn, (rn - 1) // 10 as page"))
+) s where rn <= 20
+""")
 def newest_first_page(spark, sf_dir):
     """A ranked list, ten rows a page, two pages."""
     o = table(spark, sf_dir, "orders")

@@ -135,14 +135,14 @@ def show_pin(pin: Column) -> Column:
 
 
 def statute_spec(title: Column, section: Column, subs: Column) -> Column:
-    """"title:section:sub,sub", without the last part where there are no subs."""
-    return F.concat_ws(":", title.cast("string"), section, F.when(F.size(subs) > 0, F.array_join(subs, ",")))
+    """"title:section:sub,sub"; the last part is empty where there are no subs."""
+    return F.concat_ws(":", title.cast("string"), section, F.array_join(subs, ","))
 
 
 def statute_label(spec: Column, code: str = "U.S.C.") -> Column:
     parts = F.split(spec, ":")
-    subs = F.when(F.size(parts) > 2, F.array_join(F.transform(F.split(parts[2], ","), lambda s: F.concat(F.lit("("), s, F.lit(")"))), "")).otherwise("")
-    return F.concat(parts[0], F.lit(f" {code} § "), parts[1], subs)
+    subs = F.filter(F.split(F.coalesce(F.get(parts, F.lit(2)), F.lit("")), ","), lambda s: s != "")
+    return F.concat(parts[0], F.lit(f" {code} § "), parts[1], F.array_join(F.transform(subs, lambda s: F.concat(F.lit("("), s, F.lit(")"))), ""))
 
 
 def json_spec(**fields: Column) -> Column:

@@ -5,41 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that name no party.
-STOP_TOKENS = ("the", "of", "and", "in", "re", "ex", "rel", "et", "al", "for", "vs")
-ENTITY_WORDS = ("inc", "corp", "co", "company", "corporation", "ltd", "llc", "lp", "llp", "incorporated", "limited", "the", "of", "and", "et", "al")
+# Words too general to search a party by; words that tell no two
+# captions apart; business forms.
+STOP_TOKENS = ("the", "of", "and", "in", "re", "v", "vs", "et", "al", "a", "an", "for", "on", "ex", "parte", "matter", "state", "people")
+CAPTION_WORDS = ("v", "vs", "the", "of", "and", "in", "re", "ex", "parte", "et", "al", "no")
+ENTITY_WORDS = ("llc", "llp", "lp", "plc", "inc", "co", "cos", "corp", "ltd", "company", "corporation", "incorporated")
+
+
+def sides(name: Column) -> Column:
+    """The sides of "A v. B" as written, split once; one side without a "v."."""
+    return F.filter(F.transform(F.split(name, r"(?i)\s+vs?\.\s+", 2), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def parties(name: Column) -> Column:
-    """The sides of "A v. B", trimmed; one side where there is no "v."."""
-    return F.filter(F.transform(F.split(name, r"\s+[vV][sS]?\.\s+"), lambda p: F.trim(p)), lambda p: p != "")
+    """The sides in lower case, only a-z, 0-9 and single blanks."""
+    plain = lambda p: F.trim(F.regexp_replace(F.lower(p), "[^a-z0-9]+", " "))
+    return F.filter(F.transform(sides(name), plain), lambda p: p != "")
+
+
+def _runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def tokens(text: Column) -> Column:
     """Distinct a-z0-9 runs of two letters or more that aren't stop words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_TOKENS)))
+    return F.array_distinct(F.filter(_runs(text), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_TOKENS)))
 
 
 def words(text: Column) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.filter(found, lambda t: ~t.isin(*ENTITY_WORDS))
+    """Distinct words of a party that can tell it from another."""
+    return F.array_distinct(F.filter(_runs(text), lambda t: (F.length(t) >= 2) & ~t.isin(*CAPTION_WORDS, *ENTITY_WORDS)))
 
 
 def overlap_score(query: Column, candidate: Column, floor: float = 0.6) -> Column:
     """Mean over the query's parties of the best share of a party's words found
     in one of the candidate's parties; 0 where no party reaches ``floor``."""
-    theirs = F.transform(parties(candidate), words)
-    mine = F.filter(F.transform(parties(query), words), lambda w: F.size(w) > 0)
+    theirs = F.filter(F.transform(sides(candidate), words), lambda w: F.size(w) > 0)
+    mine = F.filter(F.transform(sides(query), words), lambda w: F.size(w) > 0)
 
     def best(w):
-        return F.coalesce(F.array_max(F.transform(theirs, lambda c: F.size(F.array_intersect(w, c)) / F.size(F.array_distinct(w)))), F.lit(0.0))
+        return F.coalesce(F.array_max(F.transform(theirs, lambda c: F.size(F.array_intersect(w, c)) / F.size(w))), F.lit(0.0))
 
     scores = F.transform(mine, best)
     total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
     return F.when(F.coalesce(F.array_max(scores), F.lit(0.0)) < floor, F.lit(0.0)).otherwise(total / F.size(scores))
 
 
+def title_words(title: Column) -> Column:
+    """The set of a title's words by which two results are one case or two."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("([a-z]{3,})"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.isin("the", "and", "inc", "corp", "llc"))))
+
+
 def close(a: Column, b: Column) -> Column:
     """Equal tokens, or one a prefix of the other and both over three letters."""
     long = (F.length(a) > 3) & (F.length(b) > 3)
@@ -55,22 +72,39 @@ def side_overlap(a: Column, b: Column) -> Column:
 
 def related(a: Column, b: Column, threshold: float = 0.5) -> Column:
     """Loose relation of two captions: some pair of sides overlaps enough."""
-    left, right = F.transform(parties(a), tokens), F.transform(parties(b), tokens)
+    left, right = F.transform(sides(a), tokens), F.transform(sides(b), tokens)
     return F.exists(left, lambda x: F.exists(right, lambda y: side_overlap(x, y) >= threshold))
 
 
+# Connectors and roles, which identify no reported case.
+ROLE_WORDS = (
+    "v", "vs", "versus", "against", "and", "the", "of", "in", "on", "an", "a", "re", "ex", "parte", "or", "to", "for", "his", "her", "wife", "al", "ux",
+    "anor", "another", "others", "co", "ltd", "limited", "esq", "esqrs", "gent", "clerk", "knt", "bart", "appellant", "appellants", "respondent",
+    "respondents", "plaintiff", "plaintiffs", "defendant", "defendants", "executor", "executors", "administratrix", "administrator", "deceased",
+    "same", "case",
+)
+
+
+def folded(name: Column) -> Column:
+    """A case name for comparison: lower case, "&" as "and", no marks, single blanks."""
+    return F.trim(F.regexp_replace(F.replace(F.lower(F.coalesce(name, F.lit(""))), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
+
+
+def distinctive(name: Column) -> Column:
+    """The words that identify a case: three letters or more, no number, no role."""
+    return F.filter(F.split(folded(name), " "), lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(*ROLE_WORDS))
+
+
 def name_match(query: Column, name: Column) -> Column:
-    """1.0 for the same tokens, 0.9 for a run inside the name, 0.7 scattered, else
-    0: each query token equals a name token or is its prefix, two letters short
-    at most."""
-    q, n = tokens(query), tokens(name)
-    fits = F.forall(q, lambda t: F.exists(n, lambda x: x.startswith(t) & (F.length(x) - F.length(t) <= 2)))
-    return (
-        F.when((F.size(q) == 0) | ~fits, F.lit(0.0))
-        .when(q == n, F.lit(1.0))
-        .when(F.concat(F.lit(" "), F.array_join(n, " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.array_join(q, " "), F.lit(" "))), F.lit(0.9))
-        .otherwise(F.lit(0.7))
-    )
+    """1.0 for the same name, 0.9 for a run of words inside it, 0.7 for all
+    distinctive words scattered, else 0: each must equal a word of the name or be
+    its prefix, two letters short at most."""
+    q, n = folded(query), folded(name)
+    words = F.split(n, " ")
+    need = distinctive(query)
+    fits = F.forall(need, lambda t: F.exists(words, lambda x: x.startswith(t) & (F.length(x) - F.length(t) <= 2)))
+    padded = lambda s: F.concat(F.lit(" "), s, F.lit(" "))
+    return F.when((F.size(need) == 0) | ~fits, F.lit(0.0)).when(q == n, F.lit(1.0)).when(padded(n).contains(padded(q)), F.lit(0.9)).otherwise(F.lit(0.7))
 
 
 def safe_stem(label: Column, limit: int = 80) -> Column:

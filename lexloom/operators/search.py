@@ -20,30 +20,42 @@ def by_citation(opinions: DataFrame, citations: DataFrame, wanted: DataFrame) ->
 
 
 def party_index(opinions: DataFrame) -> DataFrame:
-    """scholar_id, token: the distinct tokens of the parties."""
-    return opinions.select("scholar_id", F.explode(names.tokens(F.col("name"))).alias("token"))
+    """scholar_id, tokens (all of a name's), token (one a row)."""
+    named = opinions.select("scholar_id", names.tokens(F.col("name")).alias("tokens"))
+    return named.select("scholar_id", "tokens", F.explode("tokens").alias("token"))
 
 
 def _asked(wanted: DataFrame) -> DataFrame:
-    return wanted.select("request", F.explode(names.tokens(F.col("query"))).alias("token"))
-
-
-def matches(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """request, scholar_id, hits: distinct query tokens found in the names."""
-    return index.join(_asked(wanted), "token").groupBy("request", "scholar_id").agg(F.count_distinct("token").alias("hits"))
+    held = wanted.select("request", names.tokens(F.col("query")).alias("needed"))
+    return held.select("request", "needed", F.explode("needed").alias("token"))
 
 
 def all_tokens(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Relational division: opinions whose names hold every token of a query."""
-    need = _asked(wanted).groupBy("request").agg(F.count("*").alias("need"))
-    return matches(index, wanted).join(need, "request").where("hits >= need").select("request", "scholar_id")
+    """Relational division: opinions whose names hold every token of a query.
+
+    Opinions meet a query on its rarest token only (a token that no name holds is
+    rarest of all), and the other tokens are looked up in the name's own array, so
+    a token that all names share pairs nothing."""
+    asked = _asked(wanted)
+    found = index.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = (
+        asked.join(found, "token", "left").groupBy("request")
+        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"), F.first("needed").alias("needed"))
+    )
+    return index.join(rarest, "token").where(F.size(F.array_except("needed", "tokens")) == 0).select("request", "scholar_id")
 
 
 def any_token(index: DataFrame, opinions: DataFrame, wanted: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` best opinions of each query: most hits, year, name, id."""
-    found = matches(index, wanted).join(opinions.select("scholar_id", "name", "year"), "scholar_id")
+    """The ``limit`` best opinions of each query: most hits, year, name, id. The
+    window's limit is applied before its shuffle too, so a token that all names
+    share sends ``limit`` rows a task."""
+    hits = F.size(F.array_intersect("needed", "tokens")).cast("long").alias("hits")
+    # An opinion meets a query once, on the first of the tokens that they share.
+    first = F.get(F.array_intersect("tokens", "needed"), F.lit(0)) == F.col("token")
+    found = index.join(_asked(wanted), "token").where(first).select("request", "scholar_id", hits)
+    found = found.join(opinions.select("scholar_id", "name", "year"), "scholar_id")
     order = Window.partitionBy("request").orderBy(F.desc("hits"), "year", "name", "scholar_id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).withColumn("rank", F.col("n").cast("long")).drop("n")
 
 
 def shape(query):
