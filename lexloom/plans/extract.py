@@ -1,11 +1,10 @@
-"""Citation extraction: text -> links, as a Python UDF per batch and a relational
-tail.
-
-Spark has no function for the positions of all matches, so one Arrow pass per
-batch draws the matches of every kind with their offsets. Which matches stay is
-decided inside the row by the fold ``greedy_spans``; short forms are resolved
-against the document's own full citations; "Id." goes back over the citations
-before it. Texts never leave the pass, only links do.
+"""Citation extraction: text -> links, in one Arrow pass a batch.
+
+Spark has no function for the positions of all matches, so one pass draws the
+matches of every kind with their offsets, chooses among them from left to right
+(the earliest start, then the longest, then the order of the kinds), and resolves
+short forms and "Id." against the citations before them. Texts without a digit are
+left out before the pass, and only links leave it.
 """
 
 from __future__ import annotations
@@ -18,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.cites import REPORTERS, _plain, alias_map
-from lexloom.operators.windows import greedy_spans
+from lexloom.plans import forms
 
-LINK = "start int, end int, order int, kind string, vol int, reporter string, page int, pin string, value string"
+LINK = "start int, end int, kind string, vol int, reporter string, page int, pin string, value string"
 # Limits of back-references.
 PAGE_WINDOW, NEAR_GAP, FAR_GAP, LOOK_BACK = 100, 240, 900, 4
 
@@ -30,12 +29,14 @@ def _spellings() -> str:
     return "|".join(re.escape(s) for s in every)
 
 
-FULL = re.compile(rf"(?<![\w.])(\d{{1,4}})\s+({_spellings()})\s+(\d{{1,5}})(?:,\s+(\d{{1,5}})(?:[-–]\d+)?)?(?!\d)")
+FULL = re.compile(rf"(?<![\w.])(\d{{1,4}})\s+({_spellings()})\s+(\d{{1,5}})(?:,\s+(\d{{1,5}})(?!\d|\s+(?:{_spellings()})\s+\d)(?:[-–]\d+)?)?(?!\d)")
 SHORT = re.compile(rf"(?<![\w.])(\d{{1,4}})\s+({_spellings()}),?\s+at\s+(\d{{1,5}})(?!\d)")
 ID = re.compile(r"(?<!\w)[Ii]d\.(?:,?\s+at\s+(\d{1,5}))?")
-USC = re.compile(r"(?<!\w)(\d{1,2})\s+U\.\s?S\.\s?C\.\s+§+\s*(\d+[a-z]?(?:-\d+)?)((?:\([0-9A-Za-z]+\))*)")
-CFR = re.compile(r"(?<!\w)(\d{1,2})\s+C\.\s?F\.\s?R\.\s+§+\s*(\d+\.\d+)((?:\([0-9A-Za-z]+\))*)")
-ORDER = {"usc": 0, "cfr": 1, "cite": 2, "short": 3, "id": 4}
+ORDER = {"usc": 0, "cfr": 1, "rule": 2, "const": 3, "statpdf": 4, "frpdf": 5, "sec": 6, "recap": 7, "scotus": 8, "fedcas": 9, "cite": 10, "short": 11, "id": 12}
+#: Kinds that "Id." passes over: they have no pages.
+UNPAGED = ("usc", "cfr", "rule", "const")
+RECORD = re.compile(r"\b(?:Tr\.|Rec\.|J\.A\.|R\.|Pet\. App\.)\s*(?:at\s+)?\d")
+QUOTED = re.compile(r"\((?:quoting|citing)\b[^()]*$")
 
 
 def _canon() -> dict[str, str]:
@@ -44,17 +45,11 @@ def _canon() -> dict[str, str]:
 
 def draw(text: str, alias: dict[str, str]) -> list[dict]:
     """All matches of all kinds, not yet reconciled."""
-    out = []
+    out = [dict(zip(("start", "end", "kind", "vol", "page", "value"), x, strict=True), reporter=None, pin=None) for x in forms.draw(text)]
 
     def put(m, kind, vol=None, reporter=None, page=None, pin=None, value=None):
-        out.append(
-            {"start": m.start(), "end": m.end(), "order": ORDER[kind], "kind": kind, "vol": vol, "reporter": reporter, "page": page, "pin": pin, "value": value}
-        )
-
-    for kind, pattern in (("usc", USC), ("cfr", CFR)):
-        for m in pattern.finditer(text):
-            subs = re.findall(r"\(([0-9A-Za-z]+)\)", m[3])
-            put(m, kind, value=":".join([m[1], m[2], *([",".join(subs)] if subs else [])]))
+        out.append({"start": m.start(), "end": m.end(), "kind": kind, "vol": vol, "reporter": reporter, "page": page, "pin": pin, "value": value})
+
     for m in FULL.finditer(text):
         name = alias[_plain(m[2])]
         put(m, "cite", int(m[1]), name, int(m[3]), m[4], f"{m[1]} {name} {m[3]}" + (f"@{m[4]}" if m[4] and m[4] != m[3] else ""))
@@ -65,55 +60,92 @@ def draw(text: str, alias: dict[str, str]) -> list[dict]:
     return out
 
 
+def chosen(found: list[dict]) -> list[dict]:
+    """Leftmost, then longest, then by kind; what overlaps the one before goes."""
+    out, at = [], 0
+    for x in sorted(found, key=lambda x: (x["start"], -x["end"], ORDER[x["kind"]])):
+        if x["start"] >= at:
+            out.append(x)
+            at = x["end"]
+    return out
+
+
 def resolve_chain(links: list[dict], text: str) -> list[dict]:
     """Short forms and "Id." in reading order. A short form goes to the document's
     largest first page of its volume at or below the pin, else to the smallest;
-    one without any blocks what follows. "Id." with a page goes to the nearest of
-    the last ``LOOK_BACK`` citations whose page window holds it; statutes have no
-    pages and are passed over; none beyond ``FAR_GAP`` letters, a blank line or a
-    block."""
+    one without any blocks what follows. A provision of the Constitution is linked
+    where the document first cites it."""
     firsts: dict[tuple, list[int]] = {}
     for x in links:
         if x["kind"] == "cite":
             firsts.setdefault((x["vol"], x["reporter"]), []).append(x["page"])
-    out, recent = [], []
+    out, recent, provisions = [], [], set()
     for x in links:
         kind = x["kind"]
-        if kind == "cite":
-            recent.append((x["end"], x["vol"], x["reporter"], x["page"]))
-        elif kind in ("usc", "cfr"):
-            recent.append((x["end"], None, kind, None))
-        elif kind == "short":
+        if kind == "short":
             pages, pin = firsts.get((x["vol"], x["reporter"])), int(x["pin"])
             if not pages:
-                recent.append((x["end"], None, "block", None))
+                recent.append(x | {"kind": "block"})
                 continue
             below = [p for p in pages if p <= pin]
             page = max(below) if below else min(pages)
             x = x | {"page": page, "value": f"{x['vol']} {x['reporter']} {page}" + (f"@{pin}" if pin != page else "")}
-            recent.append((x["end"], x["vol"], x["reporter"], page))
-        else:
-            found = _antecedent(x, recent, text)
+        elif kind == "id":
+            found = antecedent(x, recent, text)
             if found is None:
                 continue
-            vol, reporter, page = found
-            x = x | {"vol": vol, "reporter": reporter, "page": page, "value": f"{vol} {reporter} {page}" + (f"@{x['pin']}" if int(x["pin"]) != page else "")}
-            recent.append((x["end"], vol, reporter, page))
+            x = x | {"vol": found["vol"], "reporter": found["reporter"], "page": found["page"], "value": _at_page(found, int(x["pin"]))}
+            recent.append(found | {"start": x["start"], "end": x["end"]})
+            out.append(x)
+            continue
+        elif kind == "const":
+            if x["value"] in provisions:
+                recent.append(x)
+                continue
+            provisions.add(x["value"])
+        recent.append(x)
         out.append(x)
     return out
 
 
-def _antecedent(x: dict, recent: list[tuple], text: str) -> tuple | None:
+def _at_page(found: dict, pin: int) -> str:
+    if found["kind"] == "sec":
+        return forms.sec_spec(found["vol"], found["page"], pin)
+    base = found["value"] if found["kind"] in ("statpdf", "frpdf") else f"{found['vol']} {found['reporter']} {found['page']}"
+    return base + (f"@{pin}" if pin != found["page"] else "")
+
+
+def antecedent(x: dict, recent: list[dict], text: str) -> dict | None:
+    """The citation that "Id. at N" means, of the last ``LOOK_BACK``, newest first.
+
+    None where no page is given; where a record citation or a blank line comes
+    between; beyond ``FAR_GAP`` letters or past a short form that names nothing.
+    Passed over are citations inside "(quoting ..." and "(citing ...", and kinds
+    without pages. Of comma-joined parallel citations the first that can hold the
+    page is meant. Serials must be within ``NEAR_GAP``."""
     if x["pin"] is None or not recent:
         return None
-    if re.search(r"\n\s*\n", text[recent[-1][0] : x["start"]]):
+    between = text[recent[-1]["end"] : x["start"]]
+    if re.search(r"\n[ \t]*\n", between) or RECORD.search(between):
         return None
-    pin = int(x["pin"])
-    for end, vol, reporter, page in reversed(recent[-LOOK_BACK:]):
-        if reporter == "block" or len(" ".join(text[end : x["start"]].split())) > FAR_GAP:
+    pin, last = int(x["pin"]), recent[-LOOK_BACK:]
+    for k in range(len(last) - 1, -1, -1):
+        c = last[k]
+        gap = len(text[c["end"] : x["start"]].strip())
+        if c["kind"] == "block" or gap > FAR_GAP:
             return None
-        if page is not None and page <= pin <= page + PAGE_WINDOW:
-            return vol, reporter, page
+        if c["kind"] in UNPAGED or QUOTED.search(text, max(0, c["start"] - 300), c["start"]):
+            continue
+        if c["page"] is None:
+            if gap <= NEAR_GAP and c["kind"] not in ("recap", "scotus", "fedcas"):
+                return c
+            continue
+        if not c["page"] <= pin <= c["page"] + PAGE_WINDOW:
+            continue
+        first = k
+        while first and last[first - 1]["kind"] == "cite" and not text[last[first - 1]["end"] : last[first]["start"]].strip(" ,\t\n"):
+            first -= 1
+        return next((p for p in last[first:k] if p["page"] <= pin <= p["page"] + PAGE_WINDOW), c)
     return None
 
 
@@ -122,37 +154,22 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alias = _canon()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = [draw(t, alias) for t in texts]
-            hold = [k for k, r in enumerate(rows) if r]
-            if hold:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(hold)), pa.array([texts[k] for k in hold]), pa.array([rows[k] for k in hold], FOUND)],
-                    names=["doc_id", "text", "found"],
-                )
-
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [resolve_chain(f, t) for f, t in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, FOUND)], names=["doc_id", "links"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    drawn = rows.mapInArrow(match, f"doc_id {kind}, text string, found array<struct<{_struct()}>>")
-    taken = drawn.withColumn("found", greedy_spans(F.col("found")))
-    done = taken.mapInArrow(chain, f"doc_id {kind}, links array<struct<{_struct()}>>")
-    return done.select("doc_id", F.inline("links")).drop("order")
-
-
-FOUND = pa.list_(
-    pa.struct(
-        [("start", pa.int32()), ("end", pa.int32()), ("order", pa.int32()), ("kind", pa.string()), ("vol", pa.int32()),
-         ("reporter", pa.string()), ("page", pa.int32()), ("pin", pa.string()), ("value", pa.string())]
-    )
-)
-
-
-def _struct() -> str:
-    return ", ".join(":".join(p.split()) for p in LINK.split(", "))
+            ids, rows = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                found = resolve_chain(chosen(draw(text, alias)), text)
+                ids += [k] * len(found)
+                rows += found
+            if rows:
+                columns = [pa.array([r[c] for r in rows], t) for c, t in FOUND.items()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *columns], names=["doc_id", *FOUND])
+
+    rows = docs.where(F.col(text_col).rlike("[0-9]")).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, {LINK}")
+
+
+FOUND = {
+    "start": pa.int32(), "end": pa.int32(), "kind": pa.string(), "vol": pa.int32(), "reporter": pa.string(), "page": pa.int32(), "pin": pa.string(), "value": pa.string(),
+}
