@@ -70,3 +70,9 @@ def from_roman(text: Column) -> Column:
 
 def plausible_year(given: Column, found: Column) -> Column:
     return (found - given).isin(0, 1)
+
+
+def late_term(line: Column, year: Column) -> Column:
+    """Does a line head a case with a term that opened late in ``year``?"""
+    found = F.regexp_extract(line, r"(?i)\b(?:September|October|November|December)\s+Term,?\s+(1[6-9][0-9]{2})\b", 1)
+    return F.coalesce(found.try_cast("int") == year, F.lit(False))

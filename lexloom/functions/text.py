@@ -59,3 +59,8 @@ def word_shingles(text: Column, n: int) -> Column:
 def containment(a: Column, b: Column) -> Column:
     """Shared members over the smaller set's size; 0 where one is empty."""
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))), F.lit(0.0))
+
+
+def utf16_length(text: Column) -> Column:
+    """The length in UTF-16 units: letters beyond the first plane count twice."""
+    return (F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("long")

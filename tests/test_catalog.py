@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexloom import catalog
+from lexloom import catalog, catalog_forms  # noqa: F401  (each registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
