@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.catalog import query
-from lexloom.functions import cites, dates, parentheticals, series, text
-from lexloom.operators import lookup, ranking
+from lexloom.functions import abbrev, cites, courts, dates, names, parentheticals, series, text
+from lexloom.operators import lookup, people, ranking
 from lexloom.plans import extract, synth
 from lexloom.plans.synth import CITATIONS, OPINIONS, table
 
@@ -603,3 +603,90 @@ def uncertain_years(spark, sf_dir):
     given = F.lit(1855)
     head = F.when(F.col("n") % 2 == 0, "DECEMBER TERM, 1855.").otherwise("January Term, 1855")
     return p.select("id", dates.plausible_year(given, given + F.col("n") % 7).alias("plausible"), dates.late_term(head, given).alias("term"))
+
+
+# ---- names and courts -------------------------------------------------------
+
+
+@query("""
+select p_partkey as id, case p_partkey % 6 when 0 then 'Part' || p_partkey || ' Ins. Co. v. Ohio' when 1 then 'In re Part' || p_partkey || ' Corp.' when 2 then 'SEC v. Part' || p_partkey || ' Bros. Co.'
+       when 3 then 'United States ex rel. Part' || p_partkey || ' v. Am. R.R. Ass''n' when 4 then 'People v. Part' || p_partkey || ' Univs.' else 'Part' || p_partkey || ' v. National' end as short from part
+""")
+def short_names(spark, sf_dir):
+    """Captions as citations print them."""
+    forms = (
+        "The Part%d Insurance  Company, et al. v. State of Ohio", "In the Matter of Part%d Corporation", "Securities and Exchange Commission v. Part%d Brothers Company, Inc.",
+        "United States on the relation of Part%d, Petitioner v. American Railroad Association", "The People of the State of New York v. Part%d Universities; Beta LLC", "Part%d, Plaintiff-Appellee v. National",
+    )
+    p = _part(spark, sf_dir)
+    name = F.coalesce(*[F.when(F.col("n") % 6 == k, F.format_string(f, "n")) for k, f in enumerate(forms)])
+    once = abbrev.short_name(name, F.lit("new york"))
+    return p.select("id", once.alias("name")).select("id", abbrev.short_name(F.col("name"), F.lit("new york")).alias("short"))
+
+
+@query("""
+with w as (select * from (values ('university', 'Univ.'), ('company', 'Co.'), ('academy', 'Acad.'), ('business', 'Bus.'), ('exchange', 'Exch.'), ('association', 'Ass''n'), ('board', 'Bd.')) t(word, short))
+select case when word like '%y' then substr(word, 1, length(word) - 1) || 'ies' when word like '%s' or word like '%x' or word like '%ch' then word || 'es' else word || 's' end as plural,
+       case when short like '%s.' then short when short like '%.' then substr(short, 1, length(short) - 1) || 's.' else short || 's' end as short from w
+""")
+def word_plurals(spark, sf_dir):
+    """Plurals of words and of their abbreviations, by rule."""
+    table_ = abbrev.word_map()
+    wanted = [abbrev.plural(w, abbrev.WORDS[w])[0] for w in ("university", "company", "academy", "business", "exchange", "association", "board")]
+    return spark.createDataFrame([(w, table_[w]) for w in wanted], "plural string, short string")
+
+
+@query("""
+select p_partkey as id, case p_partkey % 8 when 0 then 'M.D.N.C.' when 1 then 'Bankr. S.D. Tex.' when 2 then 'E.D. Pa.' when 3 then 'C.C.S.D.N.Y.' when 4 then 'S.D. W. Va.' when 7 then 'D. Mass.' else '' end as trial,
+       case p_partkey % 8 when 6 then 'ca6' else '' end as circuit from part
+""")
+def court_forms(spark, sf_dir):
+    """Federal trial courts in short form, and circuits by their court lines."""
+    lines = (
+        "United States District Court, M.D. North Carolina, Greensboro Division", "United States Bankruptcy Court, S.D. Texas", "District Court, E. D.  Pennsylvania",
+        "Circuit Court, S. D. New York", "U.S. District Court for the Southern District of West Virginia", "Circuit Court for Baltimore County, Maryland",
+        "United States Court of Appeals, Sixth Circuit.", "District Court, D. Massachusetts",
+    )
+    line = F.get(F.array(*map(F.lit, lines)), F.col("n") % 8)
+    return _part(spark, sf_dir).select("id", courts.trial_court(line).alias("trial"), courts.circuit_id(line).alias("circuit"))
+
+
+@query("""
+select p_partkey as id, case p_partkey % 5 when 0 then 'EASTERBROOK|BAUER|POSNER' when 1 then 'CLARK|HINCKS|LUMBARD|SMITH' when 2 then '' when 3 then 'WOOD|KANNE' else '' end as judges,
+       p_partkey % 5 in (1, 3, 4) as en_banc from part
+""")
+def bench_lines(spark, sf_dir):
+    """The judges of a bench, and whether the whole court sat."""
+    lines = (
+        "Before EASTERBROOK, Chief Judge, and BAUER and POSNER, Circuit Judges.", "*292 Before CLARK, Chief Judge, and HINCKS, LUMBARD, and SMITH, Circuit Judges.",
+        "The panel denied rehearing en banc.", "Present: WOOD and KANNE, Circuit Judges, sitting en banc.", "ON REHEARING EN BANC",
+    )
+    line = F.get(F.array(*map(F.lit, lines)), F.col("n") % 5)
+    return _part(spark, sf_dir).select("id", F.array_join(courts.bench_names(line), "|").alias("judges"), courts.en_banc(F.array(line), F.lit(True)).alias("en_banc"))
+
+
+@query("""
+select p_partkey as id, p_partkey % 7 in (0, 1, 3) as loose, p_partkey % 7 in (0, 1) as strict from part
+""")
+def caption_relation(spark, sf_dir):
+    """Do two captions name one case, by one side or by both?"""
+    pairs = (
+        ("State v. Glover", "Kansas v. Glover"), ("Smith v. Acme Corp.", "Acme Corporation, Appellant v. Smithson"), ("People v. Sanchez", "People v. Lopez"),
+        ("Roe v. Wade", "Roe v. Bolton"), ("United States v. Jones", "Commonwealth v. Smith"), ("In re Gault", "Doe v. Roe"), ("", "Roe v. Wade"),
+    )
+    left, right = (F.get(F.array(*[F.lit(p[k]) for p in pairs]), F.col("n") % 7) for k in range(2))
+    return _part(spark, sf_dir).select("id", names.related(left, right).alias("loose"), names.related(left, right, strict=True).alias("strict"))
+
+
+@query("""
+with j as (select distinct 'Mc' || p_brand as last, p_type as first, p_name as middle from part)
+select p_partkey as id, case when p_partkey % 4 = 3 then null else 'Mc' || p_brand end as surname from part
+""")
+def judge_surnames(spark, sf_dir):
+    """The surname in a byline, by a directory of judges."""
+    part = table(spark, sf_dir, "part")
+    judges = part.select(F.concat(F.lit("Mc"), "p_brand").alias("last"), F.col("p_type").alias("first"), F.col("p_name").alias("middle")).distinct()
+    given = F.when(F.col("p_partkey") % 4 == 0, F.col("p_type")).when(F.col("p_partkey") % 4 == 1, F.concat(F.left("p_type", F.lit(1)), F.lit("."))).when(
+        F.col("p_partkey") % 4 == 2, F.concat(F.col("p_type"), F.lit(" X."))).otherwise("Qzx")
+    byline = F.concat(given, F.lit(" MC"), F.upper("p_brand"), F.when(F.col("p_partkey") % 5 == 0, F.lit(" Jr.")).otherwise(""))
+    return people.judge_surnames(part.select(F.col("p_partkey").alias("id"), byline.alias("byline")), judges, "id", "byline")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.courts import STATES
+
 # Words too general to search a party by; words that tell no two
 # captions apart; business forms.
 STOP_TOKENS = ("the", "of", "and", "in", "re", "v", "vs", "et", "al", "a", "an", "for", "on", "ex", "parte", "matter", "state", "people")
@@ -57,6 +59,27 @@ def title_words(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(found, lambda t: ~t.isin("the", "and", "inc", "corp", "llc"))))
 
 
+# Words that caption sides are compared without, and sides that stand
+# for no party of their own.
+RELATION_STOP = (
+    "the", "of", "and", "in", "re", "ex", "rel", "et", "al", "a", "an", "on", "behalf", "matter", "estate", "appellant", "appellee", "petitioner",
+    "respondent", "plaintiff", "defendant", "inc", "llc", "llp", "corp", "co", "ltd", "lp", "na", "fsb", "company", "corporation", "incorporated", "others",
+)
+GENERIC = ("people", "state", "united", "states", "us", "government", "commonwealth", "commissioner", "america")
+
+
+def caption_sides(name: Column) -> Column:
+    """Sets of words of a caption's sides, without roles and business forms."""
+
+    def words(side):
+        found = F.regexp_extract_all(F.lower(F.regexp_replace(side, "<[^>]+>", " ")), F.lit("([a-z][a-z0-9'&.-]*)"), F.lit(1))
+        bare = F.transform(found, lambda t: F.regexp_replace(t, "^[.'-]+|[.'-]+$", ""))
+        return F.array_distinct(F.filter(bare, lambda t: (F.length(t) > 1) & ~t.isin(*RELATION_STOP)))
+
+    split = F.split(F.coalesce(name, F.lit("")), r"(?i)\bv(?:s?\.|\b)", 2)
+    return F.filter(F.transform(split, words), lambda w: F.size(w) > 0)
+
+
 def close(a: Column, b: Column) -> Column:
     """Equal tokens, or one a prefix of the other and both over three letters."""
     long = (F.length(a) > 3) & (F.length(b) > 3)
@@ -64,16 +87,38 @@ def close(a: Column, b: Column) -> Column:
 
 
 def side_overlap(a: Column, b: Column) -> Column:
-    """Tokens of the smaller side that are close to one of the other's, as a share."""
-    small, large = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    hits = F.size(F.filter(small, lambda x: F.exists(large, lambda y: close(x, y))))
-    return F.coalesce(F.try_divide(hits, F.size(small)), F.lit(0.0))
+    """Tokens of one side that are close to one of the other's, as a share of the
+    smaller side."""
+    hits = F.size(F.filter(a, lambda x: F.exists(b, lambda y: close(x, y))))
+    return F.coalesce(F.try_divide(hits, F.least(F.size(a), F.size(b))), F.lit(0.0))
 
 
-def related(a: Column, b: Column, threshold: float = 0.5) -> Column:
-    """Loose relation of two captions: some pair of sides overlaps enough."""
-    left, right = F.transform(sides(a), tokens), F.transform(sides(b), tokens)
-    return F.exists(left, lambda x: F.exists(right, lambda y: side_overlap(x, y) >= threshold))
+def generic(side: Column) -> Column:
+    """A prosecutor: only filler words, or exactly the name of a state besides."""
+    core = F.array_sort(F.filter(side, lambda t: ~t.isin(*GENERIC)))
+    states = F.array(*[F.array(*[F.lit(w) for w in sorted(set(s.split()) - set(RELATION_STOP))]) for s in STATES])
+    return (F.size(core) == 0) | F.exists(states, lambda s: s == core)
+
+
+def related(a: Column, b: Column, strict: bool = False) -> Column:
+    """Do two captions plausibly name one case? Loosely, one pair of sides that
+    aren't generic overlaps by half, or both have a generic side and their others
+    do. Strictly (two sides each), both match in one order, a generic side only a
+    generic one, others by 0.6."""
+    left, right = caption_sides(a), caption_sides(b)
+    half = F.exists(left, lambda x: ~generic(x) & F.exists(right, lambda y: ~generic(y) & (side_overlap(x, y) >= 0.5)))
+
+    def pair(i, j):
+        x, y = F.get(left, F.lit(i)), F.get(right, F.lit(j))
+        gx, gy = generic(x), generic(y)
+        return F.when(gx | gy, gx & gy).otherwise(side_overlap(x, y) >= 0.6)
+
+    two = (F.size(left) == 2) & (F.size(right) == 2)
+    either = F.coalesce(half, F.lit(False)) & (F.size(left) > 0) & (F.size(right) > 0)
+    if not strict:
+        return either
+    both = (pair(0, 0) & pair(1, 1)) | (pair(0, 1) & pair(1, 0))
+    return F.when(two, F.coalesce(both, F.lit(False))).otherwise(either)
 
 
 # Connectors and roles, which identify no reported case.
@@ -111,3 +156,12 @@ def safe_stem(label: Column, limit: int = 80) -> Column:
     """A file name stem: no reserved marks, blanks single, at most ``limit`` long."""
     clean = F.regexp_replace(F.regexp_replace(label, r"""[\\/:*?"<>|\x00-\x1f]""", " "), r"\s+", " ")
     return F.regexp_replace(F.substring(F.trim(clean), 1, limit), r"[\s.]+$", "")
+
+
+# Accented letters and what they are without their accents.
+ACCENTED, PLAIN = "áàâäãåāăąçćčďéèêëēėęěğíìîïīłñńňóòôöõøōřśšşťúùûüūůýÿžźż", "aaaaaaaaacccdeeeeeeeegiiiiilnnnooooooorssstuuuuuuyyzzz"
+
+
+def letters(text: Column) -> Column:
+    """A name's letters alone, unaccented and in lower case."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN), "[^a-z]", "")
