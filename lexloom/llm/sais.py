@@ -1,24 +1,27 @@
 """Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are of type S (smaller than the next) or L. The leftmost S suffixes of
-their runs (LMS) are sorted by their substrings and named; the order of all
-suffixes is induced from theirs, first L from left to right, then S from right to
-left.
-
-Both work on whole arrays. Where names repeat, the string of names is sorted by
-prefix doubling and not by a recursion of induced sorting: runs of 2^k names are
-ranked by the ranks of their halves, as long as any repeat. That step sorts up to
-log n times, so the whole isn't linear.
-Inducing works on waves: inside the bucket of a letter, the suffixes
-known so far form a wave, their predecessors of the same letter form the next
-wave, and those of other letters are dealt to their buckets in order. The order
-is that of a scan one by one, the work is in array operations.
+their runs (LMS) are sorted by their substrings and named; where names repeat, the
+string of names is sorted by the same function; the order of all suffixes is induced
+from theirs, first L from left to right, then S from right to left.
+
+Inducing works on arrays. Letters are taken in batches of neighbours (one letter
+each where there are few): a batch's suffixes known so far are put in order, and
+their predecessors of the wanted type are dealt to the batches of their letters in
+that order. Predecessors inside the batch come after what arrived before it, in the
+order of those that they precede; a batch in which those have such predecessors
+again is halved, down to a single letter, where they form waves. So the order is
+that of a scan one by one, and the number of steps follows the text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Batches of letters that a scan has about, where there are more letters than that.
+LETTERS = 64
+NONE = np.zeros(0, np.int64)
+
 
 def types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S. The last letter is the only least."""
@@ -31,57 +34,95 @@ def types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _deal(parts: list[np.ndarray], text: np.ndarray, queue: list[list[np.ndarray]]) -> None:
-    """Append positions to their letters' queues, in order."""
-    found = np.concatenate(parts) if len(parts) > 1 else parts[0]
-    if not len(found):
-        return
-    letter = text[found]
-    order = np.argsort(letter, kind="stable")
-    found, letter = found[order], letter[order]
-    cut = np.flatnonzero(letter[1:] != letter[:-1]) + 1
-    heads = letter[np.concatenate(([0], cut))].tolist()
-    for c, part in zip(heads, np.split(found, cut), strict=True):
-        queue[c].append(part)
-
-
-def _scan(c: int, first: list[np.ndarray], after: np.ndarray, want: np.ndarray, text: np.ndarray, queue) -> np.ndarray:
-    """One bucket: its waves in order, then ``after``; predecessors of the wanted
-    type go to their queues. Gives the bucket's own positions."""
-    wave = np.concatenate(first) if first else np.zeros(0, np.int64)
-    waves, others = [wave], []
+def _before(scan: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The predecessors of the wanted type, in order."""
+    p = scan[scan > 0] - 1
+    return p[want[p]]
+
+
+def _merged(own: np.ndarray, rest: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """By key, and of a key first ``own``, then ``rest``."""
+    both = np.concatenate((own, rest))
+    last = np.zeros(len(both), np.int64)
+    last[len(own) :] = 1
+    return both[np.argsort(key[both] * 2 + last, kind="stable")]
+
+
+def _one_letter(lo: int, own: np.ndarray, rest: np.ndarray, key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    waves, out, wave = [own], [], own
     while len(wave):
-        p = wave[wave > 0] - 1
-        p = p[want[p]]
-        same = text[p] == c
-        others.append(p[~same])
+        p = _before(wave, want)
+        same = key[p] == lo
+        out.append(p[~same])
         wave = p[same]
         if len(wave):
             waves.append(wave)
-    if len(after):
-        p = after[after > 0] - 1
-        others.append(p[want[p]])
-    if others:
-        _deal(others, text, queue)
-    return np.concatenate(waves) if len(waves) > 1 else waves[0]
+    out.append(_before(rest, want))
+    return np.concatenate(waves), np.concatenate(out)
+
+
+def _batch(lo: int, hi: int, own: np.ndarray, rest: np.ndarray, key: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One batch of keys: ``own`` are its suffixes of the wanted type in order of
+    arrival, ``rest`` those of the other type by key. Gives all of the wanted type,
+    by key, and the predecessors that belong to later batches, in order."""
+    if hi - lo == 1:
+        return _one_letter(lo, own, rest, key, want)
+    own = own[np.argsort(key[own], kind="stable")]
+    p = _before(_merged(own, rest, key), want)
+    inside = p[key[p] < hi]
+    if not len(inside):
+        return own, p
+    again = _before(inside, want)
+    if (key[again] < hi).any():
+        mid = (lo + hi) // 2
+        first, out = _batch(lo, mid, own[key[own] < mid], rest[key[rest] < mid], key, want)
+        here = key[out] < hi
+        second, further = _batch(mid, hi, np.concatenate((own[key[own] >= mid], out[here])), rest[key[rest] >= mid], key, want)
+        return np.concatenate((first, second)), np.concatenate((out[~here], further))
+    own = np.concatenate((own, inside))
+    own = own[np.argsort(key[own], kind="stable")]
+    p = _before(_merged(own, rest, key), want)
+    return own, p[key[p] >= hi]
+
+
+def _scan(key: np.ndarray, size: int, start: np.ndarray, rest: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """All suffixes of the wanted type, by key: ``start`` are known from the
+    beginning, ``rest`` are those of the other type, by key."""
+    width = max(1, size // LETTERS)
+    batches = -(-size // width)
+    queue: list[list[np.ndarray]] = [[] for _ in range(batches)]
+
+    def deal(found: np.ndarray) -> None:
+        if not len(found):
+            return
+        to = key[found] // width
+        order = np.argsort(to, kind="stable")
+        found, to = found[order], to[order]
+        edges = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
+        for x, y in zip(edges, edges[1:], strict=False):
+            queue[to[x]].append(found[x:y])
+
+    deal(start)
+    cuts = np.searchsorted(key[rest], np.arange(batches + 1) * width)
+    out = []
+    for b in range(batches):
+        arrived = np.concatenate(queue[b]) if queue[b] else NONE
+        queue[b] = []
+        others = rest[cuts[b] : cuts[b + 1]]
+        if len(arrived) or len(others):
+            own, further = _batch(b * width, min((b + 1) * width, size), arrived, others, key, want)
+            out.append(own)
+            deal(further)
+    return np.concatenate(out) if out else NONE
 
 
 def induce(text: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """The order of all suffixes from that of the LMS suffixes ``seeds``."""
-    n, is_l = len(text), ~is_s
-    cuts = np.searchsorted(text[seeds], np.arange(size + 1))
-    queue: list[list[np.ndarray]] = [[] for _ in range(size)]
-    left = []
-    for c in range(size):
-        left.append(_scan(c, queue[c], seeds[cuts[c] : cuts[c + 1]], is_l, text, queue))
-        queue[c] = []
-    queue[0] = [np.array([n - 1])]
-    out: list[np.ndarray] = []
-    for c in range(size - 1, -1, -1):
-        own = _scan(c, queue[c], left[c][::-1], is_s, text, queue)
-        queue[c] = []
-        out += [own[::-1], left[c]]
-    return np.concatenate(out[::-1])
+    letters = text.astype(np.int64)
+    large = _scan(letters, size, NONE, seeds, ~is_s)
+    back = size - 1 - letters
+    small = _scan(back, size, np.array([len(text) - 1]), large[::-1], is_s)
+    return _merged(large, small[::-1], letters)
 
 
 def _names(text: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
@@ -115,45 +156,10 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     is_lms = np.zeros(len(text), bool)
     is_lms[lms] = True
     names, count = _names(text, lms, found[is_lms[found]])
-    if count == len(lms):
-        order = np.argsort(names)
-    else:
-        order = _by_halves(names)
+    order = np.argsort(names) if count == len(lms) else suffix_array(names, count)
     return induce(text, is_s, lms[order], size)
 
 
-def _by_halves(rank: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names that ends in the only 0. Runs of
-    2^k names are ranked by the ranks of their halves; only names that still
-    repeat are sorted again."""
-    n, half = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while True:
-        sorted_rank = rank[order]
-        repeat = np.zeros(n, bool)
-        repeat[1:] = sorted_rank[1:] == sorted_rank[:-1]
-        open_ = repeat.copy()
-        open_[:-1] |= repeat[1:]
-        at = np.flatnonzero(open_)
-        if half == 1:
-            # A rank is the place of the first of its name in the order.
-            first = np.where(repeat, 0, np.arange(n))
-            rank = np.empty(n, np.int64)
-            rank[order] = np.maximum.accumulate(first)
-        if not len(at):
-            return order
-        live = order[at]
-        # Names that repeat never reach past the end: its 0 is the only one.
-        key = rank[live] * n + rank[np.minimum(live + half, n - 1)]
-        live = live[np.argsort(key, kind="stable")]
-        key = rank[live] * n + rank[np.minimum(live + half, n - 1)]
-        order[at] = live
-        new = np.ones(len(at), bool)
-        new[1:] = key[1:] != key[:-1]
-        rank[live] = np.maximum.accumulate(np.where(new, at, 0))
-        half *= 2
-
-
 def common_prefixes(raw: np.ndarray, order: np.ndarray, starts: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(phi, plcp): for each position, the suffix before it in the order and the
     length of their common prefix, up to ``limit`` past a start.
