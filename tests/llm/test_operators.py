@@ -136,9 +136,12 @@ def test_suffix_dedup(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.query(spark, sf).collect()} == want
 
 
-def test_induced_sorting():
+@pytest.mark.parametrize("letters", [64, 3, 1])
+def test_induced_sorting(monkeypatch, letters):
+    """With batches of one letter, of few, and of nearly all."""
+    monkeypatch.setattr(sais, "LETTERS", letters)
     rng = np.random.default_rng(2)
-    for size in (2, 3, 60):
+    for size in (2, 3, 60, 400):
         for n in (0, 1, 5, 80, 300):
             text = np.append(rng.integers(1, size, n), 0).astype(np.uint16)
             assert sais.suffix_array(text, size).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
@@ -251,6 +254,41 @@ def test_url_filter(spark):
     assert got[5] == ("", "", None, "allow") and got[6][:2] == ("", "")
 
 
+def test_url_ranks_against_power_iteration(spark):
+    """Trust and distrust on a random host graph, and the verdicts that follow."""
+    rng = np.random.default_rng(6)
+    hosts = [f"h{k}.net" for k in range(40)]
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 40, (160, 2)) if a != b]
+    pages, n = [], np.zeros((40, 40))
+    for k, (a, b) in enumerate(links):
+        path = {0: "de/x", 1: "xx"}[a % 2] if a % 5 else "de/"
+        pages.append((k, f"http://{hosts[a]}/{path}", f'<a href="http://{hosts[b]}/y">'))
+        n[a, b] += 1
+    rules = (("allow", "h0.net/"), ("allow", "h5.net/"), ("block", "h1.net/"), ("block", "h7.net/"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.host: (r.trust, r.distrust, r.host_verdict) for r in urlfilter.host_verdicts(df, rules, tolerance=1e-9).collect()}
+    want = {}
+    for kind, seeds, m in (("trust", (0, 5), n), ("distrust", (1, 7), n.T)):
+        seed = np.array([sum(a == k for a, _ in links) if k in seeds else 0 for k in range(40)], float)
+        seed /= seed.sum()
+        out = m.sum(axis=1, keepdims=True)
+        move = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        rank = seed.copy()
+        for _ in range(300):
+            rank = 0.15 * seed + 0.85 * (rank @ move)
+        want[kind] = rank
+    for k, host in enumerate(hosts):
+        trust, distrust = want["trust"][k], want["distrust"][k]
+        if trust + distrust > 1e-12:
+            assert np.allclose(got[host][:2], (trust, distrust), atol=1e-7), host
+            if abs(trust - distrust) > 1e-6:
+                assert got[host][2] == ("block" if distrust > trust else "allow")
+        else:
+            assert host not in got or max(got[host][:2]) < 1e-7
+    verdicts = {(r.host, r.rule is None): r.verdict for r in urlfilter.filter_urls(df, rules, tolerance=1e-9).collect()}
+    assert {v for (h, free), v in verdicts.items() if not free} == {"allow", "block"} and verdicts["h1.net", False] == "block"
+
+
 def test_toxicity(spark):
     texts = [f"you are a total zorgle{k % 3} friend" if k % 2 else "a calm and quiet day at the sea" for k in range(400)] + [None, ""]
     docs = table(spark, texts)
