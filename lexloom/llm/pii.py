@@ -44,6 +44,8 @@ from lexloom.session import stage, unstage
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
 SMOOTH, DAMPING, ACCEPT, SUPPORT, TOLERANCE = 2.0, 0.9, 0.8, 5, 0.02
+#: Rows of a file of the graph and its scores.
+ROWS = 500_000
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: One reading of each of the contract's patterns, with its first-letter guard.
 PATTERNS = {
@@ -234,8 +236,10 @@ def discover(seen: DataFrame) -> DataFrame:
     able = F.struct(*[(F.col(f"{k}_seeds") >= SUPPORT).alias(k) for k in ALL_KINDS])
     graph = graph.join(support, "pattern").join(seeds, "instance", "left").select("pattern", "instance", able.alias("able"), F.col(ALL_KINDS[0]).isNotNull().alias("seed"), held.alias("held"))
     graph = stage(graph, "pii-graph")
+    # Tables of the rounds have as many files as their rows need, not one a task.
+    files = graph.count() // ROWS + 1
     scores = graph.groupBy("instance").agg(F.max("seed").alias("seed"), *[F.max(f"held.{k}").alias(k) for k in ALL_KINDS], F.lit(0.0).alias("moved"))
-    scores = stage(scores.select("*", *[F.lit(0.0).alias(f"{k}_conf") for k in ALL_KINDS]), "pii-scores")
+    scores = stage(scores.select("*", *[F.lit(0.0).alias(f"{k}_conf") for k in ALL_KINDS]).coalesce(files), "pii-scores")
     while True:
         patterns = (
             graph.select("pattern", "instance", "able").join(scores.select("instance", *ALL_KINDS), "instance").groupBy("pattern")
@@ -248,7 +252,7 @@ def discover(seen: DataFrame) -> DataFrame:
         after = scores.select("instance", "seed", *ALL_KINDS).join(best, "instance").select(
             "instance", "seed", *[n.alias(k) for n, k in zip(new, ALL_KINDS, strict=True)], moved.alias("moved"), *[f"{k}_conf" for k in ALL_KINDS]
         )
-        after = stage(after, "pii-scores")
+        after = stage(after.coalesce(files), "pii-scores")
         unstage(scores)
         scores = after
         if (scores.agg(F.max("moved")).first()[0] or 0.0) < TOLERANCE:
