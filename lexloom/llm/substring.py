@@ -58,11 +58,10 @@ def settle(pieces, ids, hashes):
     return chosen, np.zeros(len(strings), np.int64), (ids[row], hashes[row], pieces.start[lost], pieces.n[lost] + WINDOW - 1)
 
 
-def resolve(blobs: list[bytes]) -> Iterator[list[list[int]]]:
+def resolve(parts: Iterator) -> Iterator[list[list[int]]]:
     best: dict[bytes, tuple[int, int, int, int, int]] = {}
     gone: list[tuple[int, int, int, int]] = []
-    for blob in blobs:
-        table, strings = superkmer.unpack(blob)
+    for table, strings in parts:
         for s, key, i, th, start, n in zip(strings, *table[:5].tolist(), strict=True):
             mine = (i, th, start, n, key)
             other = best.setdefault(s, mine)
@@ -73,7 +72,6 @@ def resolve(blobs: list[bytes]) -> Iterator[list[list[int]]]:
             elif mine[:3] == other[:3]:
                 continue
             gone.append((mine[0], mine[1], mine[2], mine[3] + WINDOW - 1))
-    del blobs
     groups: dict[int, list[bytes]] = {}
     for s, entry in best.items():
         groups.setdefault(entry[4], []).append(s)
@@ -83,8 +81,9 @@ def resolve(blobs: list[bytes]) -> Iterator[list[list[int]]]:
         windows = []
         for s in own:
             i, th, start, n, _ = best[s]
-            words = s.split(b" ")
-            windows += [(words[j : j + WINDOW], i, th, start + j) for j in range(n)]
+            gaps = np.flatnonzero(np.frombuffer(s, np.uint8) == 32).tolist()
+            begins, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(s)]
+            windows += [(s[begins[j] : ends[j + WINDOW - 1]], i, th, start + j) for j in range(n)]
         windows.sort()
         for before, now in zip(windows, windows[1:], strict=False):
             if before[0] == now[0]:

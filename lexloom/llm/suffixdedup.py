@@ -62,13 +62,12 @@ def settle(pieces, ids, hashes):
     return np.fromiter(first.values(), np.int64, len(first)), many, (ids[row], hashes[row], pieces.start[lost], pieces.n[lost] + WINDOW - 1)
 
 
-def resolve(blobs: list[bytes]) -> Iterator[list]:
+def resolve(parts: Iterator) -> Iterator[list]:
     seen: dict[bytes, tuple] = {}
     gone: list[tuple[int, int, int, int]] = []
     several: set[int] = set()
     by_key: dict[int, int] = {}
-    for blob in blobs:
-        table, strings = superkmer.unpack(blob)
+    for table, strings in parts:
         for s, key, i, th, start, n, many in zip(strings, *table[:6].tolist(), strict=True):
             mine = (i, th, start, n, key, many)
             other = seen.setdefault(s, mine)

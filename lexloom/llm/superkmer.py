@@ -8,11 +8,16 @@ minimiser's hash. Equal windows therefore meet in one bucket.
 
 Before the shuffle, equal strings of one flush (``FLUSH`` bytes of text) are
 combined: one of them travels, the others are settled on the spot. A minimiser
-with many different strings in one flush is hot (a shared passage in ever new
-surroundings); a first pass finds those, and their strings are cut by the place
-of the minimiser in the window into ``parts`` strings of fewer windows that go to
-buckets of their own. Cutting changes which strings travel, not which windows
-are compared, so the list of hot minimisers may be cut off at ``HOT`` entries.
+that comes with many different strings is hot (a shared passage in ever new
+surroundings). A first pass finds those over the whole table, from the strings whose
+hash falls into one of ``ONE_IN`` classes, and their windows are dealt anew: windows
+of words by a hash of the whole window, windows of bytes by the minimiser's place
+and by the least grams in two further orders. Equal windows still meet, and cutting
+changes which strings travel, not which windows are compared, so the list of hot
+minimisers may be cut off at ``HOT`` entries.
+
+A bucket of more than ``HOLD`` unpacked bytes is settled in several rounds, each over
+the minimisers of one class; what waits is compressed.
 
 Hashes route; strings are compared byte for byte.
 """
@@ -29,7 +34,10 @@ from pyspark.sql import functions as F
 
 FLUSH = 2 << 20
 BUCKET_BYTES = 16 << 20
-HOT, HOT_STRINGS = 10_000, 64
+#: Hot minimisers: how many at most, from how many different strings on, and the
+#: share of the strings that is counted.
+HOT, HOT_STRINGS, ONE_IN = 10_000, 4096, 64
+HOLD = 48 << 20
 SCHEMA = "bucket int, blob binary, id long, th long, start long, n long"
 U = np.uint64
 _B = 0x9E3779B97F4A7C15 | 1
@@ -88,10 +96,12 @@ class Pieces:
     start: np.ndarray
     n: np.ndarray
     strings: list[bytes]
+    content: np.ndarray
 
 
-def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot: np.ndarray) -> Pieces:
-    """Super-k-mers of the held segments (row, first token, bytes)."""
+def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot: np.ndarray, counting: bool = False) -> Pieces:
+    """Super-k-mers of the held segments (row, first token, bytes). For ``counting``
+    with a hash of each in place of its string."""
     k, m = scheme.k, scheme.m
     raw = (b"\n" if scheme.words else b"\xff").join(s for _, _, s in held)
     buffer = np.frombuffer(raw, np.uint8)
@@ -110,7 +120,6 @@ def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot:
     else:
         starts, ends, first, counts = None, None, begins, sizes
         gram = (sums[m:] - sums[:-m]) * down[: len(buffer) - m + 1]
-    del sums
     gram = mix(gram)
     place = (gram & ~U((1 << 28) - 1)) | np.arange(len(gram), dtype=U)
     at = (sliding_min(place, k - m + 1) & U((1 << 28) - 1)).astype(np.int32)
@@ -129,22 +138,29 @@ def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot:
             where = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
             is_hot = hot[where] == key
             if is_hot.any():
-                span = -(-(k - m + 1) // scheme.parts)
-                part = (minimiser - window) // span
-                key = np.where(is_hot, mix(key + part.astype(U) + U(1)), key)
-                new[1:] |= is_hot[1:] & (part[1:] != part[:-1])
+                at_hot = window[is_hot]
+                if scheme.words:
+                    again = (sums[ends[at_hot + k - 1]] - sums[starts[at_hot]]) * down[starts[at_hot]]
+                else:
+                    span = -(-(k - m + 1) // scheme.parts)
+                    again = ((minimiser[is_hot] - at_hot) // span).astype(U)
+                    for turn in (1, 2):
+                        again = mix(again + sliding_min(mix(gram + U(turn)), k - m + 1)[at_hot])
+                key[is_hot] = mix(key[is_hot] + again)
+                new[1:] |= is_hot[1:] & (key[1:] != key[:-1])
     head = np.flatnonzero(new)
     n = np.diff(np.concatenate((head, [len(window)])))
     a, b = window[head], window[head] + n + k - 2
     lo, hi = (starts[a], ends[b]) if scheme.words else (a, b + 1)
-    strings = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+    content = mix((sums[hi] - sums[lo]) * down[lo]) if counting else np.zeros(0, U)
+    strings = [] if counting else [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
     owner = owner[head]
     rows = np.array([r for r, _, _ in held])
     bases = np.array([o for _, o, _ in held])
-    return Pieces(key[head], rows[owner], bases[owner] + offset[head], n, strings)
+    return Pieces(key[head], rows[owner], bases[owner] + offset[head], n, strings, content)
 
 
-def flushes(scheme: Scheme, batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[tuple[Pieces, np.ndarray, np.ndarray]]:
+def flushes(scheme: Scheme, batches: Iterator[pa.RecordBatch], hot: np.ndarray, counting: bool = False) -> Iterator[tuple[Pieces, np.ndarray, np.ndarray]]:
     """Pieces of flush after flush, with the ids and text hashes of their rows."""
     powers = Powers()
     held: list[tuple[int, int, bytes]] = []
@@ -162,34 +178,26 @@ def flushes(scheme: Scheme, batches: Iterator[pa.RecordBatch], hot: np.ndarray)
                 held.append((len(ids) - 1, base, raw))
                 size += len(raw) + 1
                 if size >= FLUSH:
-                    yield cut(scheme, held, powers, hot), np.array(ids), np.array(hashes)
+                    yield cut(scheme, held, powers, hot, counting), np.array(ids), np.array(hashes)
                     held, size = [], 0
             if not held and len(ids) > 1:
                 ids, hashes = [], []
     if held:
-        yield cut(scheme, held, powers, hot), np.array(ids), np.array(hashes)
+        yield cut(scheme, held, powers, hot, counting), np.array(ids), np.array(hashes)
 
 
 def hot_keys(docs: DataFrame, scheme: Scheme) -> np.ndarray:
-    """Minimisers with ``HOT_STRINGS`` different strings in some flush; the most
-    frequent ``HOT`` of them."""
+    """Minimisers with ``HOT_STRINGS`` different strings or more, as far as one
+    string in ``ONE_IN`` tells; the most frequent ``HOT`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pieces, _, _ in flushes(scheme, batches, np.zeros(0, U)):
-            keys, at, n = np.unique(pieces.key, return_index=True, return_counts=True)
-            often = set(keys[n >= HOT_STRINGS].tolist())
-            if not often:
-                continue
-            order = np.flatnonzero(np.isin(pieces.key, keys[n >= HOT_STRINGS]))
-            kinds: dict[int, set[bytes]] = {}
-            for x in order.tolist():
-                kinds.setdefault(int(pieces.key[x]), set()).add(pieces.strings[x])
-            found = {key: len(s) for key, s in kinds.items() if len(s) >= HOT_STRINGS}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(list(found), U).view(np.int64)), pa.array(list(found.values()), pa.int64())], names=["key", "n"]
-            )
-
-    rows = docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        for pieces, _, _ in flushes(scheme, batches, np.zeros(0, U), True):
+            own = np.flatnonzero(pieces.content % U(ONE_IN) == 0)
+            found = np.unique(np.stack((pieces.key[own], pieces.content[own])), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["key", "content"])
+
+    rows = docs.mapInArrow(run, "key long, content long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    rows = rows.where(F.col("n") >= HOT_STRINGS // ONE_IN)
     keys = [r["key"] for r in rows.orderBy(F.desc("n"), "key").limit(HOT).collect()]
     return np.sort(np.array(keys, np.int64).view(U))
 
@@ -223,12 +231,28 @@ def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return table, [raw[a:b] for a, b in zip([8 + n * 56, *ends[:-1]], ends, strict=True)]
 
 
+def rounds(blobs: list[bytes]) -> Iterator[Iterator[tuple[np.ndarray, list[bytes]]]]:
+    """A bucket's columns and strings, in as many rounds as its size asks for; a
+    minimiser's strings are all in one of them."""
+    n = -(-sum(int.from_bytes(b[:8], "little") for b in blobs) // HOLD)
+
+    def part(turn: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        for blob in blobs:
+            table, strings = unpack(blob)
+            if n > 1:
+                own = np.flatnonzero((table[0].view(U) >> U(40)) % U(n) == U(turn))
+                table, strings = table[:, own], [strings[k] for k in own.tolist()]
+            yield table, strings
+
+    return (part(turn) for turn in range(n))
+
+
 def dealt(docs: DataFrame, scheme: Scheme, settle: Callable, resolve: Callable, total_bytes: int) -> DataFrame:
     """``id, th, start, n``: token spans that go, by text.
 
     ``settle(pieces, ids, hashes)`` combines a flush: it gives the pieces that
     travel, a flag a piece (stands for several equal ones) and the spans settled.
-    ``resolve(blobs)`` yields the spans settled in a bucket.
+    ``resolve(parts)`` yields the spans settled in a bucket.
     """
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_keys(docs, scheme))
@@ -264,12 +288,13 @@ def dealt(docs: DataFrame, scheme: Scheme, settle: Callable, resolve: Callable,
             batch = batch.filter(batch.column(1).is_valid())
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != now and blobs:
-                    yield from map(out, resolve(blobs))
+                    for part in rounds(blobs):
+                        yield from map(out, resolve(part))
                     blobs = []
                 now = b
                 blobs.append(blob)
-        if blobs:
-            yield from map(out, resolve(blobs))
+        for part in rounds(blobs):
+            yield from map(out, resolve(part))
 
     sent = docs.mapInArrow(send, SCHEMA).repartition(min(buckets, 1 << 20), "bucket").sortWithinPartitions("bucket")
     return sent.mapInArrow(settle_buckets, "id long, th long, start long, n long")

@@ -418,3 +418,26 @@ def test_decontamination_in_blocks(spark):
         assert left.columns == ["doc_id", "text", "h1"]
         found[words].append(sorted((r.doc_id or -1, r.text or "") for r in left.collect()))
     assert found[60] == found[1_000_000]
+
+
+@pytest.mark.parametrize("module", [substring, suffixdedup])
+def test_hot_passage_in_many_surroundings(spark, tmp_path, monkeypatch, module):
+    """A passage that hundreds of documents hold between words of their own: the
+    same result with every minimiser hot, with none, and in many rounds a bucket."""
+    from lexloom.llm import superkmer
+
+    rng = np.random.default_rng(12)
+    passage = " ".join(f"p{k}" for k in range(70))
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 60, n))
+    texts = [f"{words(int(rng.integers(5, 60)))} {passage if k % 3 else passage[40:]} {words(int(rng.integers(5, 60)))}" for k in range(150)]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = []
+    for strings, one_in, hold in ((1, 1, 48 << 20), (1 << 40, 64, 48 << 20), (1, 1, 4000)):
+        monkeypatch.setattr(superkmer, "HOT_STRINGS", strings)
+        monkeypatch.setattr(superkmer, "ONE_IN", one_in)
+        monkeypatch.setattr(superkmer, "HOLD", hold)
+        if hold == 4000:
+            keyed = substring.keyed(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text")
+            assert len(superkmer.hot_keys(keyed, module.SCHEME)) > 100
+        found.append(sorted(tuple(r) for r in module.query(spark, str(tmp_path)).collect()))
+    assert found[0] == found[1] == found[2] and sum(r[2] for r in found[0]) > 5000
