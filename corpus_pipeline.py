@@ -13,7 +13,7 @@ from lexloom.llm.decontam import decontamination_stage
 from lexloom.llm.linededup import dedup_stage
 from lexloom.llm.nearstage import near_dedup_stage
 from lexloom.llm.toxicity import toxicity_stage
-from lexloom.session import stage
+from lexloom.session import delete, stage, staged_tables
 
 STAGES = [
     ("toxicity", toxicity_stage),
@@ -28,10 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over the whole of ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "-"))
-    return docs
+    """The stages in order over the whole of ``documents``. What a stage has written
+    for itself goes once its result is written, and so does its input."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, step in STAGES[:-1]:
+        with staged_tables() as made:
+            docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        delete(spark, before + made[:-1])
+        before = made[-1:]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -427,20 +427,6 @@ def vote_line(spark, sf_dir):
 # ---- resolution -------------------------------------------------------------
 
 
-@query(r"""
-with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as ws from documents where lang = 'en'),
-g as (select doc_id, list_distinct([array_to_string(ws[i:i + 3], ' ') for i in generate_series(1, len(ws) - 3)]) as g from w where len(ws) >= 4),
-c as (select min(doc_id) as id, list_sort(g) as g from g group by list_sort(g)),
-x as (select id, unnest(g) as gram, len(g) as n from c),
-p as (select a.id as a, b.id as b, count(*) as shared, min(least(a.n, b.n)) as m from x a join x b on a.gram = b.gram and a.id < b.id group by 1, 2)
-select a, b, cast(shared as int) as shared, shared / m as similarity from p where shared / m >= 0.55
-""")
-def shingle_containment(spark, sf_dir):
-    """Documents that share four-word shingles, 0.55 of the smaller set or more."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", text.word_shingles(F.col("text"), 4).alias("g"))
-    return resolve.shared_shingles(docs, "doc_id", "g", 0.55)
-
-
 _SHINGLES = r"""
 w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as ws from documents),
 g as (select doc_id, list_distinct([array_to_string(ws[i:i + 3], ' ') for i in generate_series(1, len(ws) - 3)]) as g from w where len(ws) >= 4)"""
@@ -453,8 +439,9 @@ x as (select id, unnest(g) as gram, len(g) as n from c),
 p as (select a.id as a, b.id as b, count(*) as shared, min(least(a.n, b.n)) as m from x a join x b on a.gram = b.gram and a.id < b.id group by 1, 2)
 select a, b, cast(shared as int) as shared, shared / m as similarity from p where shared / m >= 0.55
 """)
-def shingle_containment_all(spark, sf_dir):
-    """``shingle_containment`` over documents of every language and of none."""
+def shingle_containment(spark, sf_dir):
+    """Documents that share four-word shingles, 0.55 of the smaller set or more; a
+    set's least id stands for all (``shingle_classes``)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.word_shingles(F.col("text"), 4).alias("g"))
     return resolve.shared_shingles(docs, "doc_id", "g", 0.55)
 
@@ -494,23 +481,13 @@ def revision_collapse(spark, sf_dir):
     return resolve.revisions(rows)
 
 
-@query(f"""
-with {OPINIONS}, x as (select scholar_id, name, party from opinions where party % 50 = 0)
-select scholar_id, cast(case when party % 100 = 0 then 1.0 else 0.0 end as double) as score, party % 100 = 0 as related from x
-""")
-def name_scores(spark, sf_dir):
-    """Overlap score and relation of two captions."""
-    o = synth.opinions(spark, sf_dir).where("party % 50 = 0")
-    other = F.when(F.col("party") % 100 == 0, F.concat(F.lit("the "), F.col("name"), F.lit(", Inc."))).otherwise("Zebra Ltd. v. Yak")
-    return o.select("scholar_id", names.overlap_score(F.col("name"), other).alias("score"), names.related(F.col("name"), other).alias("related"))
-
-
 @query(f"""
 with {OPINIONS}
 select scholar_id, cast(case when party % 2 = 0 then 1.0 else 0.0 end as double) as score, party % 2 = 0 as related from opinions
 """)
-def name_scores_all(spark, sf_dir):
-    """``name_scores`` of every opinion; the parity of the party picks the other caption."""
+def name_scores(spark, sf_dir):
+    """Overlap score and relation of two captions; the parity of the party picks the
+    other one."""
     o = synth.opinions(spark, sf_dir)
     other = F.when(F.col("party") % 2 == 0, F.concat(F.lit("the "), F.col("name"), F.lit(", Inc."))).otherwise("Zebra Ltd. v. Yak")
     return o.select("scholar_id", names.overlap_score(F.col("name"), other).alias("score"), names.related(F.col("name"), other).alias("related"))
@@ -677,7 +654,24 @@ def interpolate_boundaries(spark, sf_dir):
     return out.select("doc", "pos", "value", F.round("filled", 6).alias("filled"), "confidence")
 
 
-@query()
+@query("""
+with recursive g as (
+  select o_custkey as doc, list(o_totalprice order by o_orderkey) as v, list(o_orderkey order by o_orderkey) as k, cast(count(*) as int) as n from orders group by 1
+), walk as (
+  select doc, v, n, 1 as i, [1] as best, [0] as back from g
+  union all
+  select doc, v, n, i + 1, list_append(best, 1 + coalesce(m.b, 0)), list_append(back, coalesce(-m.j, 0)) from (
+    select *, list_max([{'b': best[j], 'j': -j} for j in generate_series(1, i) if v[j] <= v[i + 1]]) as m from walk where i < n
+  )
+), done as (select *, list_max([{'b': best[j], 'j': -j} for j in generate_series(1, n)]) as top from walk where i = n
+), back as (
+  select doc, back as prior, cast(-top.j as int) as j from done
+  union all
+  select doc, prior, cast(prior[j] as int) from back where prior[j] > 0
+)
+select o_custkey as key, o_orderkey as "at", o_totalprice as value, back.j is not null as kept
+from (select *, row_number() over (partition by o_custkey order by o_orderkey) as j from orders) o left join back on back.doc = o.o_custkey and back.j = o.j
+""")
 def monotonic_chain(spark, sf_dir):
     """Outliers of a page sequence, by the heaviest rising chain."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("at"), "o_totalprice", F.lit(1).alias("w"))

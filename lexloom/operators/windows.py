@@ -88,16 +88,24 @@ def interpolate(table: DataFrame, by: list[str], at: str, value: str, trust: flo
 
 
 def longest_chain(pdf: pd.DataFrame) -> list[bool]:
-    """Members of the heaviest chain of non-decreasing values, by position."""
+    """Members of the heaviest chain of non-decreasing values, by position. A
+    Fenwick tree over the values' ranks holds the heaviest chain that ends at or
+    below each, of equal ones the first, so n values take n log n steps."""
     values, weights = pdf["value"].tolist(), pdf["weight"].tolist()
+    rank = {v: k for k, v in enumerate(sorted(set(values)), 1)}
+    tree: list[tuple[float, int]] = [(0.0, 1)] * (len(rank) + 1)
     best, back = [], []
-    for i, v in enumerate(values):
-        total, prior = weights[i], -1
-        for j in range(i):
-            if values[j] <= v and best[j] + weights[i] > total:
-                total, prior = best[j] + weights[i], j
-        best.append(total)
-        back.append(prior)
+    for i, (v, w) in enumerate(zip(values, weights, strict=True)):
+        top, at = (0.0, 1), rank[v]
+        while at:
+            top = max(top, tree[at])
+            at &= at - 1
+        best.append(w + top[0])
+        back.append(-top[1])
+        own, at = (best[i], -i), rank[v]
+        while at < len(tree):
+            tree[at] = max(tree[at], own)
+            at += at & -at
     keep = [False] * len(values)
     k = max(range(len(best)), key=lambda i: (best[i], -i), default=-1)
     while k >= 0:

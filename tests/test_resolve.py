@@ -23,7 +23,7 @@ def test_shingles_of_all_languages(spark, tmp_path):
     for k, lang in enumerate(("en", "de", None)):
         rows += [(10 * k, base[k], lang), (10 * k + 1, base[k], lang), (10 * k + 2, base[k] + " tail", lang), (10 * k + 3, f"alone a{k} b{k} c{k}", lang)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    pairs = {(r.a, r.b) for r in catalog.queries()["shingle_containment_all"](spark, str(tmp_path)).collect()}
+    pairs = {(r.a, r.b) for r in catalog.queries()["shingle_containment"](spark, str(tmp_path)).collect()}
     classes = {r.doc_id: r.class_id for r in catalog.queries()["shingle_classes"](spark, str(tmp_path)).collect()}
     assert pairs == {(0, 2), (10, 12), (20, 22)}
     assert classes == {d: d - (d % 10 == 1) for d, _, _ in rows}
