@@ -15,11 +15,13 @@ contractions, runs of letters, single digits and runs of other marks. The
 special tokens are cut out of the raw text first. Without a decoder in the file
 decoding joins the token strings by blanks.
 
-Words and prefixes are kept between the batches of a task while they take less
-than ``CACHE_BYTES``; prefixes longer than ``KEEP`` symbols only live on the path
-being walked, so a word of a million letters costs memory in proportion. The
-encoder goes with its task. The vocabulary (fixed size, under 2 MB) is read on
-the driver and broadcast.
+Words are kept between the slices of a task in two generations of ``CACHE_BYTES``
+together: the older goes when the newer is full, and words met again move up. Of the
+prefixes only those of at most ``KEEP`` symbols are kept; longer ones live on the
+path being walked, so a word of a million letters costs memory in proportion. Long
+texts are cut into blocks at white space, where no piece can be cut, so none is ever
+held as pieces whole. The encoder goes with its task. The vocabulary (fixed size,
+under 2 MB) is read on the driver and broadcast.
 
 Defined cases: a null text is empty and has no tokens. Rows are encoded one by
 one whatever their id; repeated rows give repeated results; columns other than
@@ -31,19 +33,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Bound on what the kept words and prefixes of a worker take, each by estimate.
-CACHE_BYTES = 48 << 20
+#: Bound on what the kept words of a worker take, by estimate.
+CACHE_BYTES = 128 << 20
 #: Symbols of the longest prefix that is kept, pairs of tokens that are kept.
-KEEP, PAIRS = 24, 400_000
-#: Texts of a slice go together up to so many rows and characters.
-SLICE, SLICE_CHARS = 1024, 2 << 20
+KEEP, PAIRS = 5, 400_000
+#: Characters of a slice of texts, and of a block of a text.
+SLICE_CHARS, BLOCK = 2 << 20, 1 << 20
+BLANK = re.compile("[ \t\n\r]")
 #: Letters of the fast path's texts after lower-casing, and marks it may hold.
 LETTERS, MARKS = "a-zß-öø-ɏ", "\u2010-\u2027\u2030-\u203b\u20ac"
 #: Texts whose cut doesn't depend on the version of the Unicode tables: ASCII,
@@ -96,26 +99,26 @@ class Encoder:
         self.numbers: dict = {}
         self.states: dict[str, tuple[int, int]] = {}
         self._shared: dict[tuple[int, int], tuple[int, int]] = {}
-        self.name_of = {str(i): t for i, t in self.token_of.items()}
         self.forget()
         self._pairs: dict[tuple[int, int], bool] = {}
         # A token that merges cannot make of its own symbols never comes out.
         made = {a + b for a, b in data["merges"]}
         base = set(self.symbols) | {s + self.suffix for s in self.symbols}
-        self.ids = {t: i for t, i in self.vocab.items() if t in made or t in base}
-        self.ids = {t: i for t, i in self.ids.items() if self._merge(self._split(t)) == [t]}
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.ids = {t: i for t, i in self.vocab.items() if (t in made or t in base) and self._made(t)}
+        self._spines: tuple[dict, dict] = ({}, {})
         self.longest = max(map(len, self.ids), default=1)
         self.library = Tokenizer.from_str(data["file"])
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def forget(self) -> None:
-        """Empty the kept words and prefixes; special tokens stand as their ids."""
-        self.states.clear()
-        self.numbers.clear()
+        """Begin a generation of words; special tokens stand as their ids."""
+        self.older = self.numbers
+        self.numbers = {i: (1, str(i), self.token_of[i]) for i in self.special.values()}
         self.held = 0
-        for i in self.special.values():
-            self.numbers[i] = str(i)
+        if len(self.states) > PAIRS:
+            self.states.clear()
 
     def _split(self, token: str) -> list[str]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -123,22 +126,51 @@ class Encoder:
             return [*body[:-1], body[-1] + self.suffix]
         return list(token)
 
-    def _merge(self, parts: list[str]) -> list[str]:
-        """The merges run over a few symbols: lowest rank first, leftmost first."""
-        rank, parts = self.rank, list(parts)
+    def _made(self, token: str) -> bool:
+        """Do the merges, lowest rank first and leftmost first, make the token of its
+        symbols? Notes the halves of its last merge."""
+        rank, parts = self.rank, self._split(token)
         while len(parts) > 1:
             best = min(range(len(parts) - 1), key=lambda k: rank.get((parts[k], parts[k + 1]), 1 << 30))
-            if (parts[best], parts[best + 1]) not in rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+            pair = (parts[best], parts[best + 1])
+            if pair not in rank:
+                return False
+            parts[best : best + 2] = [pair[0] + pair[1]]
+            self.halves[parts[best]] = pair
+        return True
+
+    def _spine(self, token: int, side: int) -> tuple[list[str], list[int]]:
+        """What stands at an edge of the token (0: left, 1: right) while its merges
+        run, and the ranks of the merges that change it. A merge's rank is above
+        those that made its halves, so they run in this order."""
+        found = self._spines[side].get(token)
+        if found is None:
+            parts, ranks = [self.token_of[token]], [1 << 30]
+            while pair := self.halves.get(parts[-1]):
+                parts.append(pair[side])
+                ranks.append(self.rank[pair])
+            found = self._spines[side][token] = (parts[::-1], [*ranks[:0:-1], 1 << 30])
+        return found
 
     def _fits(self, left: int, right: int) -> bool:
-        """May the right token follow the left one?"""
+        """May the right token follow the left one? Not if a merge over their border
+        comes before the next merge at the left one's end, and not after the next at
+        the right one's start: equal merges run from left to right."""
         found = self._pairs.get((left, right))
         if found is None:
-            a, b = self.token_of[left], self.token_of[right]
-            found = self._merge(self._split(a) + self._split(b)) == [a, b]
+            (xs, after_x), (ys, after_y) = self._spine(left, 1), self._spine(right, 0)
+            rank, i, j, found = self.rank, 0, 0, True
+            while True:
+                over, x, y = rank.get((xs[i], ys[j]), 1 << 30), after_x[i], after_y[j]
+                if over < x and over <= y and over < 1 << 30:
+                    found = False
+                    break
+                if x == y == 1 << 30:
+                    break
+                if x <= y:
+                    i += 1
+                else:
+                    j += 1
             if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             self._pairs[left, right] = found
@@ -169,7 +201,6 @@ class Encoder:
                 state = states.get(prefix)
                 if state is None:
                     state = states[prefix] = self._last(inner, n, stack, "")
-                    self.held += 150 + n
                 stack.append(state)
             before = inner
             self._read_off(word, stack, self._last(path, len(path), stack, suffix))
@@ -180,9 +211,11 @@ class Encoder:
         for at in range(max(0, n - self.longest), n):
             token = get(path[at:n] + tail)
             if token is not None and (not at or self._fits(stack[at - 1][0], token)):
-                state = (token, n - at)
-                return self._shared.setdefault(state, state)
-        raise ValueError(f"no token ends {path[:n]!r}")
+                break
+        else:
+            raise ValueError(f"no token ends {path[:n]!r}")
+        state = (token, n - at)
+        return self._shared.setdefault(state, state)
 
     def _read_off(self, word: str, stack: list[tuple[int, int]], last: tuple[int, int]) -> None:
         token, size = last
@@ -192,8 +225,8 @@ class Encoder:
             out.append(token)
             at -= size
         out.reverse()
-        found = self.numbers[word] = " ".join(map(str, out))
-        self.held += 250 + 2 * len(word) + len(found)
+        found = self.numbers[word] = (len(out), " ".join(map(str, out)), " ".join(map(self.token_of.__getitem__, out)))
+        self.held += 400 + 2 * len(word) + 2 * len(found[1])
 
     def pieces(self, text: str) -> list[str]:
         """Words of the text; a special token stands as its id."""
@@ -216,29 +249,45 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids, decoded text) of each text."""
-        return list(map(self._join, self._known([self.pieces(t or "") for t in texts])))
-
-    def _known(self, cut: list[list]) -> Iterator[list]:
-        """The texts' pieces, one text at a time, each with its words learned.
-        Words that would outgrow the cache are learned a text at a time."""
-        new = {w for ws in cut for w in ws if w not in self.numbers}
-        if self.held + 20 * sum(map(len, new)) <= 2 * CACHE_BYTES:
-            self.learn(list(new))
-            yield from cut
-        else:
-            for ws in cut:
-                self.forget()
-                self.learn([w for w in set(ws) if w not in self.numbers])
-                yield ws
-        if self.held > CACHE_BYTES:
+        out: list[list] = [[0, [], []] for _ in texts]
+        for k, n, ids, decoded in self.blocks(texts):
+            out[k][0] += n
+            if n:
+                out[k][1].append(ids)
+                out[k][2].append(decoded)
+        return [(n, " ".join(ids), " ".join(decoded)) for n, ids, decoded in out]
+
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[tuple[int, int, str, str]]:
+        """(place of the text, number of ids, ids, decoded text) of each block of
+        each text, in order."""
+        held, size = [], 0
+        for k, text in enumerate(texts):
+            for block in _blocks(text or ""):
+                held.append((k, self.pieces(block)))
+                size += len(block)
+                if size >= SLICE_CHARS:
+                    yield from self._slice(held)
+                    held, size = [], 0
+        yield from self._slice(held)
+
+    def _slice(self, held: list[tuple[int, list]]) -> Iterator[tuple[int, int, str, str]]:
+        numbers, older = self.numbers, self.older
+        missing = {w for _, ws in held for w in ws if w not in numbers}
+        again = missing & older.keys()
+        for w in again:
+            found = numbers[w] = older[w]
+            self.held += 400 + 2 * len(w) + 2 * len(found[1])
+        self.learn(list(missing - again))
+        for k, ws in held:
+            yield k, *self._join(ws)
+        if self.held > CACHE_BYTES // 2:
             self.forget()
 
     def _join(self, ws: list) -> tuple[int, str, str]:
-        ids = " ".join(map(self.numbers.__getitem__, ws))
-        if not ids:
+        if not ws:
             return 0, "", ""
-        parts = ids.split(" ")
-        return len(parts), ids, " ".join(map(self.name_of.__getitem__, parts))
+        counts, ids, decoded = zip(*map(self.numbers.__getitem__, ws), strict=True)
+        return sum(counts), " ".join(ids), " ".join(decoded)
 
 
 def decode(ids: list[int], encoder: Encoder) -> str:
@@ -246,18 +295,12 @@ def decode(ids: list[int], encoder: Encoder) -> str:
     return " ".join(encoder.token_of[i] for i in ids)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """The texts in slices: (place of the first, texts)."""
-    held, size, at = [], 0, 0
-    for k, text in enumerate(texts):
-        value = text.as_py()
-        if held and (len(held) >= SLICE or size + len(value or "") > SLICE_CHARS):
-            yield at, held
-            held, size, at = [], 0, k
-        held.append(value)
-        size += len(value or "")
-    if held:
-        yield at, held
+def _blocks(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > BLOCK and (blank := BLANK.search(text, at + BLOCK)):
+        yield text[at : blank.start()]
+        at = blank.start()
+    yield text[at:]
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
@@ -271,19 +314,20 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(parse_vocabulary(shared.value))
-        for whole in batches:
-            for at, texts in slices(whole.column(1)):
-                n, digests, wholes = [], ([], []), ([], [])
-                for count, *found in encoder.encode(texts):
-                    n.append(count)
-                    for k in range(2):
-                        digests[k].append(hashlib.sha256(found[k].encode("utf-8")).hexdigest())
-                        if full:
-                            wholes[k].append(found[k])
-                out = [whole.column(0).slice(at, len(n)), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
-                if full:
-                    out += [pa.array([[*map(int, x.split())] for x in wholes[0]], pa.list_(pa.int32())), pa.array(wholes[1], pa.string())]
-                yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
+        for batch in batches:
+            counts = [0] * batch.num_rows
+            digests = [[hashlib.sha256() for _ in counts] for _ in range(2)]
+            wholes: list[list[list[str]]] = [[[] for _ in counts] for _ in range(2)]
+            for k, n, *found in encoder.blocks(t.as_py() for t in batch.column(1)):
+                for kind, part in enumerate(found if n else ()):
+                    digests[kind][k].update((" " * bool(counts[k]) + part).encode("utf-8"))
+                    if full:
+                        wholes[kind][k].append(part)
+                counts[k] += n
+            out = [batch.column(0), pa.array(counts, pa.int64()), *(pa.array([d.hexdigest() for d in ds], pa.string()) for ds in digests)]
+            if full:
+                out += [pa.array([[int(i) for x in xs for i in x.split()] for xs in wholes[0]], pa.list_(pa.int32())), pa.array([" ".join(xs) for xs in wholes[1]], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
 
     return docs.mapInArrow(run, schema)
 
