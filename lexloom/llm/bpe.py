@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lexloom.llm.workers import resting
+
 #: Bound on what the kept words of a worker take, by estimate.
 CACHE_BYTES = 128 << 20
 #: Symbols of the longest prefix that is kept, pairs of tokens that are kept.
@@ -329,7 +331,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 out += [pa.array([[int(i) for x in xs for i in x.split()] for xs in wholes[0]], pa.list_(pa.int32())), pa.array([" ".join(xs) for xs in wholes[1]], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(resting(run), schema)
 
 
 def _default_vocabulary() -> str:

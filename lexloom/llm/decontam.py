@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.workers import resting
 from lexloom.session import share, shared, stage
 
 BLOCK_WORDS = 1_000_000
@@ -240,7 +241,7 @@ def _block_hits(texts: DataFrame, automaton: Automaton) -> DataFrame:
             at = pa.array(hit, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), runs, items], names=["h1", "h2", "runs", "items"])
 
-    found = texts.mapInArrow(run, "h1 long, h2 long, runs array<int>, items array<string>")
+    found = texts.mapInArrow(resting(run), "h1 long, h2 long, runs array<int>, items array<string>")
     out = stage(found.groupBy("h1", "h2").agg(F.first("runs").alias("runs"), F.first("items").alias("items")), "block-hits")
     held.unpersist()
     return out
@@ -260,7 +261,7 @@ def _through(docs: DataFrame, text_col: str, blocks: Iterator[Automaton], window
                 texts = batch.column(at).to_pylist()
                 yield finish(batch, texts, _judge(own, texts))
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(resting(run), schema)
     text = F.col(f"`{text_col}`")
     hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
     texts = docs.select(*hashes, text.alias("text"))
@@ -286,7 +287,7 @@ def _through(docs: DataFrame, text_col: str, blocks: Iterator[Automaton], window
                     flags[-1][a:b] = True
             yield finish(row, texts, (counts, flags, [set(x or ()) for x in batch.column(2).to_pylist()]))
 
-    return rows.mapInArrow(joined, schema)
+    return rows.mapInArrow(resting(joined), schema)
 
 
 def _runs(flags: np.ndarray) -> list[int]:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import superkmer
+from lexloom.llm.workers import resting
 from lexloom.session import stage
 
 WINDOW, GRAM = 20, 4
@@ -143,7 +144,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    return rows.select("id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.select("id", "text", "spans").mapInArrow(resting(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(words).decode("utf-8"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["id", "text"])
 
-    return rows.select("id", "text", "spans").mapInArrow(run, "id long, text string")
+    return rows.select("id", "text", "spans").mapInArrow(resting(run), "id long, text string")
 
 
 SQL = r"""

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lexloom.llm import superkmer
 from lexloom.llm.sais import common_prefixes, suffix_array
 from lexloom.llm.substring import keyed, marked, spans
+from lexloom.llm.workers import resting
 
 WINDOW, GRAM, PARTS = 200, 24, 16
 SEGMENT = 2 << 20
@@ -163,5 +164,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     return rows.select("id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        resting(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )

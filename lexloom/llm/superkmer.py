@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.workers import resting
+
 FLUSH = 2 << 20
 BUCKET_BYTES = 16 << 20
 #: Hot minimisers: how many at most, from how many different strings on, and the
@@ -196,7 +198,7 @@ def hot_keys(docs: DataFrame, scheme: Scheme) -> np.ndarray:
             found = np.unique(np.stack((pieces.key[own], pieces.content[own])), axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["key", "content"])
 
-    rows = docs.mapInArrow(run, "key long, content long").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    rows = docs.mapInArrow(resting(run), "key long, content long").distinct().groupBy("key").agg(F.count("*").alias("n"))
     rows = rows.where(F.col("n") >= HOT_STRINGS // ONE_IN)
     keys = [r["key"] for r in rows.orderBy(F.desc("n"), "key").limit(HOT).collect()]
     return np.sort(np.array(keys, np.int64).view(U))
@@ -296,5 +298,5 @@ def dealt(docs: DataFrame, scheme: Scheme, settle: Callable, resolve: Callable,
         for part in rounds(blobs):
             yield from map(out, resolve(part))
 
-    sent = docs.mapInArrow(send, SCHEMA).repartition(min(buckets, 1 << 20), "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(settle_buckets, "id long, th long, start long, n long")
+    sent = docs.mapInArrow(resting(send), SCHEMA).repartition(min(buckets, 1 << 20), "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(resting(settle_buckets), "id long, th long, start long, n long")

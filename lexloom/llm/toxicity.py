@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.workers import resting
 from lexloom.session import share, shared
 
 SAMPLE = 40_000
@@ -266,7 +267,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
             )
 
     counted = (
-        rows.select("text", "toxic").mapInArrow(work, "stem string, clean long, toxic long")
+        rows.select("text", "toxic").mapInArrow(resting(work), "stem string, clean long, toxic long")
         .groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .where(f"stem = '' or toxic >= {MIN_TOXIC} and clean * 10 <= toxic")
         .collect()
@@ -297,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     seen = (
-        rows.select("text", "toxic").mapInArrow(work, "x array<double>, toxic int")
+        rows.select("text", "toxic").mapInArrow(resting(work), "x array<double>, toxic int")
         .groupBy("x", "toxic").count().orderBy("x", "toxic").collect()
     )
     kinds = {r["toxic"] for r in seen}
@@ -340,7 +341,7 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(g, batch.column(1)))], names=["id", "score"])
 
-    return docs.mapInArrow(work, f"id {docs.schema['id'].dataType.simpleString()}, score double")
+    return docs.mapInArrow(resting(work), f"id {docs.schema['id'].dataType.simpleString()}, score double")
 
 
 def reject(docs: DataFrame, grammar: Grammar, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -352,7 +353,7 @@ def reject(docs: DataFrame, grammar: Grammar, least: float = 0.5, text_col: str
         for batch in batches:
             yield batch.filter(pa.array(_scores(g, batch.column(at)) < least))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(resting(work), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
