@@ -14,10 +14,10 @@ Links come from two sources, and each is decided on the whole sets of shingles:
 
 Groups are the components of the links; the document with the smallest id of a
 group stays. Equal texts (equal lower-cased words) are one class before any join,
-so a large group of copies enters once. The trie's links and neighbours by size in
-a bucket are decided first; then only pairs whose texts are in different
-components so far are, so a large group of near copies gives few pairs and not the
-square of its size.
+so a large group of copies enters once. The trie's links are decided first, then
+neighbours by size in the buckets, then those further apart (``REACH``), and each
+round takes only pairs whose texts are in different components so far, so a large
+group of near copies gives few pairs and not the square of its size.
 
 The texts of the classes are written once. Pairs first meet with histograms of
 their shingles (counts by the hash's first byte): the smaller counts add up to at
@@ -44,11 +44,16 @@ from pyspark.sql import functions as F
 from lexloom.llm import simhash
 from lexloom.llm.simhash import LOWER, UPPER, components
 from lexloom.llm.superkmer import mix
+from lexloom.llm.workers import resting
 from lexloom.session import share, shared, stage, unstage
 
 WIDTH, BUDGET = 5, 3
 #: Texts whose shingles are counted for the order, and how many are kept as frequent.
 SAMPLE, FREQUENT = 8_000, 1 << 16
+#: Rows of a task, and classes of shingles by which pairs are ruled out early.
+ROWS, BITS = 2_000_000, 512
+#: How far apart by size the texts of a round's pairs are, in their buckets.
+REACH = ((1, 1), (2, 8), (9, None))
 #: Pairs of sets that are in a Python worker at once.
 BATCH = 256
 #: A list of texts to look up is broadcast up to so many rows (16 bytes each).
@@ -95,7 +100,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             fp = np.array(prints, U).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(fp)], names=["id", "th", "c1", "c2", "fp"])
 
-    return docs.mapInArrow(run, "id long, th long, c1 long, c2 long, fp long")
+    return docs.mapInArrow(resting(run), "id long, th long, c1 long, c2 long, fp long")
 
 
 def sets(texts: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def sets(texts: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "grams"])
             yield out.filter(pa.array([len(x) > 0 for x in found], pa.bool_()))
 
-    return texts.mapInArrow(run, "rep long, grams binary")
+    return texts.mapInArrow(resting(run), "rep long, grams binary")
 
 
 def frequent(texts: DataFrame) -> np.ndarray:
@@ -120,7 +125,7 @@ def frequent(texts: DataFrame) -> np.ndarray:
             for text in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py()).view(np.int64))], names=["gram"])
 
-    part = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("text").mapInArrow(run, "gram long")
+    part = texts.where(F.pmod(F.xxhash64("rep"), F.lit(every)) == 0).select("text").mapInArrow(resting(run), "gram long")
     top = part.groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram")
     return top.toArrow().column(0).to_numpy().view(U)[::-1]
 
@@ -166,7 +171,7 @@ def entries(texts: DataFrame, often) -> DataFrame:
                 columns[0] = columns[0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["gram", "rep", "n", "place"])
 
-    return texts.select("rep", "text").mapInArrow(run, "gram long, rep long, n int, place int")
+    return texts.select("rep", "text").mapInArrow(resting(run), "gram long, rep long, n int, place int")
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
@@ -175,12 +180,14 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray] | None:
     if not rows:
         return None
     table = pa.Table.from_batches(rows)
-    found = {c: table.column(c).to_numpy() for c in table.column_names}
+    found = {c: table.column(c).to_numpy() for c in table.column_names if c != "bits"}
+    if "bits" in table.column_names:
+        found["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), U).reshape(-1, BITS // 64)
     order = np.lexsort((found["rep"], found["n"], found["gram"]))
     return {c: x[order] for c, x in found.items()}
 
 
-def buckets(rows: DataFrame) -> DataFrame:
+def buckets(rows: DataFrame, tasks: int) -> DataFrame:
     """Of ``entries`` those whose gram more than one text has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,57 +199,64 @@ def buckets(rows: DataFrame) -> DataFrame:
         names = ["gram", "rep", "n", "place"]
         yield pa.RecordBatch.from_arrays([pa.array(found[c][many]) for c in names], names=names)
 
-    return rows.repartition("gram").mapInArrow(run, "gram long, rep long, n int, place int")
+    return rows.repartition(tasks, "gram").mapInArrow(resting(run), "gram long, rep long, n int, place int")
 
 
-def candidates(rows: DataFrame, all_pairs: bool) -> DataFrame:
-    """Pairs ``a, b`` of a bucket that may be similar: neighbours by size, or all
-    whose components (column ``own``) differ."""
+def candidates(rows: DataFrame, tasks: int, nearest: int, furthest: int | None) -> DataFrame:
+    """Pairs ``a, b`` that may be similar, of texts in one bucket and in different
+    components (column ``own``), from ``nearest`` to ``furthest`` places apart by
+    size (null: however far). A class that only one of two texts has (column
+    ``bits``) stands for a shingle that the other lacks, so pairs with too many of
+    those go without a loss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _sorted(batches)
         if found is None:
             return
-        gram, rep, n, place = (found[c] for c in ("gram", "rep", "n", "place"))
+        gram, rep, n, place, own, bits = (found[c] for c in ("gram", "rep", "n", "place", "own", "bits"))
         n, place = n.astype(np.int64), place.astype(np.int64)
         # The smaller of a pair comes first, and meets with its first ninth.
         small = np.flatnonzero(place < index_length(n))
         step = 1
-        while len(small):
+        while len(small) and (furthest is None or step <= furthest):
             small = small[small + step < len(gram)]
             other = small + step
             # Sizes only grow from here, so a text too large ends the search.
             ok = (gram[small] == gram[other]) & (5 * n[small] >= 4 * n[other])
             small, other = small[ok], other[ok]
-            most = np.minimum(place[small], place[other]) + 1 + np.minimum(n[small] - place[small], n[other] - place[other]) - 1
-            good = 9 * most >= 4 * (n[small] + n[other])
-            if all_pairs:
-                good &= found["own"][small] != found["own"][other]
-            a, b = rep[small[good]], rep[other[good]]
-            if len(a):
-                pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            if step >= nearest:
+                most = np.minimum(place[small], place[other]) + 1 + np.minimum(n[small] - place[small], n[other] - place[other]) - 1
+                good = (9 * most >= 4 * (n[small] + n[other])) & (own[small] != own[other])
+                i, j = small[good], other[good]
+                lacks = [np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1).astype(np.int64) for x, y in ((i, j), (j, i))]
+                good = 9 * np.minimum(n[i] - lacks[0], n[j] - lacks[1]) >= 4 * (n[i] + n[j])
+                a, b = rep[i[good]], rep[j[good]]
+                if len(a):
+                    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
             step += 1
-            if not all_pairs:
-                break
 
-    return rows.repartition("gram").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(tasks, "gram").mapInArrow(resting(run), "a long, b long").distinct()
 
 
 def histograms(texts: DataFrame) -> DataFrame:
-    """``rep, counts``: how many shingles begin with each byte, as 256 16-bit
-    numbers, of texts that have words."""
+    """``rep, counts, bits`` of texts that have words: how many shingles begin with
+    each byte, as 256 16-bit numbers, and which of ``BITS`` classes they fall into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, bits = [], []
             for text in batch.column(1):
-                counts = np.bincount((shingles(text.as_py()) >> U(56)).astype(np.int64), minlength=256)
-                found.append(np.minimum(counts, FULL).astype(np.uint16).tobytes() if counts.any() else None)
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "counts"])
+                grams = shingles(text.as_py())
+                counts = np.bincount((grams >> U(56)).astype(np.int64), minlength=256)
+                found.append(np.minimum(counts, FULL).astype(np.uint16).tobytes() if len(grams) else None)
+                classes = np.zeros(BITS, bool)
+                classes[(grams % U(BITS)).astype(np.int64)] = True
+                bits.append(np.packbits(classes).tobytes())
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), pa.array(bits, pa.binary())], names=["rep", "counts", "bits"])
             yield out.filter(out.column(1).is_valid())
 
-    return texts.mapInArrow(run, "rep long, counts binary")
+    return texts.mapInArrow(resting(run), "rep long, counts binary, bits binary")
 
 
 def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -258,7 +272,7 @@ def possible(pairs: DataFrame, counts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     x, y = (counts.select(F.col("rep").alias(c), F.col("counts").alias(f"c{c}")) for c in "ab")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb").mapInArrow(resting(run), "a long, b long")
 
 
 def chosen(texts: DataFrame, reps: DataFrame) -> DataFrame:
@@ -288,7 +302,7 @@ def similar(pairs: DataFrame, counts: DataFrame, texts: DataFrame) -> DataFrame:
     before = conf.get(key)
     conf.set(key, str(BATCH))
     try:
-        return stage(both.mapInArrow(run, "a long, b long"), "similar")
+        return stage(both.mapInArrow(resting(run), "a long, b long"), "similar")
     finally:
         conf.set(key, before)
         unstage(held)
@@ -304,16 +318,22 @@ def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     near = simhash.links(classes, BUDGET).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = stage(near.distinct(), "near")
     often = share(texts.sparkSession, frequent(texts))
-    met = stage(buckets(entries(texts, often)), "met")
+    # A text has about a shingle for six letters, and enters with a fifth of them.
+    letters = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), letters // 30 // ROWS + 1)
+    met = stage(buckets(entries(texts, often), tasks), "met")
     meeting = met.select("rep").union(near.select("a")).union(near.select("b"))
     counts = stage(histograms(chosen(texts, meeting)), "histograms")
-    first = similar(candidates(met, False).unionByName(near).distinct(), counts, texts)
-    joined = components(first)
-    own = met.join(joined, met.rep == joined.node, "left").select("gram", "rep", "n", "place", F.coalesce("component", "rep").alias("own"))
-    rest = similar(candidates(own, True), counts, texts)
-    for done in (near, met, counts, texts, joined):
+    found = similar(near, counts, texts)
+    for nearest, furthest in REACH:
+        joined = components(found)
+        own = met.join(joined, met.rep == joined.node, "left").select("gram", "rep", "n", "place", F.coalesce("component", "rep").alias("own"))
+        pairs = candidates(own.join(counts.select("rep", "bits"), "rep"), tasks, nearest, furthest)
+        found = found.unionByName(similar(pairs, counts, texts))
+        unstage(joined)
+    for done in (near, met, counts, texts):
         unstage(done)
-    return first.unionByName(rest)
+    return found
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm.workers import resting
 from lexloom.session import stage, unstage
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 FRONTIER = 1 << 17
+#: Fingerprints of a task of the join.
+ROWS = 2_000_000
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -67,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(run, "id long, fp long")
+    return docs.mapInArrow(resting(run), "id long, fp long")
 
 
 def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -185,7 +188,9 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
             a, b = local_stars(_rotate(fp[own].view(np.uint64), t * width), rep[own], budget, width)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return entered.repartition("turn", "top").select("fp", "rep", "turn").mapInArrow(run, "a long, b long")
+    # A task holds its rows; their number follows the data.
+    tasks = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks * classes.count() // ROWS + 1)
+    return entered.repartition(tasks, "turn", "top").select("fp", "rep", "turn").mapInArrow(resting(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

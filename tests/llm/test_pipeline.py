@@ -64,9 +64,9 @@ def test_near_pairs_against_all_pairs(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "rep long, text string")
     counts = nearstage.histograms(docs).cache()
     often = nearstage.share(spark, nearstage.frequent(docs))
-    met = nearstage.buckets(nearstage.entries(docs, often))
-    own = met.withColumn("own", met.rep)
-    got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, True), counts, docs).collect()}
+    met = nearstage.buckets(nearstage.entries(docs, often), 4)
+    own = met.withColumn("own", met.rep).join(counts.select("rep", "bits"), "rep")
+    got = {(r.a, r.b) for r in nearstage.similar(nearstage.candidates(own, 4, 1, None), counts, docs).collect()}
     assert len(want) > 400 and got == want
 
 
