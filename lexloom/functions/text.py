@@ -64,3 +64,17 @@ def containment(a: Column, b: Column) -> Column:
 def utf16_length(text: Column) -> Column:
     """The length in UTF-16 units: letters beyond the first plane count twice."""
     return (F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("long")
+
+
+def without_heads(pages, by: str, page: str, text: str, share: float = 0.4, lines: int = 2):
+    """Pages without running heads: of a page's first ``lines`` lines those go that,
+    digits aside, begin at least ``share`` of the document's pages; the lines left
+    are joined by blanks."""
+    first = F.transform(F.slice(F.split(F.col(text), "\n"), 1, lines), lambda x: F.trim(F.regexp_replace(F.lower(x), "[0-9]+", "#")))
+    heads = pages.select(by, page, F.explode(F.array_distinct(first)).alias("head")).groupBy(by, "head").agg(F.count("*").alias("n"))
+    total = pages.groupBy(by).agg(F.count("*").alias("total"))
+    often = heads.join(total, by).where((F.col("n") >= share * F.col("total")) & (F.col("n") > 1)).groupBy(by).agg(F.collect_set("head").alias("heads"))
+    known = F.coalesce("heads", F.array().cast("array<string>"))
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[0-9]+", "#"))
+    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: (i >= lines) | ~F.array_contains(known, plain(x)))
+    return pages.join(often, by, "left").withColumn(text, F.array_join(F.transform(kept, lambda x: F.trim(x)), " ")).drop("heads")

@@ -183,3 +183,17 @@ def case_search(index: DataFrame, asked: DataFrame, limit: int = 1) -> DataFrame
     scored = left.join(right, "meet").withColumn("score", names.name_match(F.col("query"), F.col("name"))).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), F.length(names.folded(F.col("name"))), "num"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("request", "num", "score", "rank")
+
+
+def alignment_scores(source: DataFrame, page: DataFrame, offsets: DataFrame, by: str) -> DataFrame:
+    """``by, offset, score``: 0.85 of the share of a page's words that equal the
+    source's at an offset, and 0.15 of the longest run of them, of eight words at
+    most. ``offsets``: by, offset; the others: by, pos, word."""
+    size = page.groupBy(by).agg(F.count("*").alias("n"))
+    placed = page.join(offsets, by).withColumn("at", F.col("pos") + F.col("offset"))
+    hits = placed.join(source.select(by, F.col("pos").alias("at"), "word"), [by, "at", "word"]).select(by, "offset", "pos")
+    runs = hits.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(by, "offset").orderBy("pos")))
+    blocks = runs.groupBy(by, "offset", "run").agg(F.count("*").alias("size")).groupBy(by, "offset").agg(F.sum("size").alias("matched"), F.max("size").alias("longest"))
+    out = offsets.join(size, by).join(blocks, [by, "offset"], "left")
+    matched, longest = F.coalesce("matched", F.lit(0)), F.coalesce("longest", F.lit(0))
+    return out.select(by, "offset", (0.85 * matched / F.col("n") + 0.15 * F.least(F.lit(1.0), longest / 8.0)).alias("score"))

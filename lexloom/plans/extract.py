@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.cites import REPORTERS, _plain, alias_map
 from lexloom.plans import forms
 
-LINK = "start int, end int, kind string, vol int, reporter string, page int, pin string, value string"
+LINK = "start int, end int, kind string, vol int, reporter string, page int, pin string, value string, name string, year int"
 # Limits of back-references.
 PAGE_WINDOW, NEAR_GAP, FAR_GAP, LOOK_BACK = 100, 240, 900, 4
 
@@ -45,10 +45,10 @@ def _canon() -> dict[str, str]:
 
 def draw(text: str, alias: dict[str, str]) -> list[dict]:
     """All matches of all kinds, not yet reconciled."""
-    out = [dict(zip(("start", "end", "kind", "vol", "page", "value"), x, strict=True), reporter=None, pin=None) for x in forms.draw(text)]
+    out = [dict(zip(("start", "end", "kind", "vol", "page", "value"), x, strict=True), reporter=None, pin=None, name=None, year=None) for x in forms.draw(text)]
 
     def put(m, kind, vol=None, reporter=None, page=None, pin=None, value=None):
-        out.append({"start": m.start(), "end": m.end(), "kind": kind, "vol": vol, "reporter": reporter, "page": page, "pin": pin, "value": value})
+        out.append({"start": m.start(), "end": m.end(), "kind": kind, "vol": vol, "reporter": reporter, "page": page, "pin": pin, "value": value, "name": None, "year": None})
 
     for m in FULL.finditer(text):
         name = alias[_plain(m[2])]
@@ -60,6 +60,42 @@ def draw(text: str, alias: dict[str, str]) -> list[dict]:
     return out
 
 
+NAME = re.compile(
+    r"(?:^|(?<=[\s(“\"]))((?:In re |Ex parte |Matter of )?[A-Z][\w.'’&-]*(?:,? (?:of|the|and|&|for|in|de|la|ex|rel\.|[A-Z][\w.'’&-]*))*?"
+    r"(?: v\. [A-Z][\w.'’&-]*(?:,? (?:of|the|and|&|for|in|de|la|ex|rel\.|[A-Z][\w.'’&-]*))*)?),\s*$"
+)
+SIGNAL = re.compile(r"^(?:(?:See|Cf\.|Accord|Compare|But|Also|Then|Under|In|E\.g\.,)\s+(?:also\s+|cf\.\s+|see\s+)?)+(?!re\b)")
+YEAR = re.compile(r"\s*\((?:[^()]{0,60}?[\s.])?(1[6-9]\d\d|20\d\d)\)")
+
+
+def name_before(text: str, at: int) -> str | None:
+    """The case name that ends right before a citation, without a signal: two
+    parties, or a matter; a lone word only as a short form of a name."""
+    m = NAME.search(text[max(0, at - 200) : at])
+    return (SIGNAL.sub("", m[1]) or None) if m else None
+
+
+def named(links: list[dict], text: str) -> list[dict]:
+    """Full citations with the name before and the year after them. Parallel
+    citations, with only a comma between, share the first one's name and the year
+    at their end."""
+    run: list[dict] = []
+    for x in links:
+        if x["kind"] != "cite":
+            run = []
+            continue
+        if run and not text[run[-1]["end"] : x["start"]].strip(" ,\t\n"):
+            x["name"] = run[0]["name"]
+            run.append(x)
+        else:
+            x["name"] = name_before(text, x["start"])
+            run = [x]
+        year = YEAR.match(text, x["end"])
+        for y in run if year else ():
+            y["year"] = y["year"] or int(year[1])
+    return links
+
+
 def chosen(found: list[dict]) -> list[dict]:
     """Leftmost, then longest, then by kind; what overlaps the one before goes."""
     out, at = [], 0
@@ -149,8 +185,23 @@ def antecedent(x: dict, recent: list[dict], text: str) -> dict | None:
     return None
 
 
+def typed(queries: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, kind, value``: queries that are one whole citation."""
+    kind = queries.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [forms.typed(t) for t in batch.column(1).to_pylist()]
+            hold = pa.array([k for k, x in enumerate(found) if x], pa.int64())
+            columns = [pa.array([x[c] for x in found if x], pa.string()) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(hold), *columns], names=[key, "kind", "value"])
+
+    return queries.select(key, text).mapInArrow(run, f"`{key}` {kind}, kind string, value string")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, start, end, kind, vol, reporter, page, pin, value`` of each link.
+    """``doc_id, start, end, kind, vol, reporter, page, pin, value, name, year`` of
+    each link.
     Null texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -159,7 +210,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             ids, rows = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                found = resolve_chain(chosen(draw(text, alias)), text)
+                found = resolve_chain(named(chosen(draw(text, alias)), text), text)
                 ids += [k] * len(found)
                 rows += found
             if rows:
@@ -172,4 +223,5 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 FOUND = {
     "start": pa.int32(), "end": pa.int32(), "kind": pa.string(), "vol": pa.int32(), "reporter": pa.string(), "page": pa.int32(), "pin": pa.string(), "value": pa.string(),
+    "name": pa.string(), "year": pa.int32(),
 }

@@ -194,3 +194,33 @@ def draw(text: str) -> Iterator[Found]:
     if "No." in text or "Nos." in text:
         yield from dockets(text)
         yield from numbered(text)
+
+
+def typed(query: str | None) -> tuple[str, str] | None:
+    """The link that a whole query stands for: its one match, with nothing around
+    it but blanks and a full stop."""
+    text = (query or "").strip().rstrip(". ")
+    for start, end, kind, _, _, value in draw(text):
+        if start == 0 and end >= len(text):
+            return kind, value
+    ordinal = re.fullmatch(r"(\d{1,2})(?:st|nd|rd|th|d)?\s+Amendment", text, re.IGNORECASE)
+    if ordinal and 1 <= int(ordinal[1]) <= 27:
+        return "const", f"amend:{int(ordinal[1])}:"
+    if re.fullmatch(r"(?:the\s+)?(?:U\.?\s?S\.?|United\s+States)\s+Constitution", text, re.IGNORECASE):
+        return "const", "pmbl:0:"
+    return None
+
+
+def to_script(pattern: re.Pattern) -> str:
+    """A pattern as a script engine reads it: named groups and ends rewritten, and
+    verbose layout taken out."""
+    text = pattern.pattern
+    if pattern.flags & re.VERBOSE:
+        text = re.sub(r"(?<!\\)#[^\n]*|(?<!\\)\s+", "", text)
+    text = re.sub(r"\(\?P<", "(?<", text)
+    text = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", text)
+    return text.replace("\\Z", "$").replace("\\A", "^")
+
+
+#: The patterns that a script client draws links with.
+EXPORTED = {"usc": USC, "cfr": CFR, "const": CONST, "stat": STAT, "register": REGISTER, "sec": SEC, "unreported": UNREPORTED, "numbered": NUMBERED}
