@@ -307,10 +307,10 @@ def word_uses(spark, sf_dir):
 
 
 @query("""
-with both as (
+with every as (
   select l_orderkey as docket, l_suppkey % 9 as k, 0 as src, l_linenumber as seq from lineitem where l_returnflag <> 'R'
   union all select l_orderkey, l_suppkey % 9, 1, l_linenumber from lineitem where l_returnflag = 'R'
-), f as (select docket, k, src from both qualify row_number() over (partition by docket, k order by src, seq) = 1)
+), f as (select docket, k, src from every qualify row_number() over (partition by docket, k order by src, seq) = 1)
 select docket, 'x.gov/' || k as url_key, case src when 0 then 'court' else 'blog' end as source from f
 """)
 def docket_merge(spark, sf_dir):

@@ -13,7 +13,7 @@ def snippet(text: Column, limit: int = 300) -> Column:
 
 def bind_signs(text: Column) -> Column:
     """No break between a section or paragraph sign and its number."""
-    return F.regexp_replace(text, "([§¶]) +(?=[0-9])", "$1 ")
+    return F.regexp_replace(text, "([§¶]) +(?=[0-9])", "$1\u00a0")
 
 
 def dehyphenate(text: Column) -> Column:

@@ -29,17 +29,25 @@ RECORD = T.StructType(
 )
 
 
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, bad lines) of lines of JSON (column ``value``); other columns of
+    the lines stay with the records. A line without an id is bad too."""
+    schema = T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])
+    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = parsed.where("r is null or r._bad is not null or r.scholar_id is null").select("value")
+    rest = [c for c in lines.columns if c != "value"]
+    good = parsed.where("r._bad is null and r.scholar_id is not null").select("r.*", *rest).drop("_bad")
+    return good, bad
+
+
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines). A bad line is set aside, it doesn't fail the read.
     Of several lines for an id the first counts; lines of a file keep their
     order through the position in it."""
-    schema = T.StructType([*RECORD.fields, T.StructField("_bad", T.StringType())])
     lines = spark.read.text(path).select(
         F.col("value"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_n")
     )
-    parsed = lines.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = parsed.where("r._bad is not null or r.scholar_id is null").select("value")
-    good = parsed.where("r._bad is null and r.scholar_id is not null").select("r.*", "_file", "_n").drop("_bad")
+    good, bad = parse_lines(lines)
     first = Window.partitionBy("scholar_id").orderBy("_file", "_n")
     return good.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_file", "_n"), bad
 
@@ -182,6 +190,8 @@ def read_tagged(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-def read_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A uniform tab-separated index (gzip or plain)."""
-    return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").csv(path)
+def read_index(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad lines) of a uniform tab-separated index (gzip or plain)."""
+    options = {"sep": "\t", "quote": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = spark.read.text(path).withColumn("r", F.from_csv("value", f"{schema}, _bad string", options))
+    return rows.where("r._bad is null").select("r.*").drop("_bad"), rows.where("r._bad is not null").select("value")

@@ -96,9 +96,9 @@ def test_stream_ingest(spark, tmp_path):
     src.mkdir()
     (src / "a.jsonl").write_text('{"scholar_id": "1"}\n{"scholar_id": "2"}\n')
     args = (spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert ingest(*args) == 2
+    assert ingest(*args)[0] == 2
     (src / "b.jsonl").write_text('{"scholar_id": "2"}\n{"scholar_id": "3"}\n')
-    assert ingest(*args) == 1
+    assert ingest(*args)[0] == 1
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
