@@ -213,6 +213,27 @@ def typed_queries(spark, sf_dir):
     return extract.typed(p.select("id", typed.alias("query")), "id", "query")
 
 
+@query("""
+with p as (select p_partkey as id, p_partkey + 1 as n, p_partkey % 5 as form from part),
+v as (select id, unnest(case form
+  when 0 then ['{"page":"' || n || '","src":"cr","vol":120,"year":1974}', '{"page":"4906","src":"cr","vol":120,"year":1974}', '{"page":"' || (n + 7) || '","src":"cr","vol":120,"year":1974}']
+  when 1 then ['{"daily":true,"date":"1999-11-17","page":"S' || n || '","src":"cr","vol":145,"year":1999}']
+  when 2 then ['{"cong":39,"page":' || n || ',"sess":1,"src":"globe","year":1866}', '{"app":true,"cong":39,"page":68,"sess":1,"src":"globe"}']
+  when 3 then ['{"ch":"h","cong":94,"num":' || n || ',"pin":"47","src":"rpt","year":1976}', '{"ch":"h","cong":94,"num":' || n || ',"pin":"48","src":"rpt","year":1976}', '{"ch":"s","cong":94,"num":473,"src":"doc"}']
+  else ['{"page":' || n || ',"src":"annals","vol":12,"year":1803}', '{"app":true,"page":5,"src":"regdeb","vol":7}'] end) as value from p where n < 9000)
+select id, value from v
+""")
+def legislative_links(spark, sf_dir):
+    """The Congressional Record, early debates and reports found in prose."""
+    prose = (
+        "120 Cong. Rec. %1$d, 4906 (1974). Id. at %2$d.", "See 145 Cong. Rec. S%1$d (daily ed. Nov. 17, 1999).", "Cong. Globe, 39th Cong., 1st Sess., %1$d (1866); Cong. Globe App. 68.",
+        "H.R. Rep. No. 94-%1$d, at 47 (1976). Id. at 48. S. Doc. 94-473.", "12 Annals of Cong. %1$d (1803); 7 Reg. of Deb., App. 5.",
+    )
+    p = _part(spark, sf_dir).where("n < 8999")
+    told = F.coalesce(*[F.when(F.col("n") % 5 == k, F.format_string(f, F.col("n") + 1, F.col("n") + 8)) for k, f in enumerate(prose)])
+    return extract.links(p.select(F.col("id").alias("doc_id"), told.alias("text"))).select(F.col("doc_id").alias("id"), "value")
+
+
 @query(f"""
 with {OPINIONS}, {CITATIONS}, asked as (select p_partkey as id, p_size as vol, p_partkey + 1 as page from part)
 select distinct asked.id, scholar_id, name from asked join citations on citations.vol = asked.vol and citations.page = asked.page and canon = 'U.S.' join opinions using (scholar_id)

@@ -32,7 +32,7 @@ def _spellings() -> str:
 FULL = re.compile(rf"(?<![\w.])(\d{{1,4}})\s+({_spellings()})\s+(\d{{1,5}})(?:,\s+(\d{{1,5}})(?!\d|\s+(?:{_spellings()})\s+\d)(?:[-–]\d+)?)?(?!\d)")
 SHORT = re.compile(rf"(?<![\w.])(\d{{1,4}})\s+({_spellings()}),?\s+at\s+(\d{{1,5}})(?!\d)")
 ID = re.compile(r"(?<!\w)[Ii]d\.(?:,?\s+at\s+(\d{1,5}))?")
-ORDER = {"usc": 0, "cfr": 1, "rule": 2, "const": 3, "statpdf": 4, "frpdf": 5, "sec": 6, "recap": 7, "scotus": 8, "fedcas": 9, "cite": 10, "short": 11, "id": 12}
+ORDER = {"usc": 0, "cfr": 1, "rule": 2, "const": 3, "statpdf": 4, "frpdf": 5, "sec": 6, "recap": 7, "scotus": 8, "leghist": 9, "fedcas": 10, "cite": 11, "short": 12, "id": 13}
 #: Kinds that "Id." passes over: they have no pages.
 UNPAGED = ("usc", "cfr", "rule", "const")
 RECORD = re.compile(r"\b(?:Tr\.|Rec\.|J\.A\.|R\.|Pet\. App\.)\s*(?:at\s+)?\d")
@@ -145,6 +145,8 @@ def resolve_chain(links: list[dict], text: str) -> list[dict]:
 
 
 def _at_page(found: dict, pin: int) -> str:
+    if found["kind"] == "leghist":
+        return forms.leghist_at(found["value"], str(pin))
     if found["kind"] == "sec":
         return forms.sec_spec(found["vol"], found["page"], pin)
     base = found["value"] if found["kind"] in ("statpdf", "frpdf") else f"{found['vol']} {found['reporter']} {found['page']}"

@@ -191,11 +191,84 @@ def draw(text: str) -> Iterator[Found]:
         yield from sec(text)
     if "WL" in text or "LEXIS" in text:
         yield from unreported(text)
+    if "Rec" in text or "Globe" in text or "Annals" in text or "Deb" in text or "Rep" in text or "Doc" in text:
+        yield from legislative(text)
     if "No." in text or "Nos." in text:
         yield from dockets(text)
         yield from numbered(text)
 
 
+_PAGES = r"(\d{1,3}(?:,\d{3})+|\d{1,6})(?!\d)(?:\s*[-–—]\s*[\d,]+)?"
+RECORD = re.compile(rf"\b(\d{{1,3}})\s+Cong\.?\s?Rec\.?(?![A-Za-z])(?:,?\s*(?:[Pp]art|[Pp]t\.)\s*\d{{1,2}})?\s*,?\s*(?:at\s+|pp?\.\s*)?([SHED])?\.?\s?{_PAGES}")
+RECORD_MORE = re.compile(rf"\s*,\s*(?:at\s+)?([SHED])?\.?\s?{_PAGES}(?!\s*(?:st|nd|rd|th|d)\b)(?!\s+[A-Z][A-Za-z]*\.)")
+GLOBE = re.compile(r"Cong(?:ressional)?\.?,?\s*Globe\.?,?\s*(\d{1,2})\s?(?:st|nd|rd|th|d)\s+Cong(?:ress)?\.?,?\s*(?:(\d)\s?(?:st|nd|rd|th|d)\s+[Ss]ess(?:ion)?\.?)?(?:,?\s*[Pp]t\.\s*\d+)?,?\s*(?:at\s+)?(App(?:endix)?\.?\s*)?(?:pp?\.\s*)?(\d{1,4})(?!\d)")
+GLOBE_SHORT = re.compile(r"Cong\.?\s*Globe,?\s*(?:at\s+)?(App\.?\s*)?(\d{1,4})(?!\d)(?!\s*(?:st|nd|rd|th|d)\b)")
+ANNALS = re.compile(r"\b(\d{1,2})\s+Annals(?:\s+of\s+Cong(?:ress|\.)?)?,?\s*(?:at\s+)?(?:pp?\.\s*)?(\d{1,4})(?!\d)")
+DEBATES = re.compile(r"\b(\d{1,2})\s+(?:Reg(?:ister)?\.?\s*(?:of\s+)?Deb(?:ates|\.)?|Cong\.\s?Deb\.),?\s*(App(?:endix)?\.?,?\s*)?(?:at\s+)?(\d{1,4})(?!\d)")
+REPORT = re.compile(r"\b(H\.\s?R\.|H\.|House|S\.|Senate)\s?(Rep|Rept|Report|Doc|Document)\.?\s+(?:No\.\s*)?(\d{2,3})\s*[-–]\s*(\d{1,4})(?!\d)(?:,\s+(?:at\s+)?(?:pp?\.\s*)?(\d{1,4}))?")
+DATED = re.compile(r"\s*\(([^()]{0,60})\)")
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def leghist_spec(**fields) -> str:
+    """Compact JSON with sorted keys, without what is empty."""
+    return json.dumps({k: v for k, v in fields.items() if v not in (None, "", 0, False)}, sort_keys=True, separators=(",", ":"))
+
+
+def _dated(text: str, at: int) -> tuple[str, int, bool]:
+    """Date, year and whether it is the daily edition, by the parenthesis at a place."""
+    body = m[1] if (m := DATED.match(text, at)) else ""
+    day = re.search(rf"\b({'|'.join(MONTHS)})[a-z]*\.?\s*(\d{{1,2}}),?\s*(1[789]\d\d|20\d\d)\b", body)
+    year = re.search(r"\b(1[789]\d\d|20\d\d)\b", body)
+    date = f"{day[3]}-{MONTHS.index(day[1]) + 1:02d}-{int(day[2]):02d}" if day else ""
+    return date, int(year[1]) if year else 0, "daily ed" in body.lower()
+
+
+def legislative(text: str) -> Iterator[Found]:
+    """The Congressional Record with the pages of a list, early debates, and reports.
+    A daily page before 1995 needs its date; a short form of the Globe is a page of
+    the one last cited in full."""
+    for m in RECORD.finditer(text):
+        vol, pages, at = int(m[1]), [(m.start(), m.end(), m[2] or "", m[3])], m.end()
+        while more := RECORD_MORE.match(text, at):
+            pages.append((more.start(2) - bool(more[1]), more.end(), more[1] or m[2] or "", more[2]))
+            at = more.end()
+        date, year, daily = _dated(text, at)
+        daily = daily or bool(m[2])
+        for start, end, letter, page in pages:
+            if (letter and vol >= 141 or date and vol <= 164) if daily else 1 <= vol <= 164:
+                spec = leghist_spec(src="cr", vol=vol, page=letter + page.replace(",", ""), daily=daily, date=date, year=year)
+                yield start, end, "leghist", None, None, spec
+    last = None
+    events = sorted([*GLOBE.finditer(text), *GLOBE_SHORT.finditer(text)], key=lambda m: (m.start(), -m.end()))
+    taken = 0
+    for m in events:
+        if m.start() < taken:
+            continue
+        if m.re is GLOBE:
+            last = {"src": "globe", "cong": int(m[1]), "sess": int(m[2] or 0)}
+            app, page = bool(m[3]), int(m[4])
+        elif last is None:
+            continue
+        else:
+            app, page = bool(m[1]), int(m[2])
+        taken = m.end()
+        yield m.start(), m.end(), "leghist", None, None, leghist_spec(**last, page=page, app=app, year=_dated(text, m.end())[1])
+    for m in ANNALS.finditer(text):
+        yield m.start(), m.end(), "leghist", None, None, leghist_spec(src="annals", vol=int(m[1]), page=int(m[2]), year=_dated(text, m.end())[1])
+    for m in DEBATES.finditer(text):
+        yield m.start(), m.end(), "leghist", None, None, leghist_spec(src="regdeb", vol=int(m[1]), page=int(m[3]), app=bool(m[2]), year=_dated(text, m.end())[1])
+    for m in REPORT.finditer(text):
+        fields = {"src": "rpt" if m[2].startswith("Rep") else "doc", "ch": "h" if m[1].startswith("H") else "s", "cong": int(m[3]), "num": int(m[4])}
+        yield m.start(), m.end(), "leghist", None, None, leghist_spec(**fields, pin=m[5], year=_dated(text, m.end())[1])
+
+
+def leghist_at(spec: str, page: str) -> str:
+    """A spec opened at another page: the pin of a report, the page of a record."""
+    fields = json.loads(spec)
+    return leghist_spec(**fields | {"pin" if fields.get("src") in ("rpt", "doc") else "page": page if fields.get("src") in ("rpt", "doc", "cr") else int(page)})
+
+
 def typed(query: str | None) -> tuple[str, str] | None:
     """The link that a whole query stands for: its one match, with nothing around
     it but blanks and a full stop."""
