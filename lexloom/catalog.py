@@ -836,14 +836,19 @@ def citation_tails(spark, sf_dir):
 
 @query("""
 with s as (select p_brand as section, count(*) as n from part group by 1)
-select section, '0,1,2,2,1,0,1,1,0' as levels, n from s
+select section, '0,1,2,3,3,4,0,0,0,0|0,1,2,2,1,0,1,1,0' as levels, n from s
 """)
 def statute_indent(spark, sf_dir):
     """Levels of statute paragraphs from their enumerators."""
-    marks = ["(a) x", "(1) x", "(A) x", "(B) x", "(2) x", "(b) x", "(1) x", "plain", "(c) x"]
+    first = ["(a)(1) x", "(2) x", "(A) x", "(i) x", "(ii)(I) x", "(II) x", "(b) x", "plain", "(aa) x", "(c) x"]
+    second = ["(a) x", "(1) x", "(A) x", "(B) x", "(2) x", "(b) x", "(1) x", "plain", "(c) x"]
     p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("section")).agg(F.count("*").alias("n"))
-    rows = p.select("section", F.posexplode(F.array(*map(F.lit, marks))).alias("o", "text"))
-    return documents.statute_levels(rows, "section", "o", "text").join(p, "section").select("section", F.array_join("levels", ",").alias("levels"), "n")
+    out = p
+    for name, marks in (("one", first), ("two", second)):
+        rows = p.select("section", F.posexplode(F.array(*map(F.lit, marks))).alias("o", "text"))
+        found = documents.statute_levels(rows, "section", "o", "text")
+        out = out.join(found.select("section", F.array_join(F.col("levels").cast("array<string>"), ",").alias(name)), "section")
+    return out.select("section", F.concat_ws("|", "one", "two").alias("levels"), "n")
 
 
 @query()

@@ -103,63 +103,65 @@ def segment(blocks: DataFrame, by: str, order: str, text: str) -> DataFrame:
     return marked.withColumn("role", F.coalesce(role, F.lit("header"))).drop("_r", "_o")
 
 
-LEVELS = (("lower", r"^[a-z]$"), ("number", r"^[0-9]{1,3}$"), ("upper", r"^[A-Z]$"), ("roman", r"^[ivxl]+$"), ("ROMAN", r"^[IVXL]+$"))
-_ROMAN = {c: v for c, v in zip("ivxl", (1, 5, 10, 50), strict=True)}
+#: Kinds of enumerators, outermost first.
+HIERARCHY = ("lower", "number", "upper", "roman", "ROMAN")
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 
-def _value(mark: str, kind: str) -> int:
+def enumerator_value(mark: str, kind: str) -> int:
+    """The place of a mark in the series of a kind, 0 where it isn't of that kind:
+    after z come aa, bb and so on."""
     if kind == "number":
-        return int(mark)
+        return int(mark) if mark.isdigit() else 0
+    if not mark.isalpha() or not (mark.islower() if kind in ("lower", "roman") else mark.isupper()):
+        return 0
+    letters = mark.lower()
     if kind in ("lower", "upper"):
-        return ord(mark.lower()) - 96
-    values = [_ROMAN[c] for c in mark.lower()]
-    return sum(-v if i + 1 < len(values) and values[i + 1] > v else v for i, v in enumerate(values))
-
-
-def place(mark: str, stack: list[tuple[str, int]]) -> int | None:
-    """The level of an enumerator under the open levels, which it changes: the next
-    of an open level (deepest first), else the first of a new one below, else the
-    first of a shallower kind; null where it is no enumerator."""
-    kinds = [(k, _value(mark, k)) for k, p in LEVELS if re.match(p, mark)]
-    if not kinds:
+        return 26 * (len(letters) - 1) + ord(letters[0]) - 96 if len(set(letters)) == 1 else 0
+    values = [_ROMAN.get(c, 0) for c in letters]
+    return sum(-v if v < max(values[k:]) else v for k, v in enumerate(values)) if all(values) else 0
+
+
+def place(marks: list[str], stack: list[tuple[str, int]]) -> int | None:
+    """The level of a paragraph by its first enumerator, under the open levels,
+    which it changes: the next of an open level (deepest first), else the first of
+    the level below, else the first of a level above, else a sibling of the deepest.
+    Further enumerators open levels below. Null where the first is none."""
+    values = {k: v for k in HIERARCHY if (v := enumerator_value(marks[0], k))}
+    if not values:
         return None
-    for depth in range(len(stack) - 1, -1, -1):
-        for kind, value in kinds:
-            if stack[depth] == (kind, value - 1):
-                del stack[depth:]
-                stack.append((kind, value))
-                return depth
-    open_kinds = [k for k, _ in stack]
-    for kind, value in kinds:
-        if value == 1 and kind not in open_kinds:
-            stack.append((kind, value))
-            return len(stack) - 1
-    for depth, (kind, _) in enumerate(stack):
-        if (kind, 1) in kinds:
-            del stack[depth:]
-            stack.append((kind, 1))
-            return depth
-    depth = max(len(stack) - 1, 0)
-    del stack[depth:]
-    stack.append(kinds[0])
-    return depth
-
-
-def indents(marks: list[str]) -> list[int]:
+    below = lambda n: HIERARCHY[min(n, len(HIERARCHY) - 1)]
+    follows = [d for d, (k, v) in enumerate(stack) if v and values.get(k) == v + 1]
+    firsts = [d for d in range(min(len(stack), len(HIERARCHY))) if values.get(HIERARCHY[d]) == 1]
+    if follows:
+        level, kind = follows[-1], stack[follows[-1]][0]
+    elif values.get(below(len(stack))) == 1:
+        level, kind = len(stack), below(len(stack))
+    else:
+        level = firsts[-1] if firsts else max(len(stack) - 1, 0)
+        kind = below(level)
+    stack[level:] = [(kind, values.get(kind, 0))]
+    for mark in marks[1:]:
+        stack.append((below(len(stack)), enumerator_value(mark, below(len(stack)))))
+    return level
+
+
+def indents(paragraphs: list[list[str]]) -> list[int]:
     """Levels of the paragraphs of one section, by their enumerators; a paragraph
     without one has the level of the paragraph before."""
     stack: list[tuple[str, int]] = []
     out: list[int] = []
-    for mark in marks:
-        level = place(mark, stack)
+    for marks in paragraphs:
+        level = place(marks, stack) if marks else None
         out.append(level if level is not None else (out[-1] if out else 0))
     return out
 
 
 def statute_levels(paragraphs: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """``by``, ``levels``: the indent of each paragraph of a section, in order."""
-    mark = F.regexp_extract(text, r"^\s*\(([0-9A-Za-z]{1,6})\)", 1)
-    rows = paragraphs.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), mark.alias("m")))), lambda x: x["m"]).alias("marks"))
+    leading = F.regexp_extract(text, r"^\s*((?:\([0-9A-Za-z]{1,6}\)\s*)+)", 1)
+    marks = F.regexp_extract_all(leading, F.lit(r"\(([0-9A-Za-z]+)\)"), F.lit(1))
+    rows = paragraphs.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), marks.alias("m")))), lambda x: x["m"]).alias("marks"))
     kind = rows.schema[by].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 """Lookups in page indexes: nearest start, containing interval, ranked interval.
 
 Spark has no as-of join. An index becomes closed intervals (each start runs to
-the next one), and an interval join meets points and intervals by an equi-join on
-the key and a page cell, with the exact bounds as the rest of the condition. The
+the next one, the last without end), and an interval join meets points and intervals
+by an equi-join on the key and a cell, with the exact bounds as the rest of the
+condition. Cells come in sizes of powers of four, and an interval goes into cells
+about as long as itself, two at most, so long and open intervals cost no more rows
+than short ones; a point looks into one cell of each size that the index uses. The
 large side is neither sorted nor gathered by key, so a volume that a third of all
 points cite is dealt like any skewed equi-join (split by Spark, or not shuffled at
 all where the index is small enough to broadcast).
@@ -13,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL = 64
+#: Bits of the smallest cell, of the step from size to size, and of open intervals.
+SMALL, STEP, OPEN = 6, 2, 62
 
 
 def until_next(index: DataFrame, by: list[str], at: str, until: str = "until") -> DataFrame:
@@ -21,22 +25,30 @@ def until_next(index: DataFrame, by: list[str], at: str, until: str = "until") -
     return index.withColumn(until, F.lead(at).over(Window.partitionBy(*by).orderBy(at)) - 1)
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: str, lo: str, hi: str, how: str = "inner", cell: int = CELL) -> DataFrame:
-    """Points with the intervals that hold them. An open interval runs to the
-    largest point. ``intervals`` must not share other column names with points."""
-    top = points.agg(F.max(at)).first()[0]
-    if top is None:
-        top = 0
-    closed = intervals.where(F.col(lo) <= F.lit(top)).withColumn("_hi", F.least(F.coalesce(F.col(hi), F.lit(top)), F.lit(top)))
-    closed = closed.where(F.col("_hi") >= F.col(lo)).withColumn(
-        "_cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col("_hi") / cell)))
-    )
-    closed = closed.withColumnsRenamed({k: f"_{k}" for k in by})
-    cond = F.floor(F.col(at) / cell) == F.col("_cell")
+def interval_join(points: DataFrame, intervals: DataFrame, by: list[str], at: str, lo: str, hi: str, how: str = "inner") -> DataFrame:
+    """Points with the intervals that hold them; an interval without ``hi`` is open.
+    ``intervals`` must not share other column names with points."""
+    length = F.col(hi).cast("long") - F.col(lo).cast("long") + 1
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(length, F.lit(1)))) - SMALL)
+    size = F.when(F.col(hi).isNull(), F.lit(OPEN)).otherwise(SMALL + STEP * F.ceil(bits / STEP)).cast("int")
+    closed = intervals.where(F.col(lo).isNotNull() & (F.col(hi).isNull() | (F.col(hi) >= F.col(lo)))).withColumn("_size", size)
+    sizes = sorted(r["_size"] for r in closed.select("_size").distinct().collect())
+    cell = lambda c: F.call_function("shiftright", c.cast("long"), F.col("_size"))
+    last = F.coalesce(F.col(hi), F.col(lo))
+    closed = closed.withColumn("_cell", F.explode(F.when(F.col(hi).isNull(), F.array(F.lit(0).cast("long"), F.lit(-1).cast("long"))).otherwise(F.array_distinct(F.array(cell(F.col(lo)), cell(last))))))
+    closed = closed.withColumnsRenamed({k: f"_{k}" for k in by} | {"_size": "_size0"})
+    asked = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+    cond = (F.col("_size") == F.col("_size0")) & (cell(F.col(at)) == F.col("_cell"))
     for k in by:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
-    cond = cond & (F.col(at) >= F.col(lo)) & (F.col(at) <= F.col("_hi"))
-    return points.join(closed, cond, how).drop("_cell", "_hi", *[f"_{k}" for k in by])
+    cond = cond & (F.col(at) >= F.col(lo)) & (F.col(hi).isNull() | (F.col(at) <= F.col(hi)))
+    found = asked.join(closed, cond, "inner").drop("_cell", "_size", "_size0", *[f"_{k}" for k in by])
+    if how != "left":
+        return found
+    # Rows that are equal in all columns lie in the same intervals.
+    hit = found.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(points.columns)]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{k}")) for k, c in enumerate(points.columns)]
+    return found.unionByName(points.join(hit, same, "left_anti"), allowMissingColumns=True)
 
 
 def nearest(points: DataFrame, index: DataFrame, by: list[str], at: str, start: str, how: str = "left") -> DataFrame:
