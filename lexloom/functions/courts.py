@@ -97,3 +97,19 @@ def en_banc(lines: Column, panel_court: Column) -> Column:
     many = panel_court & F.exists(bench, lambda t: F.size(bench_names(t)) > 3)
     said = F.exists(bench, lambda t: t.rlike(sat)) | F.exists(short, lambda t: t.rlike(heard))
     return ~F.exists(clean, lambda t: t.rlike(refused)) & (said | alone | many)
+
+
+# The circuit of each state's and territory's federal courts.
+CIRCUIT_STATES = {
+    "ca1": "maine massachusetts new_hampshire puerto_rico rhode_island", "ca2": "connecticut new_york vermont", "ca3": "delaware new_jersey pennsylvania",
+    "ca4": "maryland north_carolina south_carolina virginia west_virginia", "ca5": "louisiana mississippi texas", "ca6": "kentucky michigan ohio tennessee",
+    "ca7": "illinois indiana wisconsin", "ca8": "arkansas iowa minnesota missouri nebraska north_dakota south_dakota",
+    "ca9": "alaska arizona california guam hawaii idaho montana nevada oregon washington", "ca10": "colorado kansas new_mexico oklahoma utah wyoming",
+    "ca11": "alabama florida georgia", "cadc": "district_of_columbia",
+}
+
+
+def circuit_of(state: Column) -> Column:
+    """The circuit of a state's federal courts, or ""."""
+    pairs = [F.lit(x) for circuit, states in CIRCUIT_STATES.items() for s in states.split() for x in (s.replace("_", " "), circuit)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(_one_line(state))), F.lit(""))

@@ -78,3 +78,22 @@ def without_heads(pages, by: str, page: str, text: str, share: float = 0.4, line
     plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[0-9]+", "#"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: (i >= lines) | ~F.array_contains(known, plain(x)))
     return pages.join(often, by, "left").withColumn(text, F.array_join(F.transform(kept, lambda x: F.trim(x)), " ")).drop("heads")
+
+
+def word_spans(text: Column) -> Column:
+    """array<struct<start, end>> of a text's runs of a-z and 0-9, any case. Offsets
+    are running sums, by doubling the reach, so n words take n log n steps."""
+    pattern = "[A-Za-z0-9]+"
+
+    def further(acc, j):
+        return F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2.0), j).cast("int")), F.lit(0))).cast("array<int>")
+
+    def placed(ws, ps):
+        sizes = F.transform(ws, lambda w, i: F.length(F.get(ps, i)) + F.length(w)).cast("array<int>")
+        rounds = F.when(F.size(ws) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(ws))).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        ends = F.aggregate(rounds, sizes, further)
+        return F.get(F.transform(F.array(ends), lambda es: F.transform(ws, lambda w, i: F.struct((F.get(es, i) - F.length(w)).alias("start"), F.get(es, i).alias("end")))), F.lit(0))
+
+    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pieces = F.split(text, pattern, -1)
+    return F.get(F.transform(F.array(F.struct(words.alias("w"), pieces.alias("p"))), lambda x: placed(x["w"], x["p"])), F.lit(0))

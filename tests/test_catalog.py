@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexloom import catalog, catalog_forms, catalog_pages, catalog_store  # noqa: F401  (each registers its queries)
+from lexloom import catalog, catalog_cases, catalog_forms, catalog_pages, catalog_store  # noqa: F401  (each registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
