@@ -18,11 +18,17 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Batches of letters that a scan has about, where there are more letters than that.
-LETTERS = 64
+#: Up to so many letters each is a batch of its own.
+FEW = 512
 NONE = np.zeros(0, np.int64)
 
 
+def batch_width(n: int, size: int) -> int:
+    """Letters of a batch: few enough batches to be worth an array each, and enough
+    that a batch rarely holds several suffixes in a row."""
+    return 1 if size <= FEW else -(-size // max(16, round(2 * n ** (1 / 3))))
+
+
 def types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is of type S. The last letter is the only least."""
     n = len(text)
@@ -88,29 +94,34 @@ def _batch(lo: int, hi: int, own: np.ndarray, rest: np.ndarray, key: np.ndarray,
 def _scan(key: np.ndarray, size: int, start: np.ndarray, rest: np.ndarray, want: np.ndarray) -> np.ndarray:
     """All suffixes of the wanted type, by key: ``start`` are known from the
     beginning, ``rest`` are those of the other type, by key."""
-    width = max(1, size // LETTERS)
-    batches = -(-size // width)
+    # A letter that follows itself makes rows of any length, so it is a batch of its own.
+    alone = np.unique(key[1:][key[1:] == key[:-1]])
+    edges = np.unique(np.concatenate((np.arange(0, size, batch_width(len(key), size)), alone, alone + 1, [size])))
+    edges = edges[edges <= size]
+    batch_of = np.searchsorted(edges, np.arange(size), side="right") - 1
+    batches = len(edges) - 1
     queue: list[list[np.ndarray]] = [[] for _ in range(batches)]
 
     def deal(found: np.ndarray) -> None:
         if not len(found):
             return
-        to = key[found] // width
+        to = batch_of[key[found]]
         order = np.argsort(to, kind="stable")
         found, to = found[order], to[order]
-        edges = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
-        for x, y in zip(edges, edges[1:], strict=False):
+        parts = [0, *(np.flatnonzero(to[1:] != to[:-1]) + 1).tolist(), len(to)]
+        for x, y in zip(parts, parts[1:], strict=False):
             queue[to[x]].append(found[x:y])
 
     deal(start)
-    cuts = np.searchsorted(key[rest], np.arange(batches + 1) * width)
+    cuts = np.searchsorted(key[rest], edges)
+    limits = edges.tolist()
     out = []
     for b in range(batches):
         arrived = np.concatenate(queue[b]) if queue[b] else NONE
         queue[b] = []
         others = rest[cuts[b] : cuts[b + 1]]
         if len(arrived) or len(others):
-            own, further = _batch(b * width, min((b + 1) * width, size), arrived, others, key, want)
+            own, further = _batch(limits[b], limits[b + 1], arrived, others, key, want)
             out.append(own)
             deal(further)
     return np.concatenate(out) if out else NONE

@@ -136,10 +136,11 @@ def test_suffix_dedup(spark, sf):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.query(spark, sf).collect()} == want
 
 
-@pytest.mark.parametrize("letters", [64, 3, 1])
-def test_induced_sorting(monkeypatch, letters):
-    """With batches of one letter, of few, and of nearly all."""
-    monkeypatch.setattr(sais, "LETTERS", letters)
+@pytest.mark.parametrize("width", [None, 1, 7, 500])
+def test_induced_sorting(monkeypatch, width):
+    """With batches as usual, of one letter, of few, and of all."""
+    if width:
+        monkeypatch.setattr(sais, "batch_width", lambda n, size: width)
     rng = np.random.default_rng(2)
     for size in (2, 3, 60, 400):
         for n in (0, 1, 5, 80, 300):
