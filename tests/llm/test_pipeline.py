@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what it should do to planted rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexloom.llm import nearstage
@@ -90,3 +91,33 @@ def test_near_dedup_of_a_repeated_id(spark):
     assert sorted((r.id, r.component) for r in nearstage.groups(docs).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
     kept = nearstage.near_dedup_stage(spark, docs, "")
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 1, 4]
+
+
+CLASHES = ("_runs", "_items", "_n_words", "_score", "_id", "_hash", "_drops", "_kept", "_th", "id", "th", "row", "text_hash", "h1", "h2", "drops", "n_lines", "kept", "rep", "toxic")
+
+
+def test_stages_with_clashing_columns(spark, tmp_path):
+    """Columns with the names that stages use inside stay as they are and change nothing."""
+    base = " ".join(WORDS)
+    rows = [(k, f"{base} tail{k}\nshared line of text {k % 3}" if k % 4 == 0 else " ".join(f"d{k}w{j}" for j in range(40)) + "\nshared line of text 1", "en", "s", 1) for k in range(12)]
+    rows += [(None, None, None, None, None), (3, "", "en", "s", 0)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, " ".join(f"d7w{j}" for j in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = plain.select("*", *[F.lit("clash").alias(c) for c in CLASHES])
+    show = lambda df: sorted(map(str, df.select(*plain.columns).collect()))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, more, str(tmp_path))
+        assert out.columns == more.columns, name
+        assert show(out) == show(step(spark, plain, str(tmp_path))), name
+        assert {tuple(r) for r in out.select(*CLASHES).distinct().collect()} == {("clash",) * len(CLASHES)}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, more, str(tmp_path))
+    assert last.count() == len(rows)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, str(tmp_path)).count() == 0, name
