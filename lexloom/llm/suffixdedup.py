@@ -166,3 +166,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "text", "spans").mapInArrow(
         resting(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
+
+
+SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (
+  select doc_id, i, md5(array_slice(b, i, i + 199)) as k
+  from (select doc_id, b, unnest(generate_series(1, octet_length(b) - 199)) as i from d where octet_length(b) >= 200)
+), often as (select k from w group by k having count(*) > 1
+), hit as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as opens from w semi join often on w.k = often.k
+), part as (select doc_id, i, sum(opens) over (partition by doc_id order by i) as run from hit
+), run as (select doc_id, min(i) as a, max(i) + 199 as z from part group by doc_id, run
+), cut as (
+  select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) + 1 as a, a - 1 as z from run
+  union all select doc_id, max(z) + 1, null from run group by doc_id
+), left_over as (
+  select d.doc_id, string_agg(case when coalesce(cut.z, octet_length(b)) >= cut.a then hex(array_slice(b, cut.a, coalesce(cut.z, octet_length(b)))) else '' end, '' order by cut.a) as h
+  from cut join d using (doc_id) group by d.doc_id
+), total as (select doc_id, cast(sum(z - a + 1) as bigint) as n, count(*) as runs from run group by doc_id)
+select d.doc_id, octet_length(b) as n_bytes, coalesce(n, 0) as n_removed, coalesce(runs, 0) as n_spans, sha256(case when h is null then b else unhex(h) end) as kept_sha256
+from d left join total using (doc_id) left join left_over using (doc_id)
+"""
