@@ -22,9 +22,9 @@ leans to the priors below where there is nothing to learn from.
 Learning uses labelled rows whose crc32(id as text) mod 5 is not 0, and of these
 at most ``SAMPLE`` (by the order of a hash of the id, so the choice doesn't
 change with the layout of the table). Their ids and labels are broadcast (bound:
-``SAMPLE`` rows). The lexicon holds every stem that passes; a word's prefixes of
-``STEM`` letters or more and the whole word are stems, words over ``LONG`` letters
-only whole.
+``SAMPLE`` rows). A word's beginnings of ``STEM`` letters or more and the whole word
+are stems, words over ``LONG`` letters only whole; there is no bound on how many the
+lexicon holds, but chance must not explain them.
 
 Defined cases: null and empty texts match nothing and get the score of the bare
 intercept. Without labels of both kinds the weights are the priors below. Rows
@@ -51,6 +51,8 @@ SAMPLE = 40_000
 STEM, LONG = 4, 40
 MIN_TOXIC = 4
 MIN_LOG_ODDS = 3.0
+#: Evidence for a stem: log of a million, and three more.
+EVIDENCE = 17.0
 #: Characters of a text that are read at once, up to the clause end after them.
 SEGMENT = 1 << 20
 #: Words whose class is kept.
@@ -243,9 +245,21 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sam
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
 
+def _stems(text: str | None) -> set[str]:
+    """A text's words (with ``$``) and their beginnings."""
+    out = set()
+    for w in set(TOKEN.findall((text or "").lower())):
+        if w[0].isalpha():
+            out.add(w + "$")
+            out.update(w[:k] for k in range(STEM, len(w) + 1 if len(w) <= LONG else 0))
+    return out
+
+
 def learn_stems(rows: DataFrame) -> dict[str, float]:
-    """Stems whose documents are mostly toxic, with their log odds. A stem goes
-    when a shorter kept stem covers it."""
+    """Stems whose documents are mostly toxic, with their log odds, as far as chance
+    doesn't explain it: the log likelihood ratio against the share of toxic
+    documents must reach ``EVIDENCE``, which allows for a million stems that are
+    tried. A stem goes when a shorter kept stem covers it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,12 +267,7 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
             n = [0, 0]
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n[toxic] += 1
-                stems = set()
-                for w in set(TOKEN.findall((text or "").lower())):
-                    if w[0].isalpha():
-                        stems.add(w + "$")
-                        stems.update(w[:k] for k in range(STEM, len(w) + 1 if len(w) <= LONG else 0))
-                for s in stems:
+                for s in _stems(text):
                     counts.setdefault(s, [0, 0])[toxic] += 1
             counts[""] = n
             yield pa.RecordBatch.from_arrays(
@@ -277,9 +286,12 @@ def learn_stems(rows: DataFrame) -> dict[str, float]:
         return {}
     n0, n1 = total[0]["clean"], total[0]["toxic"]
     odds = {r["stem"]: float(np.log((r["toxic"] + 0.5) / (n1 + 1)) - np.log((r["clean"] + 0.5) / (n0 + 1))) for r in counted if r["stem"]}
+    share_toxic = n1 / max(n0 + n1, 1)
     kept: dict[str, float] = {}
-    for stem in sorted(odds, key=lambda s: (len(s), s)):
-        if odds[stem] >= MIN_LOG_ODDS and not any(stem[:k] in kept for k in range(STEM, len(stem))):
+    for r in sorted((r for r in counted if r["stem"]), key=lambda r: (len(r["stem"]), r["stem"])):
+        stem, n = r["stem"], r["toxic"] + r["clean"]
+        ratio = r["toxic"] * np.log(r["toxic"] / n / share_toxic) + (r["clean"] * np.log(r["clean"] / n / (1 - share_toxic)) if r["clean"] else 0.0)
+        if odds[stem] >= MIN_LOG_ODDS and ratio >= EVIDENCE and not any(stem[:k] in kept for k in range(STEM, len(stem))):
             kept[stem] = odds[stem]
     return kept
 
