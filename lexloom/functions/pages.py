@@ -69,7 +69,7 @@ def cited_by(html: Column) -> Column:
     )
 
 
-_CITE_IN = r"(\d{1,4})\s+([A-Z][A-Za-z.' ]*?(?:\d[a-z]{1,2})?)\s+(\d{1,6})"
+_CITE_IN = r"(?<!\d)(\d{1,9})\s+([A-Z][A-Za-z.' ]*?(?:\d[a-z]{1,2})?)\s+(\d{1,9})(?!\d)"
 
 
 def clean_citation(text: Column) -> Column:
