@@ -35,6 +35,7 @@ NAMES = [
     "cite_dedupe",
     "cite_lookup",
     "pinned_citations",
+    "store_tables",
 ]
 
 
