@@ -36,6 +36,7 @@ NAMES = [
     "cite_lookup",
     "pinned_citations",
     "store_tables",
+    "text_lookup",
 ]
 
 
