@@ -33,6 +33,7 @@ def large(tmp_path_factory):
 NAMES = [
     "citation_overrides",
     "cite_dedupe",
+    "cite_extract",
     "cite_lookup",
     "pinned_citations",
     "store_tables",
