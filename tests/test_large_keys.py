@@ -35,6 +35,7 @@ NAMES = [
     "cite_dedupe",
     "cite_extract",
     "cite_lookup",
+    "named_authorities",
     "pinned_citations",
     "store_tables",
     "text_lookup",
