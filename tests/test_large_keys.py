@@ -36,6 +36,7 @@ NAMES = [
     "cite_extract",
     "cite_lookup",
     "named_authorities",
+    "page_records",
     "pinned_citations",
     "store_tables",
     "text_lookup",
