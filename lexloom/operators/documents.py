@@ -224,7 +224,7 @@ def official_volume(reporter: Column, vol: Column) -> Column:
 
 def bears(text: Column, cite: Column) -> Column:
     """Does a title or byline print this citation, in any spelling?"""
-    found = F.regexp_extract_all(text, F.lit(r"([0-9]{1,4}\s+[A-Z][A-Za-z0-9.' ]{0,18}?\s+[0-9]{1,5})(?![0-9])"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"([0-9]{1,9}\s+[A-Z][A-Za-z0-9.' ]{0,18}?\s+[0-9]{1,9})(?![0-9])"), F.lit(1))
 
     def key(c):
         p = cites.parse_cite(c)

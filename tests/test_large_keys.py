@@ -35,6 +35,7 @@ NAMES = [
     "cite_dedupe",
     "cite_extract",
     "cite_lookup",
+    "docket_papers",
     "forms_extract",
     "named_authorities",
     "page_records",
