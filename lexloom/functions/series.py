@@ -27,7 +27,7 @@ WASHINGTON = (("Va.", 2, 1790), ("Wash. C.C.", 4, 1803), ("Wash.", None, 1889))
 RENAMED = (("App. D.C.", "U.S. App. D.C.", 75), ("Cl. Ct.", "Fed. Cl.", 27))
 #: Nominative volumes of the Supreme Court: name, offset, volumes.
 NOMINATIVE = (("Dall.", 0, 4), ("Cranch", 4, 9), ("Wheat.", 13, 12), ("Pet.", 25, 16), ("How.", 41, 24), ("Black", 65, 2), ("Wall.", 67, 23), ("Otto", 90, 17))
-_CITE = r"^\s*([0-9]{1,4})\s+(.+?),?\s+([0-9]{1,6})\s*$"
+_CITE = r"^\s*([0-9]{1,9})\s+(.+?),?\s+([0-9]{1,9})\s*$"
 
 
 def bluebook_ordinal(n: Column) -> Column:

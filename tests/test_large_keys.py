@@ -41,6 +41,7 @@ NAMES = [
     "named_authorities",
     "page_records",
     "pinned_citations",
+    "renamed_series",
     "store_tables",
     "text_lookup",
 ]
