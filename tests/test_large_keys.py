@@ -42,6 +42,7 @@ NAMES = [
     "page_records",
     "pinned_citations",
     "renamed_series",
+    "search_phrases",
     "store_tables",
     "text_lookup",
 ]
