@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import held
+
 # Month names, numerals.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 ROMAN = (("M", 1000), ("CM", 900), ("D", 500), ("CD", 400), ("C", 100), ("XC", 90), ("L", 50), ("XL", 40), ("X", 10), ("IX", 9), ("V", 5), ("IV", 4), ("I", 1))
@@ -50,22 +52,32 @@ def ordinal(n: Column) -> Column:
 
 
 def to_roman(n: Column) -> Column:
-    begin = F.struct(n.cast("int").alias("rest"), F.lit("").alias("out"))
+    thousands = F.floor(n / 1000).cast("int")
+    begin = F.struct((n - thousands * 1000).cast("int").alias("rest"), F.lit("").alias("out"))
 
     def step(acc, pair):
         times = F.floor(acc["rest"] / pair["value"]).cast("int")
         return F.struct((acc["rest"] - times * pair["value"]).cast("int").alias("rest"), F.concat(acc["out"], F.repeat(pair["sign"], times)).alias("out"))
 
-    signs = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(v).alias("value")) for s, v in ROMAN])
-    return F.aggregate(signs, begin, step)["out"]
+    signs = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(v).alias("value")) for s, v in ROMAN[1:]])
+    return F.concat(F.repeat(F.lit("M"), thousands), F.aggregate(signs, begin, step)["out"])
 
 
 def from_roman(text: Column) -> Column:
-    """The value of a numeral; null for other text."""
-    single = F.create_map(*[x for s, v in ROMAN if len(s) == 1 for x in (F.lit(s), F.lit(v))])
-    values = F.transform(F.filter(F.split(F.upper(text), ""), lambda c: c != ""), lambda c: F.try_element_at(single, c))
-    signed = F.transform(values, lambda v, i: F.when(F.coalesce(F.get(values, i + 1), F.lit(0)) > v, -v).otherwise(v))
-    return F.when(F.upper(text).rlike("^[MDCLXVI]+$"), F.aggregate(signed, F.lit(0), lambda a, v: a + v))
+    """The value of a numeral; null for other text. A sign before a larger one counts
+    against it; no sign is larger than the M's that a numeral begins with."""
+    single = [(s, v) for s, v in ROMAN if len(s) == 1]
+
+    def value(t, rest):
+        total = (F.length(t) - F.length(rest)) * 1000
+        for k, (sign, v) in enumerate(single):
+            total = total + (F.length(rest) - F.length(F.replace(rest, F.lit(sign), F.lit("")))) * v
+            if k:
+                larger = "".join(s for s, _ in single[:k])
+                total = total - F.regexp_count(rest, F.lit(f"{sign}(?=[{larger}])")) * (2 * v)
+        return F.when((t != "") & rest.rlike(r"^[MDCLXVI]*\z"), total)
+
+    return held(F.upper(text), lambda t: held(F.regexp_replace(t, "^M+", ""), lambda rest: value(t, rest)))
 
 
 def plausible_year(given: Column, found: Column) -> Column:

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def held(value: Column, f) -> Column:
+    """``f(value)`` with the value made once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def snippet(text: Column, limit: int = 300) -> Column:
     """The first ``limit`` code points with white space made single blanks."""
     return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, limit)
