@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexloom.functions.courts import STATES
+from lexloom.functions.text import held
 
 # Words too general to search a party by; words that tell no two
 # captions apart; business forms.
@@ -95,9 +96,9 @@ def side_overlap(a: Column, b: Column) -> Column:
 
 def generic(side: Column) -> Column:
     """A prosecutor: only filler words, or exactly the name of a state besides."""
-    core = F.array_sort(F.filter(side, lambda t: ~t.isin(*GENERIC)))
-    states = F.array(*[F.array(*[F.lit(w) for w in sorted(set(s.split()) - set(RELATION_STOP))]) for s in STATES])
-    return (F.size(core) == 0) | F.exists(states, lambda s: s == core)
+    core = F.array_join(F.sort_array(F.filter(side, lambda t: ~t.isin(*GENERIC))), " ")
+    states = sorted({" ".join(sorted(set(s.split()) - set(RELATION_STOP))) for s in STATES} | {""})
+    return held(core, lambda c: c.isin(*states))
 
 
 def related(a: Column, b: Column, strict: bool = False) -> Column:
@@ -105,20 +106,25 @@ def related(a: Column, b: Column, strict: bool = False) -> Column:
     aren't generic overlaps by half, or both have a generic side and their others
     do. Strictly (two sides each), both match in one order, a generic side only a
     generic one, others by 0.6."""
-    left, right = caption_sides(a), caption_sides(b)
-    half = F.exists(left, lambda x: ~generic(x) & F.exists(right, lambda y: ~generic(y) & (side_overlap(x, y) >= 0.5)))
-
-    def pair(i, j):
-        x, y = F.get(left, F.lit(i)), F.get(right, F.lit(j))
-        gx, gy = generic(x), generic(y)
-        return F.when(gx | gy, gx & gy).otherwise(side_overlap(x, y) >= 0.6)
-
-    two = (F.size(left) == 2) & (F.size(right) == 2)
-    either = F.coalesce(half, F.lit(False)) & (F.size(left) > 0) & (F.size(right) > 0)
-    if not strict:
-        return either
-    both = (pair(0, 0) & pair(1, 1)) | (pair(0, 1) & pair(1, 0))
-    return F.when(two, F.coalesce(both, F.lit(False))).otherwise(either)
+
+    def told(name):
+        return F.transform(caption_sides(name), lambda w: F.struct(w.alias("words"), generic(w).alias("generic")))
+
+    def decide(left, right):
+        half = F.exists(left, lambda x: ~x["generic"] & F.exists(right, lambda y: ~y["generic"] & (side_overlap(x["words"], y["words"]) >= 0.5)))
+
+        def pair(i, j):
+            x, y = F.get(left, F.lit(i)), F.get(right, F.lit(j))
+            return F.when(x["generic"] | y["generic"], x["generic"] & y["generic"]).otherwise(side_overlap(x["words"], y["words"]) >= 0.6)
+
+        two = (F.size(left) == 2) & (F.size(right) == 2)
+        either = F.coalesce(half, F.lit(False)) & (F.size(left) > 0) & (F.size(right) > 0)
+        if not strict:
+            return either
+        both = (pair(0, 0) & pair(1, 1)) | (pair(0, 1) & pair(1, 0))
+        return F.when(two, F.coalesce(both, F.lit(False))).otherwise(either)
+
+    return held(told(a), lambda left: held(told(b), lambda right: decide(left, right)))
 
 
 # Connectors and roles, which identify no reported case.

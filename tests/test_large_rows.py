@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lexloom.functions import dates
+from lexloom.functions import dates, names
 
 
 def test_long_numerals(spark):
@@ -14,3 +14,13 @@ def test_long_numerals(spark):
     assert len(got) == 300 and all(r.n == r.back for r in got) and time.time() - began < 30
     odd = spark.createDataFrame([("MMIM",), ("xiv",), ("",), ("MX\n",), ("IIX",), (None,)], "t string")
     assert [r[0] for r in odd.select(dates.from_roman(F.col("t"))).collect()] == [2999, 14, None, None, 10, None]
+
+
+def test_captions_of_many_rows(spark):
+    """States and other prosecutors are told once a side."""
+    pairs = [("People of the State of New York v. Roe", "State v. Roe", True), ("Kansas v. Glover", "State v. Glover", True), ("New York v. Roe", "New York v. Doe", False), ("Smith v. Acme", "Acme Corp. v. Smithson", True)]
+    made = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in pairs])
+    rows = spark.range(20_000).select(F.get(made, (F.col("id") % 4).cast("int")).alias("p")).repartition(4)
+    began = time.time()
+    wrong = rows.where((names.related(F.col("p.a"), F.col("p.b")) != F.col("p.c")) | (names.related(F.col("p.a"), F.col("p.b"), strict=True) != F.col("p.c"))).count()
+    assert wrong == 0 and time.time() - began < 30
