@@ -21,20 +21,22 @@ def judge_surnames(bylines: DataFrame, judges: DataFrame, key: str, name: str) -
     """``key, surname``: the longest end of a byline's name that is a judge's last
     name, where its first word is that judge's first or a middle name, or their
     initial; null where there is none. As printed, unless only the capitals of the
-    table's differ."""
+    table's differ.
+
+    Judges are gathered by what a first word may be, so a byline meets one row,
+    however many judges share the name."""
     words = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), SUFFIX, "")), r"\s+")
     rows = bylines.select(key, words.alias("w")).where(F.size("w") > 1)
     ends = F.transform(F.sequence(F.lit(2), F.size("w")), lambda k: F.array_join(F.slice("w", k, F.size("w")), " "))
-    asked = rows.select(key, letters(F.get("w", F.lit(0))).alias("first_word"), F.posexplode(ends).alias("at", "written")).where("first_word <> ''")
+    split = rows.select(key, letters(F.get("w", F.lit(0))).alias("word"), F.posexplode(ends).alias("at", "written")).where("word <> ''")
+    asked = split.withColumns({"k": letters(F.col("written")), "low": F.lower("written")})
     table = judges.select(
-        letters(F.col("last")).alias("k"), "last", letters(F.col("first")).alias("f"),
-        F.filter(F.transform(F.split(F.coalesce("middle", F.lit("")), r"\s+"), letters), lambda m: m != "").alias("m"),
+        letters(F.col("last")).alias("k"), "last", F.lower("last").alias("low"),
+        F.concat(F.array(letters(F.col("first"))), F.transform(F.split(F.coalesce("middle", F.lit("")), r"\s+"), letters)).alias("given"),
     )
-    given = F.concat(F.array("f"), F.col("m"))
-    word = F.col("first_word")
-    fits = F.exists(given, lambda g: (g == word) | ((F.length(word) == 1) & g.startswith(word)))
-    found = asked.join(table, letters(F.col("written")) == F.col("k")).where(fits)
-    best = F.row_number().over(Window.partitionBy(key).orderBy("at", F.lower("last") != F.lower("written"), "last"))
-    spelled = F.when(F.lower("last") == F.lower("written"), F.col("last")).otherwise(F.col("written"))
-    one = found.withColumn("n", best).where("n = 1").select(key, spelled.alias("surname"))
+    fits = F.array_distinct(F.filter(F.concat("given", F.transform("given", lambda g: F.left(g, F.lit(1)))), lambda g: g != ""))
+    told = table.select("k", "low", "last", F.explode(fits).alias("word")).groupBy("k", "word", "low").agg(F.min("last").alias("last"))
+    found = asked.join(told.select("k", "word").distinct(), ["k", "word"]).join(told, ["k", "word", "low"], "left")
+    surname = F.coalesce("last", "written")
+    one = found.groupBy(key).agg(F.min_by(surname, F.struct("at", F.col("last").isNull(), surname)).alias("surname"))
     return bylines.select(key).join(one, key, "left")

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lexloom.functions import dates, names
+from lexloom.operators import people
 
 
 def test_long_numerals(spark):
@@ -24,3 +25,13 @@ def test_captions_of_many_rows(spark):
     began = time.time()
     wrong = rows.where((names.related(F.col("p.a"), F.col("p.b")) != F.col("p.c")) | (names.related(F.col("p.a"), F.col("p.b"), strict=True) != F.col("p.c"))).count()
     assert wrong == 0 and time.time() - began < 30
+
+
+def test_judges_of_one_surname(spark):
+    """Each byline would meet every judge of its surname."""
+    judges = spark.range(8_000).select(F.when(F.col("id") % 2 == 0, "McCoy").otherwise("MCCOY").alias("last"), F.concat(F.lit("g"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("first"), F.lit("Xav").alias("middle"))
+    given = F.when(F.col("id") % 3 == 0, "X.").when(F.col("id") % 3 == 1, "Gba").otherwise("Qzx")
+    asked = spark.range(60_000).select("id", F.concat(given, F.lit(" McCoy Jr.")).alias("byline"))
+    began = time.time()
+    got = people.judge_surnames(asked, judges, "id", "byline").groupBy(F.col("id") % 3, "surname").count().collect()
+    assert {tuple(r) for r in got} == {(0, "MCCOY", 20_000), (1, "McCoy", 20_000), (2, None, 20_000)} and time.time() - began < 40
