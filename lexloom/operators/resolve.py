@@ -81,15 +81,36 @@ def revisions(records: DataFrame, floor: float = 0.55, court: str | None = None)
 def slip_match(wanted: DataFrame, slips: DataFrame, floor: float = 0.65) -> DataFrame:
     """``request, slip_id, score``: the slip of the same date with the best
     1000 * docket + 900 * cite + 30 * name; it must match by docket or cite, or by
-    a name score of ``floor`` or more. Ties go to the first in order."""
+    a name score of ``floor`` or more. Ties go to the first in order.
+
+    Slips alike in all that is compared are one, the first of them, and so are the
+    requests. The rest meet on a docket, a cite or a word of their names: names
+    without a common word score 0."""
     w = wanted.select("request", "filed", F.col("docket").alias("w_docket"), F.col("cite").alias("w_cite"), F.col("name").alias("w_name"))
-    joined = w.join(slips, "filed")
+    asks, has = ["w_docket", "w_cite", "w_name"], ["docket", "cite", "name"]
+    asked = w.where("filed is not null").select("filed", *asks).distinct()
+    held = slips.groupBy("filed", *has).agg(F.min(F.struct("seq", "slip_id")).alias("first"))
+    if floor > 0:
+        word = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(names.sides(F.col(c)), names.words)))).alias("word")
+        x, y = asked.select("*", word("w_name")), held.select("*", word("name"))
+        met = x.join(y, ["filed", "word"]).drop("word")
+        for mine, other in (("w_docket", "docket"), ("w_cite", "cite")):
+            same = (asked["filed"] == held["filed"]) & (F.col(mine) == F.col(other)) & (F.col(other) != "")
+            met = met.unionByName(asked.join(held, same).drop(held["filed"]))
+        met = met.distinct()
+    else:
+        met = asked.join(held, "filed")
     docket = F.coalesce((F.col("w_docket") == F.col("docket")) & (F.col("docket") != ""), F.lit(False))
     cite = F.coalesce((F.col("w_cite") == F.col("cite")) & (F.col("cite") != ""), F.lit(False))
-    name = names.overlap_score(F.col("w_name"), F.col("name"))
-    scored = joined.withColumn("score", docket.cast("int") * 1000 + cite.cast("int") * 900 + name * 30).where(docket | cite | (name >= floor))
-    order = Window.partitionBy("request").orderBy(F.desc("score"), "seq")
-    return scored.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("request", "slip_id", "score")
+    met = met.withColumn("like", names.overlap_score(F.col("w_name"), F.col("name")))
+    scored = met.withColumn("score", docket.cast("int") * 1000 + cite.cast("int") * 900 + F.col("like") * 30).where(docket | cite | (F.col("like") >= floor))
+    best = scored.groupBy("filed", *asks).agg(F.min(F.struct((-F.col("score")).alias("less"), "first")).alias("best"))
+    best = best.select(F.col("filed").alias("_filed"), *[F.col(c).alias(f"_{c}") for c in asks], "best")
+    same = F.col("filed") == F.col("_filed")
+    for c in asks:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    one = w.join(best, same).groupBy("request").agg(F.min("best").alias("best"))
+    return one.select("request", F.col("best.first.slip_id").alias("slip_id"), (-F.col("best.less")).alias("score"))
 
 
 def cascade(wanted: DataFrame, stages: list[DataFrame], key: str = "request", value: str = "found") -> DataFrame:

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lexloom.functions import dates, names
-from lexloom.operators import people
+from lexloom.operators import people, resolve
 
 
 def test_long_numerals(spark):
@@ -35,3 +35,15 @@ def test_judges_of_one_surname(spark):
     began = time.time()
     got = people.judge_surnames(asked, judges, "id", "byline").groupBy(F.col("id") % 3, "surname").count().collect()
     assert {tuple(r) for r in got} == {(0, "MCCOY", 20_000), (1, "McCoy", 20_000), (2, None, 20_000)} and time.time() - began < 40
+
+
+def test_slips_of_one_date(spark):
+    """Requests and slips of one date, alike or not."""
+    some = spark.range(20_000)
+    slips = some.select(F.col("id").alias("slip_id"), F.lit(1).alias("filed"), F.concat(F.lit("19-"), F.col("id") % 50).alias("docket"), F.lit("").alias("cite"), F.lit("Roe v. Wade").alias("name"), F.col("id").alias("seq"))
+    asked = some.select(F.col("id").alias("request"), F.lit(1).alias("filed"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("19-"), F.col("id") % 50)).otherwise("").alias("docket"), F.lit(None).cast("string").alias("cite"), F.when(F.col("id") % 4 < 2, "Roe v. Wade").otherwise("Doe v. Poe").alias("name"))
+    began = time.time()
+    got = {r.request: (r.slip_id, r.score) for r in resolve.slip_match(asked, slips).collect()}
+    took = time.time() - began
+    want = {k: (k % 50 if k % 2 == 0 else 0, 1000.0 * (k % 2 == 0) + 30.0 * (k % 4 < 2)) for k in range(20_000) if k % 4 != 3}
+    assert got == want and took < 40
