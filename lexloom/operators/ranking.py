@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import names
+from lexloom.operators.lookup import interval_join
 
 # Relations of a case to another, in the order they are listed.
 RELATIONS = ("reviewed", "below", "remand", "same")
@@ -88,11 +89,18 @@ def body_metrics(lines: DataFrame, by: str, seq: str, full: int = 40) -> DataFra
 def pages_of_ranges(ranges: DataFrame, pages: DataFrame, by: str) -> DataFrame:
     """``by, lo, hi, pages``: the printed pages that each range of offsets touches,
     in order, runs of the same page once. ``ranges``: by, lo, hi; ``pages``: by,
-    offset (where a page begins), page."""
+    offset (where a page begins), page.
+
+    A page is touched that begins in the range, or that holds its beginning; both
+    are interval joins."""
     ends = F.lead("offset").over(Window.partitionBy(by).orderBy("offset"))
-    spans = pages.where("page is not null").withColumn("until", ends)
-    lo, hi = F.least("lo", "hi"), F.greatest("lo", "hi")
-    touched = ranges.join(spans, by).where((F.col("offset") < F.greatest(hi, lo + 1)) & (F.coalesce(F.col("until") > lo, F.lit(True))))
+    spans = pages.where("page is not null").select(by, "offset", "page", ends.alias("until"))
+    asked = ranges.select(by, "lo", "hi").distinct().withColumn("first", F.least("lo", "hi"))
+    asked = asked.withColumn("last", F.greatest(F.greatest("lo", "hi"), F.col("first") + 1) - 1)
+    begun = interval_join(spans, asked, [by], "offset", "first", "last").where(F.coalesce(F.col("until") > F.col("first"), F.lit(True)))
+    inner = spans.select(by, "offset", "page", (F.col("offset") + 1).alias("from"), (F.col("until") - 1).alias("to"))
+    under = interval_join(asked, inner, [by], "first", "from", "to")
+    touched = begun.select(by, "lo", "hi", "offset", "page").unionByName(under.select(by, "lo", "hi", "offset", "page"))
     listed = touched.groupBy(by, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("offset", "page"))).alias("p"))
     runs = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["page"] != x["page"]))
     return ranges.join(listed.select(by, "lo", "hi", F.transform(runs, lambda x: x["page"]).alias("pages")), [by, "lo", "hi"], "left").withColumn(

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from lexloom.functions import dates, names
-from lexloom.operators import people, resolve
+from lexloom.operators import people, ranking, resolve
 
 
 def test_long_numerals(spark):
@@ -47,3 +47,14 @@ def test_slips_of_one_date(spark):
     took = time.time() - began
     want = {k: (k % 50 if k % 2 == 0 else 0, 1000.0 * (k % 2 == 0) + 30.0 * (k % 4 < 2)) for k in range(20_000) if k % 4 != 3}
     assert got == want and took < 40
+
+
+def test_pages_of_one_text(spark):
+    """Ranges of one long text meet the pages they touch, not all."""
+    some = spark.range(60_000).select(F.lit("d").alias("doc"), (F.col("id") * 10).cast("int").alias("offset"), F.col("id").cast("int").alias("page"))
+    ranges = some.select("doc", (F.col("offset") + 5).alias("lo"), F.when(F.col("page") % 2 == 0, F.col("offset") + 25).otherwise(F.col("offset") + 5).alias("hi"))
+    began = time.time()
+    got = {r.lo: r.pages for r in ranking.pages_of_ranges(ranges, some, "doc").collect()}
+    took = time.time() - began
+    want = {10 * k + 5: [p for p in range(k, k + (3 if k % 2 == 0 else 1)) if p < 60_000] for k in range(60_000)}
+    assert got == want and took < 40
