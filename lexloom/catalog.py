@@ -442,8 +442,7 @@ select a, b, cast(shared as int) as shared, shared / m as similarity from p wher
 def shingle_containment(spark, sf_dir):
     """Documents that share four-word shingles, 0.55 of the smaller set or more; a
     set's least id stands for all (``shingle_classes``)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.word_shingles(F.col("text"), 4).alias("g"))
-    return resolve.shared_shingles(docs, "doc_id", "g", 0.55)
+    return resolve.alike_texts(table(spark, sf_dir, "documents"), "doc_id", "text", 4, 0.55)
 
 
 @query(f"""

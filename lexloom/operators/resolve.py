@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import names, text
+from lexloom.operators import shingles
+from lexloom.session import stage
 
 
 def shared_shingles(table: DataFrame, key: str, grams: str, floor: float) -> DataFrame:
@@ -41,6 +43,14 @@ def gram_classes(table: DataFrame, key: str, grams: str) -> DataFrame:
     return sets.select(key, F.min(key).over(Window.partitionBy("g")).alias("class_id"))
 
 
+def alike_texts(table: DataFrame, key: str, column: str, n: int, floor: float) -> DataFrame:
+    """``a, b, shared, similarity`` as ``shared_shingles`` has them, of the texts'
+    runs of ``n`` words, compared by their 64-bit hashes. ``key``: whole numbers."""
+    texts = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.lit(0).cast("long").alias("scope"), F.lower(F.coalesce(column, F.lit(""))).alias("text"))
+    sets = stage(shingles.sizes(texts, n).groupBy("set").agg(F.min("id").alias("id"), F.first("size").alias("size")).select("id", "size"), "sets")
+    return shingles.overlaps(texts, sets, n, floor)
+
+
 def _rarest(rows: DataFrame, by: str, floor: float) -> DataFrame:
     """``by, gram, id, size, n, short``: the grams of each row, how many rows of the
     same ``by`` have each, and whether it is among those that a set sharing ``floor``

@@ -1,5 +1,9 @@
 """Resolution operators on small tables that the driver's tables don't have."""
 
+import random
+import re
+import time
+
 import pytest
 
 from lexloom import catalog
@@ -27,3 +31,38 @@ def test_shingles_of_all_languages(spark, tmp_path):
     classes = {r.doc_id: r.class_id for r in catalog.queries()["shingle_classes"](spark, str(tmp_path)).collect()}
     assert pairs == {(0, 2), (10, 12), (20, 22)}
     assert classes == {d: d - (d % 10 == 1) for d, _, _ in rows}
+
+
+def brute(rows, n, scoped=False):
+    """Sets of ``n``-word shingles and the overlap of two of them, plainly."""
+    sets = {}
+    for r in rows:
+        ws = re.findall("[a-z0-9]+", (r[1] or "").lower())
+        sets[r[0]] = frozenset(" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1))
+    return sets, lambda a, b: len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b]))
+
+
+def edited(count, seed):
+    """Texts with copies and edits, of few and of many words, empty ones and nulls."""
+    rng, texts = random.Random(seed), [None, "", "one two", "Ä€ x—Y z0 \U0001f600w K k"]
+    while len(texts) < count:
+        ws = [f"w{rng.randrange(9 if len(texts) % 5 == 0 else 400)}" for _ in range(rng.choice((7, 30, 90)))]
+        for _ in range(rng.choice((1, 2, 5))):
+            texts.append(rng.choice((" ", "; ", "\n")).join(w if rng.random() > 0.06 else w.upper() + "x" for w in ws))
+            texts.append(" ".join(ws))
+    return [(k, t) for k, t in enumerate(texts)]
+
+
+def test_alike_texts(spark):
+    """Equal to all pairs of sets; no string of a text is dealt out."""
+    rows = edited(240, 1)
+    sets, overlap = brute(rows, 4)
+    least = {}
+    for k, s in sets.items():
+        if s:
+            least[s] = min(least.get(s, k), k)
+    ids = sorted(least.values())
+    want = {(a, b, len(sets[a] & sets[b]), overlap(a, b)) for a in ids for b in ids if a < b and overlap(a, b) >= 0.55}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = resolve.alike_texts(docs, "doc_id", "text", 4, 0.55)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
