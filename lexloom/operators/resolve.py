@@ -51,17 +51,6 @@ def alike_texts(table: DataFrame, key: str, column: str, n: int, floor: float) -
     return shingles.overlaps(texts, sets, n, floor)
 
 
-def _rarest(rows: DataFrame, by: str, floor: float) -> DataFrame:
-    """``by, gram, id, size, n, short``: the grams of each row, how many rows of the
-    same ``by`` have each, and whether it is among those that a set sharing ``floor``
-    of this one can't all lack."""
-    every = rows.select(by, "id", F.size("g").alias("size"), F.explode("g").alias("gram"))
-    freq = every.groupBy(by, "gram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(by, "id").orderBy("n", "gram"))
-    ranked = every.join(freq, [by, "gram"]).withColumn("r", rank)
-    return ranked.withColumn("short", F.col("r") <= F.floor((1 - floor) * F.col("size") + 1e-6) + 1).where("n > 1").drop("r", "n")
-
-
 def revisions(records: DataFrame, floor: float = 0.55, court: str | None = None) -> DataFrame:
     """``old_id, new_id, similarity``: unreported records that a reported one of
     the same date supersedes. Dockets may not both be known and disjoint; texts
@@ -70,22 +59,28 @@ def revisions(records: DataFrame, floor: float = 0.55, court: str | None = None)
     text, and with ``court`` a column of that name.
 
     Records of a date meet on the rare shingles that similar texts must share, so a
-    date on which much was filed pairs no more than that."""
-    chosen = records.where("filed is not null")
+    date on which much was filed pairs no more than that. Those alike in date,
+    dockets and shingles are one: of the reported ones the largest id."""
+    chosen = records.where("filed is not null and reported is not null and scholar_id is not null")
     if court is not None:
         chosen = chosen.where(F.col("court") == court)
-    rows = chosen.select(F.col("scholar_id").alias("id"), "filed", "reported", "dockets", text.word_shingles(F.col("text"), 7).alias("g")).where("size(g) > 0")
-    grams = _rarest(rows, "filed", floor).join(rows.select("id", "reported"), "id")
-    old = grams.where("not reported").select("filed", "gram", F.col("id").alias("old_id"), F.col("size").alias("s0"), F.col("short").alias("short0"))
-    new = grams.where("reported").select("filed", "gram", F.col("id").alias("new_id"), F.col("size").alias("s1"), F.col("short").alias("short1"))
-    # The smaller set of a pair must meet on one of its rare grams.
-    met = old.join(new, ["filed", "gram"]).where("(s0 <= s1 and short0) or (s1 <= s0 and short1)").select("old_id", "new_id").distinct()
-    x = rows.select(F.col("id").alias("old_id"), F.col("dockets").alias("d0"), F.col("g").alias("g0"))
-    y = rows.select(F.col("id").alias("new_id"), F.col("dockets").alias("d1"), F.col("g").alias("g1"))
+    whole = chosen.schema["scholar_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = (F.col("scholar_id").cast("long") if whole else F.xxhash64("scholar_id")).alias("id")
+    texts = chosen.select(number, F.xxhash64("filed").alias("scope"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    facts = chosen.select(number, "scholar_id", "filed", "reported", "dockets")
+    rows = stage(shingles.sizes(texts, 7).join(facts, "id"), "records")
+    first = F.when(F.col("reported"), F.max_by("id", "scholar_id")).otherwise(F.min_by("id", "scholar_id"))
+    classes = rows.groupBy("set", "filed", "reported", "dockets").agg(first.alias("id"), F.max("scholar_id").alias("last"), F.first("size").alias("size"))
+    classes = stage(classes, "classes")
+    found = shingles.overlaps(texts, classes.select("id", "size", (~F.col("reported")).alias("old")), 7, floor, sided=True)
+    old = classes.where("not reported").select(F.col("id").alias("a"), F.col("dockets").alias("d0"), "set", "filed")
+    new = classes.where("reported").select(F.col("id").alias("b"), F.col("dockets").alias("d1"), F.col("last").alias("new_id"))
     apart = (F.size("d0") > 0) & (F.size("d1") > 0) & ~F.arrays_overlap("d0", "d1")
-    scored = met.join(x, "old_id").join(y, "new_id").where(~apart).withColumn("similarity", text.containment(F.col("g0"), F.col("g1"))).where(F.col("similarity") >= floor)
-    best = Window.partitionBy("old_id").orderBy(F.desc("similarity"), F.desc("new_id"))
-    return scored.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("old_id", "new_id", "similarity")
+    best = Window.partitionBy("a").orderBy(F.desc("similarity"), F.desc("new_id"))
+    top = found.join(old, "a").join(new, "b").where(~apart).withColumn("_r", F.row_number().over(best)).where("_r = 1")
+    members = rows.where("not reported").select(F.col("scholar_id").alias("old_id"), "set", "filed", F.col("dockets").alias("d0"))
+    same = (members["set"] == top["set"]) & (members["filed"] == top["filed"]) & members["d0"].eqNullSafe(top["d0"])
+    return members.join(top, same).select("old_id", "new_id", "similarity")
 
 
 def slip_match(wanted: DataFrame, slips: DataFrame, floor: float = 0.65) -> DataFrame:

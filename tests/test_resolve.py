@@ -66,3 +66,23 @@ def test_alike_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = resolve.alike_texts(docs, "doc_id", "text", 4, 0.55)
     assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_revisions_of_copies(spark, kind):
+    """Many copies on both sides of a date: each old one gets the last new one, and
+    copies don't meet each other one by one."""
+    rows = [(k, t, (k * 7) % 3, k % 2 == 0, [] if k % 4 < 2 else [str(k % 3)]) for k, t in edited(160, 2)]
+    rows += [(1000 + k, " ".join(f"c{j}" for j in range(12)), 5, k % 2 == 0, []) for k in range(6000)]
+    sets, overlap = brute(rows[:-6000], 7)
+    name = int if kind == "long" else "{:05d}".format
+    want = {}
+    for a, _, f0, r0, d0 in rows[:-6000]:
+        meets = [(overlap(a, b), b) for b, _, f1, r1, d1 in rows[:-6000] if sets[a] and sets[b] and f0 == f1 and not r0 and r1 and not (d0 and d1 and d0 != d1)]
+        if meets and max(meets)[0] >= 0.55:
+            want[name(a)] = (name(max(meets)[1]), max(meets)[0])
+    want |= {name(1000 + k): (name(6998), 1.0) for k in range(1, 6000, 2)}
+    records = spark.createDataFrame([(name(k), *r) for k, *r in rows], f"scholar_id {kind}, text string, filed int, reported boolean, dockets array<string>")
+    began = time.time()
+    got = {r.old_id: (r.new_id, r.similarity) for r in resolve.revisions(records).collect()}
+    assert got == want and len(want) > 3010 and time.time() - began < 60
