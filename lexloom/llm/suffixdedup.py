@@ -8,6 +8,11 @@ In a shard, super-k-mers that share a minimiser are joined into one text, equal
 ones entered once with their count. Induced sorting gives its suffix array, and
 the permuted common prefixes say which 200-byte strings stand in two of them.
 
+Equal strings of 200 bytes have their minimiser at the same place, so they agree
+from some multiple of ``STEP`` bytes before it on, over ``COMMON`` bytes. A
+super-k-mer that agrees so with no other of its minimiser matches nothing and stays
+out of the text.
+
 Defined cases: a null text is empty. A row without an id loses nothing and hides
 nothing. Rows equal in id and text are one document, judged once for all of them;
 rows of one id with different texts are different documents. Matches never cross
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,9 @@ from lexloom.llm.workers import resting
 WINDOW, GRAM, PARTS = 200, 24, 16
 SEGMENT = 2 << 20
 SHARD = 2 << 20
+#: Places before the minimiser that are tried, and the bytes that a match has there.
+STEP = 44
+COMMON = WINDOW - STEP
 #: Bytes that UTF-8 never holds: between strings, and at the end of a shard.
 GAP, END = 0xFF, 0xFE
 
@@ -69,8 +78,8 @@ def resolve(parts: Iterator) -> Iterator[list]:
     several: set[int] = set()
     by_key: dict[int, int] = {}
     for table, strings in parts:
-        for s, key, i, th, start, n, many in zip(strings, *table[:6].tolist(), strict=True):
-            mine = (i, th, start, n, key, many)
+        for s, key, i, th, start, n, many, place in zip(strings, *table.tolist(), strict=True):
+            mine = (i, th, start, n, key, many, place)
             other = seen.setdefault(s, mine)
             if other is mine:
                 if by_key.setdefault(key, 0):
@@ -83,23 +92,40 @@ def resolve(parts: Iterator) -> Iterator[list]:
                 gone.append((i, th, start, n + WINDOW - 1))
             if not other[5]:
                 gone.append((other[0], other[1], other[2], other[3] + WINDOW - 1))
-                seen[s] = (*other[:5], 1)
+                seen[s] = (*other[:5], 1, other[6])
     if gone:
         yield list(zip(*gone, strict=True))
     # Strings that share a minimiser with others stay together in one text.
     rest = sorted(((e[4], s, e) for s, e in seen.items() if e[4] in several), key=lambda x: x[0])
     del seen
     held, size = [], 0
-    for k, x in enumerate(rest):
-        if size > SHARD and x[0] != rest[k - 1][0]:
+    for _, group in groupby(rest, key=lambda x: x[0]):
+        if size > SHARD:
             yield from shard(held)
             held, size = [], 0
-        held.append(x)
-        size += len(x[1]) + 1
+        own = meeting(list(group))
+        held += own
+        size += sum(len(x[1]) + 1 for x in own)
     if held:
         yield from shard(held)
 
 
+def meeting(group: list[tuple]) -> list[tuple]:
+    """Of strings of one minimiser those that can have 200 bytes in common with
+    another: a match of which ``left`` bytes lie before the minimiser holds the
+    ``COMMON`` bytes from ``left`` rounded down to ``STEP`` before it."""
+    keep = bytearray(len(group))
+    for left in range(0, WINDOW - GRAM, STEP):
+        first: dict[bytes, int] = {}
+        for x, (_, s, entry) in enumerate(group):
+            at = entry[6] - left
+            if at >= 0 and at + COMMON <= len(s):
+                y = first.setdefault(s[at : at + COMMON], x)
+                if y != x:
+                    keep[x] = keep[y] = 1
+    return [x for x, k in zip(group, keep, strict=True) if k]
+
+
 def repeats(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(starts of the strings in their joined text, a flag a position: the 200
     bytes from here also start elsewhere in the text)."""
@@ -123,7 +149,7 @@ def shard(held: list[tuple]) -> Iterator[list]:
     strings = [s for _, s, _ in held]
     starts, flags = repeats(strings)
     gone = []
-    for base, (_, _, (i, th, start, n, _, many)) in zip(starts.tolist(), held, strict=True):
+    for base, (_, _, (i, th, start, n, _, many, _)) in zip(starts.tolist(), held, strict=True):
         own = flags[base : base + n]
         if many or not own.any():
             continue

@@ -99,12 +99,14 @@ class Scheme:
 
 @dataclass
 class Pieces:
-    """Super-k-mers of one flush; ``row`` is the number of the text."""
+    """Super-k-mers of one flush; ``row`` is the number of the text, ``place`` that
+    of the minimiser's first byte in the string (words: 0, not used)."""
 
     key: np.ndarray
     row: np.ndarray
     start: np.ndarray
     n: np.ndarray
+    place: np.ndarray
     strings: list[bytes]
     content: np.ndarray
 
@@ -167,7 +169,8 @@ def cut(scheme: Scheme, held: list[tuple[int, int, bytes]], powers: Powers, hot:
     owner = owner[head]
     rows = np.array([r for r, _, _ in held])
     bases = np.array([o for _, o, _ in held])
-    return Pieces(key[head], rows[owner], bases[owner] + offset[head], n, strings, content)
+    inside = np.zeros(len(head), np.int64) if scheme.words else (minimiser[head] - a).astype(np.int64)
+    return Pieces(key[head], rows[owner], bases[owner] + offset[head], n, inside, strings, content)
 
 
 def flushes(scheme: Scheme, batches: Iterator[pa.RecordBatch], hot: np.ndarray, counting: bool = False) -> Iterator[tuple[Pieces, np.ndarray, np.ndarray]]:
@@ -224,7 +227,7 @@ def pack(pieces: Pieces, ids: np.ndarray, hashes: np.ndarray, many: np.ndarray,
         own = [pieces.strings[x] for x in part.tolist()]
         row = pieces.row[part]
         table = np.stack(
-            [pieces.key[part].view(np.int64), ids[row], hashes[row], pieces.start[part], pieces.n[part], many[part], np.array([len(s) for s in own])]
+            [pieces.key[part].view(np.int64), ids[row], hashes[row], pieces.start[part], pieces.n[part], many[part], pieces.place[part] << 32 | np.array([len(s) for s in own])]
         ).astype(np.int64)
         # Columns, byte by byte of each number, compress better than rows.
         head = np.ascontiguousarray(table.view(np.uint8).reshape(7, -1, 8).transpose(0, 2, 1)).tobytes()
@@ -233,11 +236,12 @@ def pack(pieces: Pieces, ids: np.ndarray, hashes: np.ndarray, many: np.ndarray,
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
-    """The seven columns (key, id, hash, start, n, many, size) and the strings."""
+    """The seven columns (key, id, hash, start, n, many, place) and the strings."""
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n = int.from_bytes(raw[:8], "little")
-    table = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * 56, 8).reshape(7, 8, n).transpose(0, 2, 1)).view(np.int64).reshape(7, n)
-    ends = (np.cumsum(table[6]) + 8 + n * 56).tolist()
+    table = np.array(np.frombuffer(raw, np.uint8, n * 56, 8).reshape(7, 8, n).transpose(0, 2, 1), order="C").view(np.int64).reshape(7, n)
+    ends = (np.cumsum(table[6] & 0xFFFFFFFF) + 8 + n * 56).tolist()
+    table[6] >>= 32
     return table, [raw[a:b] for a, b in zip([8 + n * 56, *ends[:-1]], ends, strict=True)]
 
 
