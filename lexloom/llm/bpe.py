@@ -4,7 +4,9 @@ The distinct new words of a batch go into a trie. A depth-first walk gives each
 prefix one state: the last token of its encoding, and how many symbols that
 token takes. The last token of a prefix is the longest vocabulary entry at its
 end that may stand after the last token of the prefix before it; two tokens may
-stand together if the merges leave them so when run over both. A prefix that
+stand together if the merges leave them so when run over both. A state also keeps
+the longest end of its prefix that begins an entry: no entry that ends one symbol
+later can begin before it. A prefix that
 many words share is therefore encoded once, and the encoding of a word is read
 off the states of its own path. Its last letter carries the end-of-word mark and
 is a symbol of its own.
@@ -21,7 +23,9 @@ prefixes only those of at most ``KEEP`` symbols are kept; longer ones live on th
 path being walked, so a word of a million letters costs memory in proportion. Long
 texts are cut into blocks at white space, where no piece can be cut, so none is ever
 held as pieces whole. The encoder goes with its task. The vocabulary (fixed size,
-under 2 MB) is read on the driver and broadcast.
+about 2 MB as a file) is read on the driver, the entries that merges can make are
+found there, and both are broadcast. The library's tokenizer is made by the first
+text that needs it.
 
 Defined cases: a null text is empty and has no tokens. Rows are encoded one by
 one whatever their id; repeated rows give repeated results; columns other than
@@ -30,6 +34,7 @@ id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -88,6 +93,13 @@ def parse_vocabulary(text: str) -> dict:
     }
 
 
+def prepared(text: str) -> dict:
+    """The vocabulary with what an encoder would find out about it first."""
+    data = parse_vocabulary(text)
+    encoder = Encoder(data)
+    return data | {"made": (encoder.ids, encoder.halves, encoder.known)}
+
+
 class Encoder:
     """Encodes words over a vocabulary; see the module's text."""
 
@@ -99,21 +111,29 @@ class Encoder:
         self.symbols = byte_symbols()
         self.rank = {pair: k for k, pair in enumerate(data["merges"])}
         self.numbers: dict = {}
-        self.states: dict[str, tuple[int, int]] = {}
-        self._shared: dict[tuple[int, int], tuple[int, int]] = {}
+        self.states: dict[str, tuple[int, int, int]] = {}
+        self._shared: dict[tuple[int, int, int], tuple[int, int, int]] = {}
         self.forget()
         self._pairs: dict[tuple[int, int], bool] = {}
-        # A token that merges cannot make of its own symbols never comes out.
-        made = {a + b for a, b in data["merges"]}
-        base = set(self.symbols) | {s + self.suffix for s in self.symbols}
-        self.halves: dict[str, tuple[str, str]] = {}
-        self.ids = {t: i for t, i in self.vocab.items() if (t in made or t in base) and self._made(t)}
+        if "made" in data:
+            self.ids, self.halves, self.known = data["made"]
+        else:
+            # A token that merges cannot make of its own symbols never comes out.
+            made = {a + b for a, b in data["merges"]}
+            base = set(self.symbols) | {s + self.suffix for s in self.symbols}
+            self.halves: dict[str, tuple[str, str]] = {}
+            self.ids = {t: i for t, i in self.vocab.items() if (t in made or t in base) and self._made(t)}
+            # Ids of the tokens, -1 for what only begins one.
+            self.known = dict.fromkeys((t[:n] for t in self.ids for n in range(1, len(t))), -1) | self.ids
         self._spines: tuple[dict, dict] = ({}, {})
-        self.longest = max(map(len, self.ids), default=1)
-        self.library = Tokenizer.from_str(data["file"])
+        self.file = data["file"]
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.file)
+
     def forget(self) -> None:
         """Begin a generation of words; special tokens stand as their ids."""
         self.older = self.numbers
@@ -185,7 +205,7 @@ class Encoder:
         prefix and stay for later batches."""
         names, suffix, states = self.symbols, self.suffix, self.states
         spelled = sorted(("".join([names[b] for b in w.encode("utf-8")]), w) for w in new)
-        stack: list[tuple[int, int]] = []
+        stack: list[tuple[int, int, int]] = []
         before = ""
         for path, word in spelled:
             inner = path[:-1]
@@ -207,23 +227,33 @@ class Encoder:
             before = inner
             self._read_off(word, stack, self._last(path, len(path), stack, suffix))
 
-    def _last(self, path: str, n: int, stack: list[tuple[int, int]], tail: str) -> tuple[int, int]:
-        """(last token, its symbols) of the first ``n`` symbols and a tail."""
-        get = self.ids.get
-        for at in range(max(0, n - self.longest), n):
+    def _last(self, path: str, n: int, stack: list[tuple[int, int, int]], tail: str) -> tuple[int, int, int]:
+        """(last token, its symbols, symbols of the longest known end) of the first
+        ``n`` symbols and a tail."""
+        get, pairs, longest = self.known.get, self._pairs, 0
+        for at in range(n - 1 - stack[n - 2][2] if n > 1 else 0, n):
             token = get(path[at:n] + tail)
-            if token is not None and (not at or self._fits(stack[at - 1][0], token)):
+            if token is None:
+                continue
+            longest = longest or n - at
+            if token < 0:
+                continue
+            if not at:
+                break
+            left = stack[at - 1][0]
+            fits = pairs.get((left, token))
+            if self._fits(left, token) if fits is None else fits:
                 break
         else:
             raise ValueError(f"no token ends {path[:n]!r}")
-        state = (token, n - at)
+        state = (token, n - at, longest)
         return self._shared.setdefault(state, state)
 
-    def _read_off(self, word: str, stack: list[tuple[int, int]], last: tuple[int, int]) -> None:
-        token, size = last
+    def _read_off(self, word: str, stack: list[tuple[int, int, int]], last: tuple[int, int, int]) -> None:
+        token, size, _ = last
         out, at = [token], len(stack) + 1 - size
         while at:
-            token, size = stack[at - 1]
+            token, size, _ = stack[at - 1]
             out.append(token)
             at -= size
         out.reverse()
@@ -274,7 +304,7 @@ class Encoder:
 
     def _slice(self, held: list[tuple[int, list]]) -> Iterator[tuple[int, int, str, str]]:
         numbers, older = self.numbers, self.older
-        missing = {w for _, ws in held for w in ws if w not in numbers}
+        missing = set().union(*[ws for _, ws in held]).difference(numbers)
         again = missing & older.keys()
         for w in again:
             found = numbers[w] = older[w]
@@ -309,13 +339,13 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     """``id, n_tokens, ids_sha256, decoded_sha256`` and, with ``full``, ``ids``
     (array of int) and ``decoded``."""
     with open(vocabulary, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast(prepared(f.read()))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(parse_vocabulary(shared.value))
+        encoder = Encoder(shared.value)
         for batch in batches:
             counts = [0] * batch.num_rows
             digests = [[hashlib.sha256() for _ in counts] for _ in range(2)]

@@ -4,9 +4,10 @@ import collections
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from lexloom.llm import suffixdedup, superkmer
+from lexloom.llm import bpe, suffixdedup, superkmer
 
 
 def test_suffix_array_only_of_strings_that_can_match(monkeypatch):
@@ -36,3 +37,29 @@ def test_suffix_array_only_of_strings_that_can_match(monkeypatch):
             places[text[p : p + 200]].append((i, p))
     assert got == {(i, q) for found in places.values() if len(found) > 1 for i, p in found for q in range(p, p + 200)}
     assert got and 2 * len(entered) < sum(n for n in sharing.values() if n > 1)
+
+
+def test_encoder_of_a_prepared_vocabulary(monkeypatch):
+    """Tasks neither run the merges of the vocabulary nor parse it for the library,
+    and try few ends of a word; the ids are the library's."""
+    path, chance = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    with open(path, encoding="utf-8") as f:
+        data = bpe.prepared(f.read())
+    words = ["".join(chance.choices("etaoinshrdlué", k=chance.randrange(1, 30))) for _ in range(2000)]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, 2000, 50)]
+    library = bpe.Tokenizer.from_file(path)
+    want = [" ".join(map(str, library.encode(t, add_special_tokens=False).ids)) for t in texts]
+
+    class Counted(dict):
+        tries = 0
+
+        def get(self, key, default=None):
+            Counted.tries += 1
+            return super().get(key, default)
+
+    monkeypatch.setattr(bpe.Encoder, "_made", None)
+    monkeypatch.setattr(bpe, "Tokenizer", None)
+    encoder = bpe.Encoder(data)
+    encoder.known = Counted(encoder.known)
+    assert [ids for _, ids, _ in encoder.encode(texts)] == want
+    assert Counted.tries < 6 * sum(map(len, words))
