@@ -92,18 +92,19 @@ def pages_of_ranges(ranges: DataFrame, pages: DataFrame, by: str) -> DataFrame:
     offset (where a page begins), page.
 
     A page is touched that begins in the range, or that holds its beginning; both
-    are interval joins."""
+    are interval joins. Both sides are large, and several times the file that Spark
+    judges their size by; the hints keep it from broadcasting one."""
     ends = F.lead("offset").over(Window.partitionBy(by).orderBy("offset"))
     spans = pages.where("page is not null").select(by, "offset", "page", ends.alias("until"))
     asked = ranges.select(by, "lo", "hi").distinct().withColumn("first", F.least("lo", "hi"))
     asked = asked.withColumn("last", F.greatest(F.greatest("lo", "hi"), F.col("first") + 1) - 1)
-    begun = interval_join(spans, asked, [by], "offset", "first", "last").where(F.coalesce(F.col("until") > F.col("first"), F.lit(True)))
+    begun = interval_join(spans.hint("merge"), asked, [by], "offset", "first", "last").where(F.coalesce(F.col("until") > F.col("first"), F.lit(True)))
     inner = spans.select(by, "offset", "page", (F.col("offset") + 1).alias("from"), (F.col("until") - 1).alias("to"))
-    under = interval_join(asked, inner, [by], "first", "from", "to")
+    under = interval_join(asked.hint("merge"), inner, [by], "first", "from", "to")
     touched = begun.select(by, "lo", "hi", "offset", "page").unionByName(under.select(by, "lo", "hi", "offset", "page"))
     listed = touched.groupBy(by, "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("offset", "page"))).alias("p"))
     runs = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1)["page"] != x["page"]))
-    return ranges.join(listed.select(by, "lo", "hi", F.transform(runs, lambda x: x["page"]).alias("pages")), [by, "lo", "hi"], "left").withColumn(
+    return ranges.hint("merge").join(listed.select(by, "lo", "hi", F.transform(runs, lambda x: x["page"]).alias("pages")), [by, "lo", "hi"], "left").withColumn(
         "pages", F.coalesce("pages", F.array().cast("array<int>"))
     )
 

@@ -58,3 +58,17 @@ def test_pages_of_one_text(spark):
     took = time.time() - began
     want = {10 * k + 5: [p for p in range(k, k + (3 if k % 2 == 0 else 1)) if p < 60_000] for k in range(60_000)}
     assert got == want and took < 40
+
+
+def test_pages_of_a_small_file(spark):
+    """A side that is many times the file it is read from is not sent to the driver."""
+    some = spark.range(60_000).select(F.lit("d").alias("doc"), (F.col("id") * 10).cast("int").alias("offset"), F.col("id").cast("int").alias("page"))
+    ranges = some.select("doc", (F.col("offset") + 5).alias("lo"), (F.col("offset") + 25).alias("hi"))
+    key = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1m")
+    try:
+        got = {r.lo: r.pages for r in ranking.pages_of_ranges(ranges, some, "doc").collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {10 * k + 5: [p for p in range(k, k + 3) if p < 60_000] for k in range(60_000)}
